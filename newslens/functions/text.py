@@ -77,6 +77,11 @@ def utc_ntz(c: Column) -> Column:
     return F.timestamp_add("MICROSECOND", F.unix_micros(c), epoch)
 
 
+def epoch_us(c: Column) -> Column:
+    """Microseconds since 1970 of a zone-less timestamp, whatever the session time zone is."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+
+
 def parse_pubdate(c: Column) -> Column:
     """Publication date in the first layout that fits, as UTC; NULL when none does."""
     t = strip(c)

@@ -1,4 +1,4 @@
 """Loads every query module, which fills the registry."""
 
-from newslens.plans import headline_queries, story_queries  # noqa: F401
+from newslens.plans import evaluation_queries, event_queries, headline_queries, story_queries  # noqa: F401
 from newslens.plans.registry import ORACLE, QUERIES  # noqa: F401

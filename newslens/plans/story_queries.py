@@ -138,7 +138,7 @@ def validate_groups(spark, sf):
 
 
 @query("group_assign", f"""
-SELECT seq, coalesce(concat('group:', g), concat('singleton:', seq)) AS cluster_key, event FROM notes LEFT JOIN (
+SELECT seq, coalesce('group:' || g, concat('singleton:', seq)) AS cluster_key, event FROM notes LEFT JOIN (
   SELECT doc_id, min(g) AS g, min_by(event, g) AS event FROM (
     SELECT doc_id, g, event FROM ({_MEMBERS}) GROUP BY ALL HAVING count(*) >= 2) GROUP BY doc_id) ON doc_id = seq
 """, ("notes",))

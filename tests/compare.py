@@ -79,7 +79,8 @@ def main() -> None:
     from newslens.session import local_session
 
     sf = sys.argv[1]
-    names = sys.argv[2:] or list(entry.queries())
+    known = list(entry.queries())
+    names = sys.argv[2:] or known
     spark = local_session(8)
     con = connect(sf)
     bad = []
