@@ -229,9 +229,17 @@ def claim_links(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(RESOLVED), F.lit(2))
 
 
+def _regions_span(md: Column) -> tuple[Column, Column]:
+    """Start of the summary by region (0 when there is none) and the position just after its end."""
+    start = F.position(F.lit(REGIONS_HEADING), md)
+    after = F.position(F.lit("\n## "), md, start + len(REGIONS_HEADING))
+    return start, F.when(after == 0, F.length(md) + 1).otherwise(after)
+
+
 def absent_regions(md: Column) -> Column:
     """Region ids, in editorial order, without a subsection of their own in the summary by region."""
-    body = F.coalesce(section_body(md, REGIONS_HEADING[3:]), F.lit(""))
+    start, end = _regions_span(md)
+    body = F.when(start == 0, F.lit("")).otherwise(F.substr(md, start, end - start))
     found = F.transform(subsections(body), lambda s: s["heading"])
     return F.filter(array_of(REGION_ORDER), lambda r: ~F.array_contains(found, region_label(r)))
 
@@ -241,9 +249,7 @@ def fill_regions(md: Column, absent: Column, texts: Column) -> Column:
 
     `texts` maps a region id to the line to show; a region it does not know gets the "no news" line.
     """
-    start = F.position(F.lit(REGIONS_HEADING), md)
-    after = F.position(F.lit("\n## "), md, start + len(REGIONS_HEADING))
-    end = F.when(after == 0, F.length(md) + 1).otherwise(after)
+    start, end = _regions_span(md)
 
     def block(r: Column) -> Column:
         line = F.coalesce(F.try_element_at(texts, r), F.lit(EMPTY_REGION))

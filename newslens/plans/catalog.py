@@ -1,4 +1,12 @@
 """Loads every query module, which fills the registry."""
 
-from newslens.plans import evaluation_queries, event_queries, headline_queries, story_queries  # noqa: F401
+from newslens.plans import (  # noqa: F401
+    evaluation_queries,
+    event_queries,
+    feed_queries,
+    headline_queries,
+    report_queries,
+    scoring_queries,
+    story_queries,
+)
 from newslens.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -348,3 +348,40 @@ SELECT edition_date, seq, seq AS root FROM headline
 UNION
 SELECT r.edition_date, r.seq, e.y FROM same_event_reach r JOIN title_edge e ON e.edition_date = r.edition_date AND e.x = r.root
 """, ["headline", "title_edge"])
+
+_ITEM = """CASE no % 3
+ WHEN 0 THEN concat('<item><title>', xt, '</title><link>', xl, '</link><guid isPermaLink="false">id-', seq, '</guid><atom:link href="https://alt.example/', seq,
+   '"/><description>', xs, '</description><pubDate>', coalesce(strftime(published_at, '%a, %d %b %Y %H:%M:%S +0000'), ''), '</pubDate></item>')
+ WHEN 1 THEN concat('<entry><title type="html">', xt, '</title><link href="https://self.example/', seq, '" rel="self"/><link href="', xl, '" rel="alternate"/><summary>', xs,
+   '</summary><published>', coalesce(strftime(published_at, '%Y-%m-%dT%H:%M:%SZ'), ''), '</published></entry>')
+ ELSE concat('<item><title>', xt, '</title><link>', xl, '</link><description>', xs, '</description><dc:date>', coalesce(strftime(published_at, '%Y-%m-%d'), ''), '</dc:date></item>') END"""
+
+
+def _xml(c: str) -> str:
+    return f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+_view("feed_item", f"""
+SELECT *, (feed_pos - 1) // 25 AS fetch_no, (feed_pos - 1) % 25 + 1 AS pos, {_xml("title")} AS xt, {_xml("snippet")} AS xs, {_xml("link")} AS xl,
+  (day(edition_date) + no) % 7 AS kind
+FROM (SELECT seq, source_id, edition_date, no, title, snippet, link, published_at, row_number() OVER (PARTITION BY source_id, edition_date ORDER BY seq) AS feed_pos
+      FROM headline JOIN outlet USING (source_id))
+""", ["headline", "outlet"])
+
+_view("payload", f"""
+SELECT source_id, edition_date, CAST(fetch_no AS BIGINT) AS fetch_no, CASE WHEN kind = 4 THEN 'koi8-r' WHEN kind = 5 AND latin THEN 'iso-8859-1' ELSE 'utf-8' END AS enc, kind,
+  CASE WHEN kind = 3 THEN '<html><body>503</body></html>' ELSE concat('<?xml version="1.0" encoding="',
+    CASE WHEN kind = 4 THEN 'koi8-r' WHEN kind = 5 AND latin THEN 'iso-8859-1' ELSE 'utf-8' END, '"?>',
+    CASE no % 3 WHEN 0 THEN '<rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom"><channel><title>f</title>' WHEN 1 THEN '<feed xmlns="http://www.w3.org/2005/Atom">'
+      ELSE '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>f</title></channel>' END,
+    items, CASE no % 3 WHEN 0 THEN '</channel></rss>' WHEN 1 THEN '</feed>' ELSE '</rdf:RDF>' END) END AS xml
+FROM (SELECT source_id, edition_date, fetch_no, no, kind, items, regexp_full_match(items, '[\\x{{0}}-\\x{{FF}}]*') AS latin FROM (
+  SELECT source_id, edition_date, fetch_no, no, kind, string_agg({_ITEM}, '' ORDER BY pos) AS items FROM feed_item GROUP BY ALL))
+""", ["feed_item"])
+
+_view("parsed_feed", """
+SELECT seq, source_id, edition_date, CAST(fetch_no AS BIGINT) AS fetch_no, CAST(pos AS INTEGER) AS feed_pos, title,
+  CASE WHEN no % 3 = 0 AND link = '' THEN concat('https://alt.example/', seq) ELSE link END AS link, snippet,
+  CASE WHEN no % 3 = 2 THEN CAST(CAST(published_at AS DATE) AS TIMESTAMP) ELSE date_trunc('second', published_at) END AS published_at
+FROM feed_item WHERE kind NOT IN (3, 4) AND pos <= 20
+""", ["feed_item"])

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from newslens.functions.regions import REGION_LABELS
 from newslens.functions.text import MAX_SNIPPET, MAX_TITLE, array_of, clean_link, clean_text, collapse, escape_link_text
 from newslens.functions.wires import ascii_word
-from newslens.operators import audit, stories, tagging
+from newslens.operators import audit, scoring, stories, tagging
 from newslens.operators.numbering import by_id, sliced_row_number
 from newslens.session import staged
+from newslens.sources.feeds import mark_rejected
 
 # Parameters of the views: words that occur in the supplied text.
 GAZETTEER = {"countries": ["rewh", "inoran", "nicht"], "companies": ["license", "erenan"], "keywords": ["para", "sich"]}
@@ -209,3 +210,84 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
     body = F.array_join(F.transform(lines, piece), "\n")
     news = F.when(d % 3 != 0, s("\n\n## Noticias utilizadas\n", F.array_join(F.transform(lines, entry), ""))).otherwise(F.lit(""))
     return base.select(F.col("seq").alias("report_id"), "edition_date", F.concat(body, news).alias("markdown"))
+
+
+def _escaped(c: Column) -> Column:
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(raw), F.lit(safe))
+    return c
+
+
+def payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Feed payloads of at most 25 headlines per outlet, edition and fetch, in the outlet's format.
+
+    By day and outlet some fail, some name an unknown charset and some are Latin-1.
+    """
+    h = headlines(spark, sf).select("seq", "source_id", "edition_date", "title", "snippet", "link", "published_at")
+    positioned = feed_positions(h, ["source_id", "edition_date"]).join(outlets(spark, sf).select("source_id", "no"), "source_id")
+    s = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    seq, title, link, text = F.col("seq").cast("string"), _escaped(F.col("title")), _escaped(F.col("link")), _escaped(F.col("snippet"))
+    date = lambda fmt: F.coalesce(F.date_format("published_at", fmt), F.lit(""))
+    dated = F.when(F.col("published_at").isNull(), "")
+    item = (
+        F.when(F.col("no") % 3 == 0, s(
+            "<item><title>", title, "</title><link>", link, '</link><guid isPermaLink="false">id-', seq, '</guid><atom:link href="https://alt.example/',
+            seq, '"/><description>', text, "</description><pubDate>",
+            dated.otherwise(s(date("EEE, dd MMM yyyy HH:mm:ss"), " +0000")), "</pubDate></item>"))
+        .when(F.col("no") % 3 == 1, s(
+            '<entry><title type="html">', title, '</title><link href="https://self.example/', seq, '" rel="self"/><link href="', link,
+            '" rel="alternate"/><summary>', text, "</summary><published>",
+            dated.otherwise(s(date("yyyy-MM-dd'T'HH:mm:ss"), "Z")), "</published></entry>"))
+        .otherwise(s("<item><title>", title, "</title><link>", link, "</link><description>", text, "</description><dc:date>", date("yyyy-MM-dd"), "</dc:date></item>"))
+    )
+    pos = F.col("feed_pos") - 1
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "item")))
+    fetched = (
+        positioned.select("source_id", "edition_date", "no", F.floor(pos / 25).alias("fetch_no"), (pos % 25).alias("pos"), item.alias("item"))
+        .groupBy("source_id", "edition_date", "no", "fetch_no").agg(F.array_join(F.transform(ordered, lambda x: x["item"]), "").alias("items"))
+        .withColumn("kind", (F.day("edition_date") + F.col("no")) % 7)
+    )
+    latin = (F.col("kind") == 5) & F.col("items").rlike(r"(?s)^[\x00-\x{FF}]*$")
+    enc = F.when(F.col("kind") == 4, "koi8-r").when(latin, "iso-8859-1").otherwise("utf-8")
+    wrap = lambda rss, atom, rdf: F.when(F.col("no") % 3 == 0, rss).when(F.col("no") % 3 == 1, atom).otherwise(rdf)
+    xml = s(
+        '<?xml version="1.0" encoding="', enc, '"?>',
+        wrap('<rss version="2.0" xmlns:atom="http://www.w3.org/2005/Atom"><channel><title>f</title>', '<feed xmlns="http://www.w3.org/2005/Atom">',
+             '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>f</title></channel>'),
+        F.col("items"), wrap("</channel></rss>", "</feed>", "</rdf:RDF>"),
+    )
+    text_body = F.when(F.col("kind") == 3, F.lit("<html><body>503</body></html>")).otherwise(xml)
+    body = F.when(latin, F.encode(text_body, "ISO-8859-1")).otherwise(F.encode(text_body, "UTF-8"))
+    return mark_rejected(fetched.select("source_id", "edition_date", "fetch_no", body.alias("body")))
+
+
+def responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Classification responses of three providers per batch: some skip items, some are fenced, some unreadable."""
+    t = scoring.batch_assign(staged(tagged(spark, sf).select(
+        "seq", "edition_date", "relation_type", "confidence", "is_international", "matched_countries", "matched_companies"
+    )))
+    ordered = F.array_sort(F.collect_list(F.struct(
+        F.col("item_index").alias("index"), "seq", "is_international", F.col("matched_countries").alias("countries"),
+        F.col("matched_companies").alias("companies"), "relation_type", "confidence",
+    )))
+    batches = t.groupBy("edition_date", "batch_no").agg(ordered.alias("items")).withColumn(
+        "provider_rank", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))
+    )
+    answered = F.filter("items", lambda x: (x["seq"] + F.col("provider_rank")) % 10 != 3)
+    rows = F.transform(answered, lambda x: F.to_json(F.struct(
+        x["index"].alias("index"), x["is_international"].alias("is_international"), x["countries"].alias("countries"),
+        x["companies"].alias("companies"), x["relation_type"].alias("relation_type"), x["confidence"].alias("confidence"),
+        F.concat(F.lit("regla "), x["relation_type"]).alias("reason"),
+    )))
+    listed = F.concat(F.lit("["), F.array_join(rows, ","), F.lit("]"))
+    broken = (F.col("batch_no") + F.col("provider_rank") + F.day("edition_date")) % 4 == 0
+    text = (
+        F.when(broken, F.lit("Lo siento, no puedo."))
+        .when(F.col("batch_no") % 3 == 0, F.concat(F.lit("```json\n"), listed, F.lit("\n```")))
+        .when(F.col("batch_no") % 3 == 1, F.concat(F.lit("Resultado: "), listed, F.lit(" listo"))).otherwise(listed)
+    )
+    return batches.select("edition_date", "batch_no", "provider_rank", text.alias("response"))
+
+
+def batch_items(spark: SparkSession, sf: str) -> DataFrame:
+    return scoring.batch_assign(headlines(spark, sf).select("seq", "edition_date", "title", "snippet"))
