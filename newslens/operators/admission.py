@@ -105,17 +105,23 @@ def _starts(rate: Rate):
     return chain
 
 
+def spend(us: list[int], held: int, last: int, rate: Rate) -> tuple[list[bool], list[int], int]:
+    """Decisions and remaining tokens for requests at times `us`, given the tokens held at `last`; and the final tokens."""
+    admitted, tokens = [], []
+    for t in us:
+        held, last = min(rate.full, held + (t - last) * rate.count), t
+        ok = held >= rate.one
+        held -= rate.one if ok else 0
+        admitted.append(ok)
+        tokens.append(held)
+    return admitted, tokens, held
+
+
 def _replay(rate: Rate):
     def replay(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("event_id")
-        held, last = int(frame["held"].iloc[0]), int(frame["us"].iloc[0])
-        admitted, tokens = [], []
-        for t in frame["us"].tolist():
-            held, last = min(rate.full, held + (t - last) * rate.count), t
-            ok = held >= rate.one
-            held -= rate.one if ok else 0
-            admitted.append(ok)
-            tokens.append(held)
+        us = frame["us"].tolist()
+        admitted, tokens, _ = spend(us, int(frame["held"].iloc[0]), us[0], rate)
         return frame[["client", "event_id", "us"]].assign(admitted=admitted, tokens=tokens)
 
     return replay

@@ -8,5 +8,6 @@ from newslens.plans import (  # noqa: F401
     report_queries,
     scoring_queries,
     story_queries,
+    stream_queries,
 )
 from newslens.plans.registry import ORACLE, QUERIES  # noqa: F401

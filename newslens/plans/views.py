@@ -110,12 +110,14 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
     ))
 
 
+def usage_stage(event_type: Column) -> Column:
+    stage = {"view": "clasificacion", "click": "agrupamiento", "purchase": "redaccion", "signup": "fidelidad"}
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in stage.items() for x in pair]), event_type)
+
+
 def usage_events(spark: SparkSession, sf: str) -> DataFrame:
-    stage = F.create_map(*[F.lit(x) for pair in {
-        "view": "clasificacion", "click": "agrupamiento", "purchase": "redaccion", "signup": "fidelidad",
-    }.items() for x in pair])
     return table(spark, sf, "events").select(
-        "event_id", F.col("ts").cast("date").alias("run"), F.try_element_at(stage, F.col("event_type")).alias("stage"),
+        "event_id", F.col("ts").cast("date").alias("run"), usage_stage(F.col("event_type")).alias("stage"),
         (F.col("value").cast("decimal(18,2)") / F.lit(1000)).cast("decimal(18,6)").alias("cost"),
         F.get_json_object("props", "$.k").cast("bigint").alias("prompt_tokens"),
         (F.col("event_id") % 100).alias("completion_tokens"),
@@ -134,16 +136,18 @@ def client_requests(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(F.col("user_id").cast("string").alias("client"), "ts", "event_id")
 
 
-def subscription_events(spark: SparkSession, sf: str) -> DataFrame:
-    action = F.create_map(*[F.lit(x) for pair in {
-        "signup": "subscribe", "click": "confirm", "error": "unsubscribe", "view": "purge",
-    }.items() for x in pair])
-    return table(spark, sf, "events").where(F.col("event_type") != "purchase").select(
-        F.col("user_id").alias("subscriber"), "ts", "event_id",
-        F.try_element_at(action, F.col("event_type")).alias("action"),
+def as_subscriptions(events: DataFrame) -> DataFrame:
+    action = {"signup": "subscribe", "click": "confirm", "error": "unsubscribe", "view": "purge"}
+    named = F.try_element_at(F.create_map(*[F.lit(x) for pair in action.items() for x in pair]), F.col("event_type"))
+    return events.where(F.col("event_type") != "purchase").select(
+        F.col("user_id").alias("subscriber"), "ts", "event_id", named.alias("action")
     )
 
 
+def subscription_events(spark: SparkSession, sf: str) -> DataFrame:
+    return as_subscriptions(table(spark, sf, "events"))
+
+
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Two simple models judged against the quality label."""
     docs = table(spark, sf, "documents").select("doc_id", "n_chars", "lang")
