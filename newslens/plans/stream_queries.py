@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from newslens.functions.text import utc_ntz
 from newslens.plans import event_queries as e
 from newslens.plans import views as v
 from newslens.plans.registry import query
@@ -37,7 +38,7 @@ SELECT date_trunc('day', ts) AS window_start, coalesce(CASE event_type WHEN 'vie
 def edition_window(spark, sf):
     stage = F.coalesce(v.usage_stage(F.col("event_type")), F.lit("otros"))
     counts = drain_totals(windows.edition_window(event_stream(spark, sf), stage), "edition_window")
-    return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return counts.withColumn("window_start", utc_ntz(F.col("window_start")))
 
 
 @query("signup_window", """
@@ -47,7 +48,7 @@ SELECT window_start, count(*) AS sent, count(*) >= 90 AS capped FROM (
 def signup_window(spark, sf):
     sends = event_stream(spark, sf).where(F.col("event_type") == "signup")
     counts = drain_totals(windows.signup_window(sends, 90), "signup_window")
-    return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return counts.withColumn("window_start", utc_ntz(F.col("window_start")))
 
 
 @query("feed_stream", f"""

@@ -16,12 +16,12 @@ OUT = "client string, event_id bigint, us bigint, admitted boolean, tokens bigin
 STATE = "tokens bigint, last bigint"
 
 
-def admit_stream(requests: DataFrame, rate: Rate) -> DataFrame:
+def admit_stream(requests: DataFrame, rate: Rate, delay: str = "1 hour") -> DataFrame:
     """Decision on each request of a stream (client, ts, event_id), as the batch operator gives it.
 
-    A bucket that has had time to refill is dropped by a processing-time timeout: a new one is just as full.
+    A bucket that has had time to refill is dropped once the watermark passes that time: a new one is just as full.
     """
-    refill_ms = rate.full // rate.count // 1000 + 1
+    refill_us = rate.full // rate.count + 1
 
     def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -31,9 +31,14 @@ def admit_stream(requests: DataFrame, rate: Rate) -> DataFrame:
         us = batch["us"].tolist()
         held, last = state.get if state.exists else (rate.full, us[0])
         admitted, tokens, held = spend(us, held, last, rate)
-        state.update((held, us[-1]))
-        state.setTimeoutDuration(refill_ms)
+        refilled_ms = (us[-1] + refill_us) // 1000
+        if refilled_ms > state.getCurrentWatermarkMs():
+            state.update((held, us[-1]))
+            state.setTimeoutTimestamp(refilled_ms)
+        elif state.exists:
+            state.remove()
         yield batch[["client", "event_id", "us"]].assign(admitted=admitted, tokens=tokens)
 
-    keyed = requests.select("client", "event_id", epoch_us(F.col("ts")).alias("us"))
-    return keyed.groupBy("client").applyInPandasWithState(decide, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.withColumn("at", F.timestamp_micros(epoch_us(F.col("ts")))).withWatermark("at", delay)
+    keyed = timed.select("client", "event_id", "at", epoch_us(F.col("ts")).alias("us"))
+    return keyed.groupBy("client").applyInPandasWithState(decide, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
