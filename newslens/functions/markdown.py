@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from newslens.functions.binding import let
 from newslens.functions.regions import EMPTY_REGION, REGION_ORDER, region_label
 from newslens.functions.text import NEWS_HEADING, array_of, strip
 
@@ -62,8 +63,12 @@ def subsections(body: Column) -> Column:
 
 def last_per_heading(parts: Column) -> Column:
     """Keeps the last of the parts that share a heading."""
-    later = lambda i: F.slice(parts, i + F.lit(2), F.size(parts))
-    return F.filter(parts, lambda p, i: ~F.exists(later(i), lambda q: q["heading"] == p["heading"]))
+
+    def last_only(ps: Column) -> Column:
+        later = lambda i: F.slice(ps, i + F.lit(2), F.size(ps))
+        return F.filter(ps, lambda p, i: ~F.exists(later(i), lambda q: q["heading"] == p["heading"]))
+
+    return let(parts, last_only)
 
 
 def section_body(md: Column, heading: str) -> Column:
@@ -190,12 +195,15 @@ def body_lines(md: Column) -> Column:
     """Array of (section, text): the trimmed lines that say something, outside headings and the news list."""
     blocks = F.split(F.concat(F.lit("\n"), md), r"\n[ \t\r\f]*## (?=[^\n]*\S)")
 
+    def said(section: Column, rest: Column) -> Column:
+        lines = F.when(section != NEWS_SECTION, F.transform(F.split(rest, "\n"), strip))
+        kept = F.filter(F.coalesce(lines, F.array().cast("array<string>")), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))
+        return F.transform(kept, lambda x: F.struct(section.alias("section"), x.alias("text")))
+
     def block(b: Column, i: Column) -> Column:
         head = F.when(i == 0, F.lit("")).otherwise(F.substring_index(b, "\n", 1))
-        section = strip(head)
-        lines = F.transform(F.split(F.substr(b, F.length(head) + 1), "\n"), strip)
-        said = F.filter(lines, lambda x: (x != "") & ~F.startswith(x, F.lit("#")) & (section != NEWS_SECTION))
-        return F.transform(said, lambda x: F.struct(section.alias("section"), x.alias("text")))
+        cut = let(head, lambda h: F.struct(strip(h).alias("section"), F.substr(b, F.length(h) + 1).alias("rest")))
+        return let(cut, lambda c: said(c["section"], c["rest"]))
 
     return F.flatten(F.transform(blocks, block))
 
@@ -241,7 +249,7 @@ def absent_regions(md: Column) -> Column:
     start, end = _regions_span(md)
     body = F.when(start == 0, F.lit("")).otherwise(F.substr(md, start, end - start))
     found = F.transform(subsections(body), lambda s: s["heading"])
-    return F.filter(array_of(REGION_ORDER), lambda r: ~F.array_contains(found, region_label(r)))
+    return let(found, lambda f: F.filter(array_of(REGION_ORDER), lambda r: ~F.array_contains(f, region_label(r))))
 
 
 def fill_regions(md: Column, absent: Column, texts: Column) -> Column:

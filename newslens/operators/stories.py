@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newslens.functions.binding import let
 from newslens.functions.text import normalize_set
 from newslens.functions.wires import WIRE_AGENCIES, detect_wire, voice_key
 from newslens.operators.numbering import by_id, sliced_row_number
@@ -159,11 +160,13 @@ def validate_groups(groups: Column, n_items: Column) -> Column:
         F.filter(F.coalesce(g["items"], F.array().cast("array<int>")), lambda n: (n >= 1) & (n <= n_items)),
         lambda n: F.struct(gi.alias("g"), n.alias("n")),
     )))
-    first = F.filter(tagged, lambda x, i: ~F.exists(F.slice(tagged, F.lit(1), i), lambda y: y["n"] == x["n"]))
-    kept = F.transform(groups, lambda g, gi: F.struct(
-        F.trim(g["event"]).alias("event"),
-        F.transform(F.filter(first, lambda x: x["g"] == gi), lambda x: x["n"]).alias("items"),
+    first = let(tagged, lambda ts: F.filter(
+        ts, lambda x, i: ~F.exists(F.slice(ts, F.lit(1), i), lambda y: y["n"] == x["n"])
     ))
+    kept = let(first, lambda fs: F.transform(groups, lambda g, gi: F.struct(
+        F.trim(g["event"]).alias("event"),
+        F.transform(F.filter(fs, lambda x: x["g"] == gi), lambda x: x["n"]).alias("items"),
+    )))
     return F.filter(kept, lambda g: F.size(g["items"]) >= 2)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newslens.functions.binding import bind
 from newslens.functions.text import lower_simple
 
 Gazetteer = dict[str, list[str]]
@@ -19,8 +20,9 @@ def matched(lowered: Column, terms: list[str]) -> Column:
 def prefilter(h: DataFrame, gazetteer: Gazetteer, text: Column | None = None) -> DataFrame:
     """Adds matched_countries/companies/keywords and `passed`: a company, a keyword or two countries."""
     source = F.concat_ws(" ", "title", "snippet") if text is None else text
-    tagged = h.withColumn("_lowered", lower_simple(source)).withColumns(
-        {f"matched_{k}": matched(F.col("_lowered"), gazetteer.get(k, [])) for k in ("countries", "companies", "keywords")}
+    lowered = bind(h, {"_lowered": lower_simple(source)})
+    tagged = bind(
+        lowered, {f"matched_{k}": matched(F.col("_lowered"), gazetteer.get(k, [])) for k in ("countries", "companies", "keywords")}
     )
     passed = (
         (F.size("matched_companies") > 0) | (F.size("matched_keywords") > 0) | (F.size("matched_countries") >= 2)

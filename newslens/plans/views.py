@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newslens.functions.binding import bind
 from newslens.functions.regions import REGION_LABELS
 from newslens.functions.text import MAX_SNIPPET, MAX_TITLE, array_of, clean_link, clean_text, collapse, escape_link_text
 from newslens.functions.wires import ascii_word
 from newslens.operators import audit, scoring, stories, tagging
 from newslens.operators.numbering import by_id, sliced_row_number
-from newslens.session import staged
+from newslens.session import spread, staged
 from newslens.sources.feeds import mark_rejected
 
 # Parameters of the views: words that occur in the supplied text.
@@ -22,8 +23,21 @@ NOW = "2024-01-31 00:00:00"
 MAX_AGE = 240
 
 
+# Columns of the supplied tables that the views read; stating them saves a look into the files for every query.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def now() -> Column:
@@ -60,7 +74,8 @@ def headlines(spark: SparkSession, sf: str) -> DataFrame:
     """One headline per document: first line the title, the rest the snippet; `full_text` is the whole clean text."""
     events, pages = table(spark, sf, "events"), table(spark, sf, "pages")
     n_events, n_pages = events.agg(F.count("*")).scalar(), pages.agg(F.count("*")).scalar()
-    docs = table(spark, sf, "documents").select(
+    texts = spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
+    docs = texts.select(
         F.col("doc_id").alias("seq"), F.col("source").alias("source_id"), "text",
         ((F.col("doc_id") * 7919) % n_events).alias("event_id"), (F.col("doc_id") % n_pages).alias("page_id"),
     )
@@ -85,7 +100,8 @@ def feed_positions(h: DataFrame, feed: list[str]) -> DataFrame:
 
 def tagged(spark: SparkSession, sf: str) -> DataFrame:
     """Headlines with outlet, dictionary matches over the whole text and the rule classifier's answer."""
-    h = headlines(spark, sf).drop("text").join(outlets(spark, sf).drop("no"), "source_id")
+    h = bind(headlines(spark, sf).drop("full_text"), {"full_text": collapse(F.col("text"))}).drop("text")
+    h = h.join(outlets(spark, sf).drop("no"), "source_id")
     scored = tagging.rule_classify(tagging.prefilter(h, GAZETTEER, F.col("full_text")), RELATIONS)
     return scored.withColumns({
         "error": F.when(F.col("seq") % 13 == 0, F.lit("timeout")),
