@@ -81,7 +81,7 @@ def transfer(us: list[int], rate: Rate) -> list[tuple[int, int, int]]:
 
 def _summaries(rate: Rate):
     def reduce_chunk(frame: pd.DataFrame) -> pd.DataFrame:
-        us = sorted(frame["us"])
+        us = frame.sort_values("event_id")["us"].tolist()
         pieces = transfer(us, rate)
         return pd.DataFrame({
             "client": [frame["client"].iloc[0]], "chunk": [frame["chunk"].iloc[0]], "first_us": [us[0]], "last_us": [us[-1]],
@@ -130,7 +130,7 @@ def _replay(rate: Rate):
 def admit(requests: DataFrame, rate: Rate, small: int = SMALL_CLIENT, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Decision on every request (client, ts, event_id): admitted, and the token units left.
 
-    `event_id` numbers the requests in the order of arrival.
+    `event_id` numbers the requests in the order of arrival, in which `ts` does not run backwards.
     """
     keyed = requests.select("client", "event_id", epoch_us(F.col("ts")).alias("us"))
     busy = keyed.groupBy("client").agg(F.count("*").alias("_k")).where(F.col("_k") > small).select("client")
