@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from newslens.functions.text import lower_simple
 
 Gazetteer = dict[str, list[str]]
 
+SMALL_DICTIONARY = 2000
+GRAM = 4
+
 
 def matched(lowered: Column, terms: list[str]) -> Column:
     """Terms of a short list that occur in lower-cased text, in list order. Stays in generated code."""
@@ -35,22 +40,42 @@ def prefilter_switch(h: DataFrame, enabled: bool) -> DataFrame:
     return h.where("passed") if enabled else h
 
 
-def gazetteer_join(notes: DataFrame, dictionary: DataFrame, key: str, text: Column) -> DataFrame:
-    """(key, kind, term) for every dictionary term that occurs in a text, for dictionaries of any size.
+def _with_needle(dictionary: DataFrame) -> DataFrame:
+    return dictionary.select("kind", "term", lower_simple(F.col("term")).alias("needle")).where(F.col("needle") != "")
+
+
+def _scan_terms(texts: DataFrame, terms: list[dict], key: str) -> DataFrame:
+    """Every term looked for in every text; the dictionary is one constant array, so texts do not move."""
+    listed = F.from_json(F.lit(json.dumps(terms)), "array<struct<kind:string,term:string,needle:string>>")
+    hits = F.filter(listed, lambda t: F.contains(F.col("_text"), t["needle"]))
+    return texts.select(key, F.explode(hits).alias("_t")).select(key, "_t.kind", "_t.term")
+
 
-    A term is looked up by its first three code points (all of it when shorter), so only texts that contain those
-    meet the term; the hit is then verified on the whole text. Texts travel once, on their key.
+def _join_terms(texts: DataFrame, needles: DataFrame, key: str) -> DataFrame:
+    """Terms meet the texts that contain their first code points; the hit is then verified on the whole text."""
+    keyed = needles.withColumn("_gram", F.left("needle", F.lit(GRAM)))
+    # At most GRAM different lengths, whatever the dictionary.
+    sizes = [r[0] for r in keyed.select(F.length("_gram")).distinct().collect()]
+    grams = [F.regexp_extract_all("_text", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
+    parts = texts.select(key, F.explode(F.array_distinct(F.concat(*grams))).alias("_gram"))
+    candidates = parts.join(keyed, "_gram").select(key, "kind", "term", "needle")
+    return candidates.join(texts, key).where(F.contains("_text", F.col("needle"))).select(key, "kind", "term")
+
+
+def gazetteer_join(
+    notes: DataFrame, dictionary: DataFrame, key: str, text: Column, small: int = SMALL_DICTIONARY
+) -> DataFrame:
+    """(key, kind, term) for every dictionary term that occurs in a text.
+
+    Up to `small` terms, which is counted first, the dictionary goes to the texts; a larger one is joined by the first
+    code points of its terms, and texts travel once, on their key.
     """
-    lowered = notes.select(key, lower_simple(text).alias("_text"))
-    needles = dictionary.select("kind", "term", lower_simple(F.col("term")).alias("_needle")).withColumn(
-        "_gram", F.left("_needle", F.lit(3))
-    )
-    grams = [F.regexp_extract_all("_text", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]
-    keyed = lowered.select(key, F.explode(F.array_distinct(F.concat(*grams))).alias("_gram"))
-    candidates = keyed.join(needles, "_gram").select(key, "kind", "term", "_needle")
-    return (
-        candidates.join(lowered, key).where(F.contains("_text", F.col("_needle"))).select(key, "kind", "term")
-    )
+    needles = _with_needle(dictionary)
+    texts = bind(notes, {"_text": lower_simple(text)}).select(key, "_text")
+    some = needles.limit(small + 1).collect()
+    if len(some) <= small:
+        return _scan_terms(texts, [r.asDict() for r in some], key)
+    return _join_terms(texts, needles, key)
 
 
 def rule_classify(h: DataFrame, relations: list[tuple[str, str]]) -> DataFrame:

@@ -90,7 +90,7 @@ def review_sample_headlines(spark, sf):
 
 
 def report_claims(spark, sf):
-    return reports.claims(reports.resolve_citations(v.reports(spark, sf), v.notes(spark, sf)))
+    return reports.claims(reports.resolve_citations(v.stored_reports(spark, sf), v.notes(spark, sf)))
 
 
 @query("review_sample_claims", """

@@ -41,7 +41,7 @@ SELECT doc_id, {o.clean_text("split_part(text, chr(10), 1)", 300)} AS title, {o.
 """)
 def clean_text_query(spark, sf):
     text = F.col("text")
-    return v.table(spark, sf, "documents").select(
+    return v.documents(spark, sf).select(
         "doc_id", clean_text(F.split_part(text, F.lit("\n"), F.lit(1)), 300).alias("title"), clean_text(text, 1000).alias("snippet"),
         F.length(collapse(text)).cast("bigint").alias("whole_length"),
     )
@@ -194,7 +194,7 @@ SELECT doc_id, kind, term FROM (SELECT doc_id, lower(replace(text, 'İ', 'i')) A
 JOIN (SELECT kind, term, lower(term) AS needle FROM ({_TERMS})) ON contains(lc, needle)
 """)
 def gazetteer_join(spark, sf):
-    docs = v.table(spark, sf, "documents").select("doc_id", "text")
+    docs = v.documents(spark, sf).select("doc_id", "text")
     return tagging.gazetteer_join(docs, benchmark_terms(spark, sf), "doc_id", F.col("text"))
 
 

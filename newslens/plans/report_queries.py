@@ -10,6 +10,7 @@ from newslens.operators import coverage, reports
 from newslens.plans import oracle as o
 from newslens.plans import views as v
 from newslens.plans.registry import query
+from newslens.session import staged
 
 _NL = "chr(10)"
 
@@ -146,7 +147,7 @@ FROM (SELECT t.*, n.url IS NOT NULL AND NOT starts_with(tok, '!') AS keep FROM l
 GROUP BY report_id, edition_date
 """, ("link_token", "note_link"))
 def strip_unknown_links(spark, sf):
-    return reports.strip_unknown_links(v.reports(spark, sf), v.notes(spark, sf))
+    return reports.strip_unknown_links(v.stored_reports(spark, sf), v.notes(spark, sf))
 
 
 @query("citation_lookup", """
@@ -169,7 +170,7 @@ SELECT report_id, edition_date, markdown, CAST(resolved AS INTEGER) AS resolved,
 
 
 def resolved(spark, sf):
-    return reports.resolve_citations(v.reports(spark, sf), v.notes(spark, sf))
+    return reports.resolve_citations(v.stored_reports(spark, sf), v.notes(spark, sf))
 
 
 @query("resolve_citations", _STATS, ("resolved_report", "body_line"))
@@ -237,7 +238,7 @@ SELECT report_id, edition_date, claim_no, CASE WHEN report_id % 9 <> 0 AND (repo
 
 
 def judged(spark, sf):
-    claims = batched(spark, sf)
+    claims = staged(batched(spark, sf))
     return reports.verdict_join(claims, verdicts(claims))
 
 

@@ -70,12 +70,15 @@ def outlets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
+
+
 def headlines(spark: SparkSession, sf: str) -> DataFrame:
     """One headline per document: first line the title, the rest the snippet; `full_text` is the whole clean text."""
     events, pages = table(spark, sf, "events"), table(spark, sf, "pages")
     n_events, n_pages = events.agg(F.count("*")).scalar(), pages.agg(F.count("*")).scalar()
-    texts = spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
-    docs = texts.select(
+    docs = documents(spark, sf).select(
         F.col("doc_id").alias("seq"), F.col("source").alias("source_id"), "text",
         ((F.col("doc_id") * 7919) % n_events).alias("event_id"), (F.col("doc_id") % n_pages).alias("page_id"),
     )
@@ -232,6 +235,11 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
     return base.select(F.col("seq").alias("report_id"), "edition_date", F.concat(body, news).alias("markdown"))
 
 
+def stored_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports as a written table, for queries that read them more than once."""
+    return staged(reports(spark, sf))
+
+
 def _escaped(c: Column) -> Column:
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         c = F.replace(c, F.lit(raw), F.lit(safe))

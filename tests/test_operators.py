@@ -70,12 +70,13 @@ def test_gazetteer_join_matches_contains(spark):
     word = lambda k: "".join(r.choice("abİé ") for _ in range(k))
     texts = [(i, word(r.randrange(0, 60))) for i in range(80)]
     words = sorted({word(k) for k in (1, 1, 2, 2, 3, 4, 5, 6) for _ in range(4)})
-    got = tagging.gazetteer_join(
-        spark.createDataFrame(texts, "k int, t string"), spark.createDataFrame([("x", w) for w in words], "kind string, term string"), "k", F.col("t")
-    )
+    notes, terms = spark.createDataFrame(texts, "k int, t string"), spark.createDataFrame([("x", w) for w in words], "kind string, term string")
     low = lambda s: s.replace("İ", "i").lower()
     want = sorted((i, w) for i, t in texts for w in words if low(w) in low(t))
-    assert sorted((a.k, a.term) for a in got.collect()) == want
+    for small in (1000, 3):
+        got = tagging.gazetteer_join(notes, terms, "k", F.col("t"), small)
+        assert sorted((a.k, a.term) for a in got.collect()) == want
+    assert tagging.gazetteer_join(notes, terms.limit(0), "k", F.col("t")).count() == 0
 
 
 def note(seq, source, country, ownership="privado", companies=(), countries=(), relation="trade", title="t", snippet=""):
