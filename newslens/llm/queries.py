@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm import lines, packing, phrases, toxicity
+from newslens.llm import jaccard, lines, packing, phrases, toxicity
 from newslens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,11 @@ def op10_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op10_repeated_phrases"] = phrases.SQL
+
+
+@query
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+ORACLE["op4_jaccard_join"] = jaccard.SQL
