@@ -11,8 +11,9 @@ Other columns of the input are not read.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,42 +25,54 @@ from newslens.llm.common import blocks
 from newslens.session import run_dir
 
 SEQUENCE = 1024
-CACHE = 400_000
-LOOSE_SPACE = re.compile(r" \s")
 
 
-class WordEncoder:
-    """Token ids (little-endian, four bytes each) of texts, by a byte-level BPE whose words start at their blank.
+# Fixed value: the published pattern that splits a text before the merges of this family of byte-level tokenizers.
+PIECES_OF_TEXT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    Such a tokenizer never merges over the blank before a word, so the ids of " word" are the same in every text. A text in which a blank
-    is followed by more white space is given to the tokenizer as a whole.
+
+class Encoder:
+    """Token ids (little-endian, four bytes each) of texts by the byte-level BPE of a tokenizers file.
+
+    Where the file's merges are in the order of their ids, its vocabulary is run as ranks, which gives the same ids several times faster;
+    any other tokenizer is run as it is. Special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.tokenizer.encode_special_tokens = True
+        self.fast = None
+        split = self.tokenizer.pre_tokenizer
+        if self.tokenizer.normalizer is None and isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space:
+            self.fast = by_rank(path)
+
+    def encode(self, text: str) -> bytes:
+        ids = self.fast.encode_ordinary(text) if self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
+        return array("I", ids).tobytes()
+
+
+def by_rank(path: str):
+    """The tokenizer of a file as a rank-based encoder, or None if its ids are not in the order of its merges."""
+    import tiktoken
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [vocab["".join(m)] for m in merges]
+    if model.get("type") != "BPE" or model.get("dropout") or any(a >= b for a, b in zip(made, made[1:], strict=False)):
+        return None
+    shown = byte_letters()
+    ranks = {bytes(shown[c] for c in t): i for t, i in vocab.items() if all(c in shown for c in t) and (len(t) == 1 or i >= made[0])}
+    return tiktoken.Encoding("ranks", pat_str=PIECES_OF_TEXT, mergeable_ranks={t: i for t, i in ranks.items() if i <= made[-1]}, special_tokens={})
 
-    def learn(self, known: dict[str, bytes], words: set[str], lead: str) -> None:
-        new = [w for w in words if w not in known]
-        known.update(zip(new, self.ids([lead + w for w in new]), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.first) + len(self.later) > CACHE:
-            self.first.clear()
-            self.later.clear()
-        loose = [LOOSE_SPACE.search(t) is not None for t in texts]
-        words = [None if bad else t.split(" ") for t, bad in zip(texts, loose, strict=True)]
-        self.learn(self.first, {w[0] for w in words if w}, "")
-        self.learn(self.later, {x for w in words if w for x in w[1:]}, " ")
-        whole = iter(self.ids([t for t, bad in zip(texts, loose, strict=True) if bad]))
-        get = self.later.__getitem__
-        return [next(whole) if w is None else self.first[w[0]] + b"".join(map(get, w[1:])) for w in words]
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it is printable Latin-1, else the next from U+0100 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
 TOKENS = "part int, first long, doc_id long, ids binary"
@@ -71,11 +84,11 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     end = end_id.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, first, encoder = TaskContext.get().partitionId(), 0, WordEncoder(tokenizer)
+        part, first, encoder = TaskContext.get().partitionId(), 0, Encoder(tokenizer)
         for batch in batches:
             keys, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for a, b in blocks(texts):
-                ids = [x + end for x in encoder.encode(texts[a:b])]
+                ids = [encoder.encode(t) + end for t in texts[a:b]]
                 before = []
                 for x in ids:
                     before.append(first)
