@@ -204,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, support: float = 0.01, least: float
     """Learns a model from the labelled ones among `docs`. The lexicon holds `size` entries at most."""
     known = labelled(labels)
     body = F.coalesce("text", F.lit(""))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), body.alias("text")).join(known, F.col("id") == F.col("label_id")).select("text", "toxic")
+    # Labels grow with the corpus: the same merge join at every size.
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), body.alias("text")).join(known.hint("merge"), F.col("id") == F.col("label_id")).select("text", "toxic")
     model = ToxicityModel(learn_weights(texts, support, least, size))
     if not model.weights:
         return model
