@@ -16,6 +16,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ PIECES_OF_TEXT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 
 
 class Encoder:
-    """Token ids (little-endian, four bytes each) of texts by the byte-level BPE of a tokenizers file.
+    """Token ids (little-endian, two bytes each where the vocabulary allows, else four) of texts by the byte-level BPE of a tokenizers file.
 
     Where the file's merges are in the order of their ids, its vocabulary is run as ranks, which gives the same ids several times faster;
     any other tokenizer is run as it is. Special tokens in a text are ordinary text.
@@ -43,6 +44,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.kind = id_kind(self.tokenizer.get_vocab_size())
         self.fast = None
         split = self.tokenizer.pre_tokenizer
         if self.tokenizer.normalizer is None and isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space:
@@ -50,7 +52,11 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         ids = self.fast.encode_ordinary(text) if self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+        return array(self.kind, ids).tobytes()
+
+
+def id_kind(size: int) -> str:
+    return "H" if size <= 1 << 16 else "I"
 
 
 def by_rank(path: str):
@@ -75,16 +81,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-TOKENS = "part int, first long, doc_id long, ids binary"
+TOKENS = "part int, first long, doc_id long, n long, ids binary"
+#: Bytes that a writing task gathers before it writes them.
+ROW_GROUP = 1 << 24
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, boundary string"
 
 
 def tokens(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Token ids of every document with the partition it was in and the number of ids before it there; written to the shared folder."""
-    end = end_id.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, first, encoder = TaskContext.get().partitionId(), 0, Encoder(tokenizer)
+        width = array(encoder.kind).itemsize
+        end = end_id.to_bytes(width, "little")
         for batch in batches:
             keys, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for a, b in blocks(texts):
@@ -92,16 +101,22 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
                 before = []
                 for x in ids:
                     before.append(first)
-                    first += len(x) // 4
+                    first += len(x) // width
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(ids), pa.int32()), pa.array(before, pa.int64()), keys.slice(a, b - a), pa.array(ids, pa.binary())],
-                    names=["part", "first", "doc_id", "ids"],
+                    [
+                        pa.array([part] * len(ids), pa.int32()),
+                        pa.array(before, pa.int64()),
+                        keys.slice(a, b - a),
+                        pa.array([len(x) // width for x in ids], pa.int64()),
+                        pa.array(ids, pa.binary()),
+                    ],
+                    names=["part", "first", "doc_id", "n", "ids"],
                 )
 
     spark = docs.sparkSession
     path = run_dir(spark, "tokens")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    narrow.mapInArrow(encode, TOKENS).write.option("compression", "zstd").parquet(path)
+    narrow.mapInArrow(encode, TOKENS).write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(TOKENS).parquet(path)
 
 
@@ -111,7 +126,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int =
     `boundary` tells whether a document is whole in its sequence or cut: head, middle, tail. Only the last sequence is shorter than `length`.
     """
     written = tokens(docs, tokenizer, end_id)
-    totals = written.groupBy("part").agg(F.sum(F.length("ids") / 4).cast("long").alias("n")).orderBy("part").collect()  # one row per partition
+    totals = written.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # one row per partition
     offsets, total = {}, 0
     for row in totals:
         offsets[row["part"]] = total
@@ -120,8 +135,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = SEQUENCE, end_id: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for part, first, doc_id, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at, n, start = offsets[part] + first, len(ids) // 4, 0
+            for part, first, doc_id, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at, start = offsets[part] + first, 0
+                ids = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
                 while start < n:
                     room = length - (at + start) % length
                     size = min(room, n - start)
