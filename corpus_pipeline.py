@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm import lines, packing, toxicity
+from newslens.llm import jaccard, leaks, lines, packing, toxicity
 from newslens.llm.common import table
 from newslens.llm.queries import tokenizer_path
 from newslens.session import run_dir
@@ -23,11 +23,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_one(docs, words=5, percent=80)
+
+
+def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return leaks.drop_leaked(docs, table(spark, sf_dir, "benchmark"))
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("toxicity", toxic_stage), ("line_dedup", line_stage), ("packing", packing_stage)]
+STAGES = [("toxicity", toxic_stage), ("line_dedup", line_stage), ("jaccard_join", jaccard_stage), ("decontamination", leak_stage), ("packing", packing_stage)]
 
 #: The tokenizer and the fitted scores have no SQL; tests compare each stage with a brute-force version.
 ORACLE_SQL = None

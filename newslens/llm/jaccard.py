@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newslens.llm import hashing
-from newslens.llm.common import NO_ID, blocks, documents, fresh
+from newslens.llm.common import NO_ID, blocks, document, documents, fresh
 from newslens.session import staged
 
 RATIO = 1.3
@@ -229,7 +229,6 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with the document of the smallest id of each group of linked ones; rows without shingles all stay."""
     later = linked(docs, words, percent).where("doc <> component").select("doc", "part").distinct()
     doc, part = fresh(docs, "doc_key", "part_key")
-    from newslens.llm.common import document
 
     key, check, _ = document()
     keyed = docs.withColumns({doc: key, part: check})

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm import jaccard, lines, packing, phrases, toxicity
+from newslens.llm import jaccard, leaks, lines, packing, phrases, toxicity
 from newslens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op4_jaccard_join"] = jaccard.SQL
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
