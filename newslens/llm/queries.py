@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm import fingerprints, jaccard, leaks, lines, packing, phrases, secrets, toxicity
+from newslens.llm import fingerprints, jaccard, leaks, lines, packing, phrases, pseudonyms, secrets, toxicity
 from newslens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,13 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scans(table(spark, sf_dir, "documents"))
+
+
+#: The key of the registered query only; a real run brings its own.
+DEMO_KEY = "key of the registered query"
+
+
+@query
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymize(docs, DEMO_KEY, {k: f"n_{k}" for k in pseudonyms.KINDS})
