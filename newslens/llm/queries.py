@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm import fingerprints, jaccard, leaks, lines, packing, phrases, pseudonyms, secrets, toxicity
+from newslens.llm import chats, fingerprints, jaccard, leaks, lines, packing, phrases, pseudonyms, secrets, toxicity
 from newslens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,11 @@ DEMO_KEY = "key of the registered query"
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pseudonyms.pseudonymize(docs, DEMO_KEY, {k: f"n_{k}" for k in pseudonyms.KINDS})
+
+
+@query
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chats.preference_report(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op7_preferences"] = chats.SQL
