@@ -7,7 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-NO_ID = -(2**63)
+#: Stands for a null id; its negative is a number too.
+NO_ID = -(2**63) + 1
 BLOCK_CHARS = 1 << 22
 
 

@@ -14,7 +14,7 @@ class of most shared signatures in its group; verified links give components; th
 the largest one with those of other components. Components are closed by pointer jumping until nothing changes.
 
 Null and empty texts have no shingle and no link; a text with fewer words than a shingle has its whole sequence as one. Null ids count as
-the smallest id and come out as null. Rows with equal ids are joined by that id only if their texts are linked. No other column is read.
+the smallest id and come out as null. Rows that share an id are one document, linked as any of its texts is. No other column is read.
 """
 
 from __future__ import annotations
@@ -190,13 +190,17 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rows = staged(profiles(docs, words, percent))
     full = rows.where("same is not null")
     classes = full.groupBy("same").agg(F.min(F.struct("doc", "part")).alias("first")).select("same", F.col("first.doc").alias("class"), F.col("first.part").alias("at"))
-    # Copies of a row and texts of one id give several rows for one class; its signatures are taken once.
+    twins = full.groupBy("doc").agg(F.min("same").alias("s0"), F.max("same").alias("s1")).where("s0 <> s1").select(F.col("doc").alias("twin"))
+    twins = full.join(twins, F.col("doc") == F.col("twin")).select("twin", F.col("same").alias("s")).join(classes.select("same", "class"), F.col("s") == F.col("same"))
+    leads = twins.groupBy(F.col("twin").alias("t")).agg(F.min("class").alias("b"))
+    given = staged(twins.join(leads, F.col("twin") == F.col("t")).select(F.col("class").alias("a"), "b").where("a <> b").distinct())
+    # Repeated rows give several rows for one class; its signatures are taken once.
     one = full.join(classes.select("class", "at", F.col("same").alias("s")), (F.col("doc") == F.col("class")) & (F.col("part") == F.col("at")) & (F.col("same") == F.col("s")))
     signed = one.select("class", F.col("at").alias("part"), F.explode("signs").alias("sign"))
     shared = signed.groupBy("sign").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     members = staged(signed.join(shared.select(F.col("sign").alias("g"), "n"), F.col("sign") == F.col("g")).select("sign", "class", "part", "n"))
     known = members.select("class", "part").distinct()
-    tokens = staged(shingle_sets(docs, known, words).dropDuplicates(["class"]))
+    tokens = staged(shingle_sets(docs, known, words).distinct())
     # The class that shares most signatures is the centre of its groups: it is likest to the text the others were made from.
     fame = members.groupBy("class").agg(F.sum("n").alias("fame"))
     centres = members.join(fame, "class").groupBy("sign").agg(F.max(F.struct("fame", -F.col("class"))).alias("top"))
@@ -204,7 +208,7 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spokes = members.join(centres, F.col("sign") == F.col("g")).where("class <> centre")
     first = spokes.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
     links = staged(verified(first, tokens, percent))
-    roots = components(links)
+    roots = components(links.union(given))
     placed = members.join(roots, F.col("class") == F.col("node"), "left").select("sign", "class", F.coalesce("root", "class").alias("root"))
     placed = staged(placed.distinct())
     sizes = placed.groupBy("sign", "root").agg(F.count("*").alias("n"))
@@ -214,7 +218,7 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rest = open_groups.join(outside, (F.col("sign") == F.col("s")) & (F.col("root") != F.col("rx")) & ((F.col("root") == F.col("main")) | (F.col("class") < F.col("x"))))
     second = rest.select(F.least("class", "x").alias("a"), F.greatest("class", "x").alias("b")).distinct()
     more = verified(second.join(first, ["a", "b"], "left_anti"), tokens, percent)
-    final = components(links.union(more))
+    final = components(links.union(more).union(given))
     class_root = classes.join(final, F.col("class") == F.col("node"), "left").select(F.col("same").alias("s"), F.coalesce("root", "class").alias("root"))
     return rows.join(class_root, F.col("same") == F.col("s"), "left").select("doc", "part", "n_shingles", F.coalesce("root", "doc").alias("component"))
 
