@@ -9,9 +9,13 @@ signature (-1), and the segment after it gets a one-deletion neighbourhood (+1):
 Two sets that agree in a cheap segment made the same allocation, so the budget H + 1 stays covered: with `a` such segments in common and no
 match in their successors, each of these differs in two shingles or more, and the sum of differences exceeds H again. Nothing is lost.
 
-Equal sets are one class from the start. Classes that share a signature are compared exactly, but never all with all: first each with the
-class of most shared signatures in its group; verified links give components; then, in groups with several components, the classes outside
-the largest one with those of other components. Components are closed by pointer jumping until nothing changes.
+Equal sets are one class from the start. Classes that share a signature are compared exactly, but never all with all: each is compared with
+the centre of its group, the class of most shared signatures. Two classes of a group can only be linked past the centre if one of them, x,
+is not linked to it. Then x differs from the centre c in more than L(|x| + |c|) shingles, L = (1 - t) / (1 + t), while it differs from its
+partner y in at most L(|x| + |y|); so the differences of x and of y from c have more than (|y - c| - L(|y| - |c|)) / 2 shingles in common.
+Prefix filtering finds these pairs: the rarest differences of y, one more than it may miss, meet all differences of such x. In a group of
+edited copies these are shingles of their own edits, which copies of other edits don't have. Found pairs are verified too.
+Components are closed by large-star and small-star rounds until nothing changes.
 
 Null and empty texts have no shingle and no link; a text with fewer words than a shingle has its whole sequence as one. Null ids count as
 the smallest id and come out as null. Rows that share an id are one document, linked as any of its texts is. No other column is read.
@@ -26,7 +30,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newslens.llm import hashing
@@ -142,6 +146,11 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return documents(docs).join(keys, (F.col("doc") == F.col("c")) & (F.col("part") == F.col("p")), "left_semi").mapInArrow(run, "class long, tokens binary")
 
 
+def shared_size(u: np.ndarray, v: np.ndarray) -> int:
+    both = np.sort(np.concatenate([u, v]))
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets really reach the threshold."""
 
@@ -152,15 +161,65 @@ def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
                 u, v = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
                 if 100 * min(len(u), len(v)) < percent * max(len(u), len(v)):
                     keep.append(False)
-                    continue
-                both = np.sort(np.concatenate([u, v]))
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * shared >= percent * (len(u) + len(v) - shared))
+                else:
+                    shared = shared_size(u, v)
+                    keep.append(100 * shared >= percent * (len(u) + len(v) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    return with_sets(pairs, tokens).mapInArrow(run, "a long, b long")
+
+
+def with_sets(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     left = tokens.select(F.col("class").alias("a"), F.col("tokens").alias("x"))
     right = tokens.select(F.col("class").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+
+
+SPOKES = "a long, b long, odd boolean, prefix int, differences array<long>"
+
+
+def compared(spokes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """For pairs of a centre a and a class b: whether they are not linked, their differences, and how many of b's rarest must be looked at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd, prefix, differences = [], [], []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                u, v = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
+                both = np.sort(np.concatenate([u, v]))
+                twice = both[1:] == both[:-1]
+                single = both[~(np.append(twice, False) | np.insert(twice, 0, False))]
+                shared, apart = int(np.count_nonzero(twice)), len(single)
+                odd.append(100 * shared < percent * (len(u) + len(v) - shared))
+                least = (apart * (100 + percent) - (100 - percent) * (len(v) - len(u))) // (2 * (100 + percent)) + 1
+                prefix.append(max(0, apart - least + 1))
+                differences.append(hashing.signed(single))
+            ends = np.cumsum([0, *map(len, differences)])
+            flat = np.concatenate(differences) if differences else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("a"), batch.column("b"), pa.array(odd, pa.bool_()), pa.array(prefix, pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
+                ],
+                names=[x.split()[0] for x in SPOKES.split(", ")],
+            )
+
+    return with_sets(spokes, tokens).mapInArrow(run, SPOKES)
+
+
+def past_centres(star: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that may be linked although not both are linked to their centre."""
+    open_centres = star.where("odd").select(F.col("a").alias("centre")).distinct()
+    known = star.join(open_centres, F.col("a") == F.col("centre"))
+    each = known.select("centre", "b", "odd", "prefix", F.xxhash64("differences").alias("variant"), F.explode("differences").alias("token"))
+    counts = each.groupBy(F.col("centre").alias("c"), F.col("token").alias("t")).agg(F.count("*").alias("n"))
+    ranked = each.join(counts, (F.col("centre") == F.col("c")) & (F.col("token") == F.col("t"))).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("centre", "b", "variant").orderBy("n", "token"))
+    )
+    met = staged(ranked.where("n > 1 and (odd or rank <= prefix)").select("centre", "token", "b", "odd", (F.col("rank") <= F.col("prefix")).alias("rare")))
+    odd = met.where("odd").select(F.col("centre").alias("c"), F.col("token").alias("t"), F.col("b").alias("x"))
+    pairs = met.where("rare").join(odd, (F.col("centre") == F.col("c")) & (F.col("token") == F.col("t")) & (F.col("b") != F.col("x")))
+    return pairs.select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -206,19 +265,10 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     centres = members.join(fame, "class").groupBy("sign").agg(F.max(F.struct("fame", -F.col("class"))).alias("top"))
     centres = centres.select(F.col("sign").alias("g"), (-F.col("top.col2")).alias("centre"))
     spokes = members.join(centres, F.col("sign") == F.col("g")).where("class <> centre")
-    first = spokes.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
-    links = staged(verified(first, tokens, percent))
-    roots = components(links.union(given))
-    placed = members.join(roots, F.col("class") == F.col("node"), "left").select("sign", "class", F.coalesce("root", "class").alias("root"))
-    placed = staged(placed.distinct())
-    sizes = placed.groupBy("sign", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy(F.col("sign").alias("g")).agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    open_groups = placed.join(largest.select("g", F.col("top.root").alias("main")), F.col("sign") == F.col("g"))
-    outside = open_groups.where("root <> main").select(F.col("sign").alias("s"), F.col("class").alias("x"), F.col("root").alias("rx"))
-    rest = open_groups.join(outside, (F.col("sign") == F.col("s")) & (F.col("root") != F.col("rx")) & ((F.col("root") == F.col("main")) | (F.col("class") < F.col("x"))))
-    second = rest.select(F.least("class", "x").alias("a"), F.greatest("class", "x").alias("b")).distinct()
-    more = verified(second.join(first, ["a", "b"], "left_anti"), tokens, percent)
-    final = components(links.union(more).union(given))
+    spokes = spokes.select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
+    star = staged(compared(spokes, tokens, percent))
+    more = verified(past_centres(star), tokens, percent)
+    final = components(star.where("not odd").select("a", "b").union(more).union(given))
     class_root = classes.join(final, F.col("class") == F.col("node"), "left").select(F.col("same").alias("s"), F.coalesce("root", "class").alias("root"))
     return rows.join(class_root, F.col("same") == F.col("s"), "left").select("doc", "part", "n_shingles", F.coalesce("root", "doc").alias("component"))
 
