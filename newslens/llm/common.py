@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newslens.session import staged
+
 #: Stands for a null id; its negative is a number too.
 NO_ID = -(2**63) + 1
 BLOCK_CHARS = 1 << 22
@@ -51,6 +54,14 @@ def with_result(docs: DataFrame, result: DataFrame, **columns: str) -> DataFrame
     return left.join(right, (F.col(doc) == F.col(f"{doc}_r")) & (F.col(part) == F.col(f"{part}_r")), "left").drop(doc, part, f"{doc}_r", f"{part}_r")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """`staged`, after which Spark may drop the shuffle files that led to the table: its cleaner acts when the driver collects garbage."""
+    out = staged(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def public_id() -> Column:
     return F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id")
 

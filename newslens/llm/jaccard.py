@@ -34,8 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newslens.llm import hashing
-from newslens.llm.common import NO_ID, blocks, document, documents, fresh
-from newslens.session import staged
+from newslens.llm.common import NO_ID, blocks, document, documents, fresh, settled
 
 RATIO = 1.3
 CHEAP = 2
@@ -216,7 +215,7 @@ def past_centres(star: DataFrame) -> DataFrame:
     ranked = each.join(counts, (F.col("centre") == F.col("c")) & (F.col("token") == F.col("t"))).withColumn(
         "rank", F.row_number().over(Window.partitionBy("centre", "b", "variant").orderBy("n", "token"))
     )
-    met = staged(ranked.where("n > 1 and (odd or rank <= prefix)").select("centre", "token", "b", "odd", (F.col("rank") <= F.col("prefix")).alias("rare")))
+    met = settled(ranked.where("n > 1 and (odd or rank <= prefix)").select("centre", "token", "b", "odd", (F.col("rank") <= F.col("prefix")).alias("rare")))
     odd = met.where("odd").select(F.col("centre").alias("c"), F.col("token").alias("t"), F.col("b").alias("x"))
     pairs = met.where("rare").join(odd, (F.col("centre") == F.col("c")) & (F.col("token") == F.col("t")) & (F.col("b") != F.col("x")))
     return pairs.select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
@@ -228,16 +227,16 @@ def components(links: DataFrame) -> DataFrame:
     Each round hangs the larger neighbours of every node to the smallest one, then the smaller ones of every node to their smallest;
     it ends when the links no longer change.
     """
-    edges = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges = settled(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = least.where("m < n").select(F.col("n").alias("a"), F.col("m").alias("b"))
-        star = staged(large.union(own).where("a <> b").distinct())
+        star = settled(large.union(own).where("a <> b").distinct())
         least = star.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         small = star.join(least, F.col("a") == F.col("n")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = staged(small.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct())
+        after = settled(small.union(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct())
         old, new = (e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for e in (edges, after))
         edges = after
         if tuple(old) == tuple(new):
@@ -246,27 +245,27 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc, part, n_shingles, component) of each row; `component` is the smallest doc of those reachable by links."""
-    rows = staged(profiles(docs, words, percent))
+    rows = settled(profiles(docs, words, percent))
     full = rows.where("same is not null")
     classes = full.groupBy("same").agg(F.min(F.struct("doc", "part")).alias("first")).select("same", F.col("first.doc").alias("class"), F.col("first.part").alias("at"))
     twins = full.groupBy("doc").agg(F.min("same").alias("s0"), F.max("same").alias("s1")).where("s0 <> s1").select(F.col("doc").alias("twin"))
     twins = full.join(twins, F.col("doc") == F.col("twin")).select("twin", F.col("same").alias("s")).join(classes.select("same", "class"), F.col("s") == F.col("same"))
     leads = twins.groupBy(F.col("twin").alias("t")).agg(F.min("class").alias("b"))
-    given = staged(twins.join(leads, F.col("twin") == F.col("t")).select(F.col("class").alias("a"), "b").where("a <> b").distinct())
+    given = settled(twins.join(leads, F.col("twin") == F.col("t")).select(F.col("class").alias("a"), "b").where("a <> b").distinct())
     # Repeated rows give several rows for one class; its signatures are taken once.
     one = full.join(classes.select("class", "at", F.col("same").alias("s")), (F.col("doc") == F.col("class")) & (F.col("part") == F.col("at")) & (F.col("same") == F.col("s")))
     signed = one.select("class", F.col("at").alias("part"), F.explode("signs").alias("sign"))
     shared = signed.groupBy("sign").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    members = staged(signed.join(shared.select(F.col("sign").alias("g"), "n"), F.col("sign") == F.col("g")).select("sign", "class", "part", "n"))
+    members = settled(signed.join(shared.select(F.col("sign").alias("g"), "n"), F.col("sign") == F.col("g")).select("sign", "class", "part", "n"))
     known = members.select("class", "part").distinct()
-    tokens = staged(shingle_sets(docs, known, words).distinct())
+    tokens = settled(shingle_sets(docs, known, words).distinct())
     # The class that shares most signatures is the centre of its groups: it is likest to the text the others were made from.
     fame = members.groupBy("class").agg(F.sum("n").alias("fame"))
     centres = members.join(fame, "class").groupBy("sign").agg(F.max(F.struct("fame", -F.col("class"))).alias("top"))
     centres = centres.select(F.col("sign").alias("g"), (-F.col("top.col2")).alias("centre"))
     spokes = members.join(centres, F.col("sign") == F.col("g")).where("class <> centre")
     spokes = spokes.select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
-    star = staged(compared(spokes, tokens, percent))
+    star = settled(compared(spokes, tokens, percent))
     more = verified(past_centres(star), tokens, percent)
     final = components(star.where("not odd").select("a", "b").union(more).union(given))
     class_root = classes.join(final, F.col("class") == F.col("node"), "left").select(F.col("same").alias("s"), F.coalesce("root", "class").alias("root"))

@@ -23,19 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newslens.llm import hashing
-from newslens.llm.common import BLOCK_CHARS, NO_ID, blocks, documents
-from newslens.session import staged
+from newslens.llm.common import BLOCK_CHARS, NO_ID, blocks, documents, settled
 
 WINDOW = 20
 GRAM = 5
 SHIFT = 31
 START = (1 << SHIFT) - 1
-#: Anchors (about one in eight words) of the documents that share an automaton, on average.
-BUCKET_ANCHORS = 60_000
+#: Recurring anchor positions (about one in eight words) of the documents that share an automaton, on average; this bounds its size.
+BUCKET_ANCHORS = 30_000
 NARROW = 31
 
 
@@ -94,58 +93,76 @@ def positions(docs: DataFrame, window: int, gram: int, anchors_only: bool = Fals
     return documents(docs).mapInArrow(run, "anchor long" if anchors_only else POSITIONS)
 
 
+WINDOWS = "anchor long, context long, i long, content long, first_doc long, first_place long, n long"
+
+
 def window_hashes(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """Hashes of the windows of some contexts. `wanted`: doc, part and an array `at` of (place, anchor, context) of contexts to read there."""
+    """Hashes of the windows of some contexts. `wanted`: doc, part and an array `at` of (place, anchor, context, n) of contexts to read there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, wants = batch.column("text").to_pylist(), batch.column("at").to_pylist()
+            docs_, texts, wants = (batch.column(c).to_pylist() for c in ("doc", "text", "at"))
             for a, b in blocks(texts):
                 words, bounds = hashing.word_hashes(texts[a:b])
-                rows = [(bounds[i] + (w["place"] & START), w["anchor"], w["context"]) for i, at in enumerate(wants[a:b]) for w in at]
-                first, anchor, context = np.array(rows, dtype=np.int64).reshape(-1, 3).T
+                rows = [(docs_[a + i], bounds[i], w["place"], w["anchor"], w["context"], w["n"]) for i, at in enumerate(wants[a:b]) for w in at]
+                doc, base, place, anchor, context, n = np.array(rows, dtype=np.int64).reshape(-1, 6).T
+                first = base + (place & START)
                 count = context & 31
                 owner = np.repeat(np.arange(len(first)), count)
                 i = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
                 start = first[owner] + i
-                out = (anchor[owner], context[owner], i, hashing.signed(hashing.Runs(words).hash(start, start + window)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["anchor", "context", "i", "content"])
+                content = hashing.signed(hashing.Runs(words).hash(start, start + window))
+                out = (anchor[owner], context[owner], i, content, doc[owner], place[owner] + i, n[owner])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=[x.split()[0] for x in WINDOWS.split(", ")])
 
     rows = wanted.withColumnsRenamed({"doc": "d", "part": "p"})
     found = documents(docs).join(rows, (F.col("doc") == F.col("d")) & (F.col("part") == F.col("p")))
-    return found.select("text", "at").mapInArrow(run, "anchor long, context long, i long, content long")
+    return found.select("doc", "text", "at").mapInArrow(run, WINDOWS)
+
+
+def runs_of(origins: Column) -> Column:
+    """Windows (i, d, p) of a context, those that follow one another here and at their origin put together: (i, n, d, p)."""
+    empty = F.array().cast("array<struct<i:bigint,n:bigint,d:bigint,p:bigint>>")
+
+    def add(out: Column, o: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        more = (last.d == o.d) & (last.i + last.n == o.i) & (last.p + last.n == o.p)
+        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last.i.alias("i"), (last.n + 1).alias("n"), last.d.alias("d"), last.p.alias("p"))))
+        return F.when(F.coalesce(more, F.lit(False)), longer).otherwise(F.concat(out, F.array(F.struct(o.i.alias("i"), F.lit(1).cast("bigint").alias("n"), o.d.alias("d"), o.p.alias("p")))))
+
+    return F.aggregate(F.array_sort(origins), empty, add)
 
 
 def candidates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple[DataFrame, int]:
-    """(doc, place, words, first_doc, first_place) of passages with an earlier place, and the number of anchors of the corpus."""
+    """(doc, place, words, first_doc, first_place) of passages with an earlier place, and the number of recurring anchor positions."""
     counts = positions(docs, window, gram, anchors_only=True).groupBy("anchor").agg(F.count("*").alias("n"))
     recurring = counts.where("n > 1").select(F.col("anchor").alias("recurring"))
     found = positions(docs, window, gram)
-    found = staged(found.join(recurring, F.col("anchor") == F.col("recurring")).drop("recurring"))
+    found = settled(found.join(recurring, F.col("anchor") == F.col("recurring")).drop("recurring"))
     first = found.groupBy("anchor", "context").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n"))
     several = first.groupBy(F.col("anchor").alias("several")).agg(F.count("*").alias("contexts")).where("contexts > 1")
-    known = staged(
+    known = settled(
         first.join(several, F.col("anchor") == F.col("several"), "left").select(
             "anchor", "context", F.col("first.doc").alias("first_doc"), F.col("first.place").alias("first_place"), "n", F.col("contexts").isNotNull().alias("mixed")
         )
     )
     unclear = known.where("mixed")
-    wanted = staged(
+    wanted = settled(
         unclear.groupBy(F.col("first_doc").alias("doc"), F.shiftright("first_place", SHIFT).alias("part")).agg(
-            F.collect_list(F.struct(F.col("first_place").alias("place"), "anchor", "context")).alias("at")
+            F.collect_list(F.struct(F.col("first_place").alias("place"), "anchor", "context", "n")).alias("at")
         )
     )
-    each = window_hashes(docs, wanted, window).distinct()
-    placed = each.join(unclear.drop("mixed"), ["anchor", "context"]).withColumn("first_place", F.col("first_place") + F.col("i"))
+    placed = settled(window_hashes(docs, wanted, window))
     earliest = placed.groupBy("anchor", "content").agg(F.min(F.struct("first_doc", "first_place")).alias("first"), F.sum("n").alias("total"))
     origin = placed.select("anchor", "context", "i", "content").join(earliest.where("total > 1"), ["anchor", "content"])
     split = origin.groupBy("anchor", "context").agg(
-        F.collect_list(F.struct("i", F.col("first.first_doc").alias("d"), F.col("first.first_place").alias("p"))).alias("origins")
+        F.collect_set(F.struct("i", F.col("first.first_doc").alias("d"), F.col("first.first_place").alias("p"))).alias("origins")
     )
+    split = settled(split.select("anchor", "context", runs_of(F.col("origins")).alias("origins")))
     resolved = known.join(split, ["anchor", "context"], "left").where("mixed = false or origins is not null")
     count = F.col("context").bitwiseAND(31)
     pieces = F.when(~F.col("mixed"), F.array(F.struct(F.col("place").alias("s"), count.alias("n"), F.col("first_doc").alias("d"), F.col("first_place").alias("p"))))
-    pieces = pieces.otherwise(F.transform("origins", lambda o: F.struct((F.col("place") + o.i).alias("s"), F.lit(1).cast("long").alias("n"), o.d.alias("d"), o.p.alias("p"))))
+    pieces = pieces.otherwise(F.transform("origins", lambda o: F.struct((F.col("place") + o.i).alias("s"), o.n.alias("n"), o.d.alias("d"), o.p.alias("p"))))
     later = (
         found.distinct()
         .join(resolved.select(F.col("anchor").alias("a"), F.col("context").alias("c"), "first_doc", "first_place", "mixed", "origins"), (F.col("anchor") == F.col("a")) & (F.col("context") == F.col("c")))
@@ -163,12 +180,12 @@ def candidates(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tuple
     passages = islands.groupBy("doc", "d", "diagonal", "island").agg(F.min("s").alias("place"), F.min("p").alias("first_place"), F.max(F.col("s") + F.col("n")).alias("end"))
     return passages.select(
         "doc", "place", (F.col("end") - F.col("place") + (window - 1)).alias("words"), F.col("d").alias("first_doc"), "first_place"
-    ), counts.agg(F.sum("n")).first()[0] or 0
+    ), found.count()
 
 
 def passages_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The words of passages, cut from their first documents: doc, place, words, text."""
-    spots = staged(
+    spots = settled(
         wanted.groupBy(F.col("first_doc").alias("d"), F.shiftright("first_place", SHIFT).alias("p")).agg(
             F.collect_set(F.struct(F.col("first_place").alias("place"), "words")).alias("at")
         )
@@ -235,8 +252,8 @@ def dedup_phrases(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, diges
     With `digest`, `kept` is the SHA-256 of the kept words instead of the words.
     """
     found, anchors = candidates(docs, window, gram)
-    found = staged(found)
-    texts = staged(passages_of(docs, found.select("first_doc", "first_place", "words")))
+    found = settled(found)
+    texts = settled(passages_of(docs, found.select("first_doc", "first_place", "words")))
     buckets = max(1, anchors // BUCKET_ANCHORS)
 
     def bucket(doc, part):  # noqa: ANN001, ANN202
