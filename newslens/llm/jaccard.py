@@ -4,9 +4,10 @@ Two sets of at most `u` shingles whose Jaccard similarity reaches t differ in at
 hashed into H + 1 segments of the universe, so two such sets have at least one segment in common, and a signature per segment finds them.
 Sizes are cut into bands by powers of `RATIO`; a set signs for its own band and, if it may have partners there, for the next one.
 
-Cost-based allocation: a segment that holds `CHEAP` shingles or fewer of a set would be shared with many unrelated sets, so it gets no
-signature (-1), and the segment after it gets a one-deletion neighbourhood (+1): its whole content and its content without each shingle.
-Two sets that agree in a cheap segment made the same allocation, so the budget H + 1 stays covered: with `a` such segments in common and no
+Cost-based allocation: a segment that holds few shingles of a set would be shared with many unrelated sets, so it gets no
+signature (-1); which number counts as few follows from a band's shingles per segment, so that neighbourhoods add a tenth of signatures at
+most, and an empty segment always does. The segment after it gets a one-deletion neighbourhood (+1): its whole content and its content without each shingle.
+Two sets that agree in such a segment made the same allocation, so the budget H + 1 stays covered: with `a` such segments in common and no
 match in their successors, each of these differs in two shingles or more, and the sum of differences exceeds H again. Nothing is lost.
 
 Equal sets are one class from the start. Classes that share a signature are compared exactly, but never all with all: each is compared with
@@ -37,7 +38,8 @@ from newslens.llm import hashing
 from newslens.llm.common import NO_ID, blocks, document, documents, fresh, settled
 
 RATIO = 1.3
-CHEAP = 2
+#: Signatures of one-deletion neighbourhoods, as a part of all.
+EXTRA = 0.1
 
 
 class Bands:
@@ -63,17 +65,29 @@ class Bands:
         t = self.threshold
         return math.floor(2 * self.top(band) * (1 - t) / (1 + t)) + 1
 
-    def signed_for(self, size: int) -> list[tuple[int, int]]:
-        """(band, segments) for which a set of this size signs: its own, and each further one that holds sizes of possible partners."""
+    def few(self, band: int) -> int:
+        """Shingles of a segment up to which the next segment's neighbourhood is the cheaper choice."""
+        mean = 0.88 * self.top(band) / self.segments(band)
+        k, term = 0, math.exp(-mean)
+        total = term
+        while True:
+            term *= mean / (k + 1)
+            if (total + term) * (mean + 1) > EXTRA:
+                return k
+            total += term
+            k += 1
+
+    def signed_for(self, size: int) -> list[tuple[int, int, int]]:
+        """(band, segments, few) for which a set of this size signs: its own, and each further one that holds sizes of possible partners."""
         own = self.of(size)
         out, band = [(own, self.segments(own))], own + 1
         while Fraction(size) >= self.threshold * (self.top(band - 1) + 1):
             out.append((band, self.segments(band)))
             band += 1
-        return [(b, m) for b, m in out if m > 1]
+        return [(b, m, self.few(b)) for b, m in out if m > 1]
 
 
-def signatures(tokens: np.ndarray, band: int, segments: int) -> np.ndarray:
+def signatures(tokens: np.ndarray, band: int, segments: int, few: int) -> np.ndarray:
     """Signatures of a set (distinct 64-bit hashes) for a band."""
     where = (hashing.mixed(tokens ^ np.uint64(band * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
     where = where.astype(np.int64)
@@ -82,7 +96,7 @@ def signatures(tokens: np.ndarray, band: int, segments: int) -> np.ndarray:
     total = np.zeros(segments, np.uint64)
     np.add.at(total, where, value)
     salt = hashing.mixed((np.arange(segments) + (band << 32)).astype(np.uint64))
-    cheap = count <= CHEAP
+    cheap = count <= few
     out = [hashing.mixed((total ^ salt) + count.astype(np.uint64))[~cheap]]
     wide = np.zeros(segments, dtype=bool)
     wide[(np.flatnonzero(cheap) + 1) % segments] = True
@@ -252,11 +266,11 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     twins = full.join(twins, F.col("doc") == F.col("twin")).select("twin", F.col("same").alias("s")).join(classes.select("same", "class"), F.col("s") == F.col("same"))
     leads = twins.groupBy(F.col("twin").alias("t")).agg(F.min("class").alias("b"))
     given = settled(twins.join(leads, F.col("twin") == F.col("t")).select(F.col("class").alias("a"), "b").where("a <> b").distinct())
-    # Repeated rows give several rows for one class; its signatures are taken once.
     one = full.join(classes.select("class", "at", F.col("same").alias("s")), (F.col("doc") == F.col("class")) & (F.col("part") == F.col("at")) & (F.col("same") == F.col("s")))
-    signed = one.select("class", F.col("at").alias("part"), F.explode("signs").alias("sign"))
-    shared = signed.groupBy("sign").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    members = settled(signed.join(shared.select(F.col("sign").alias("g"), "n"), F.col("sign") == F.col("g")).select("sign", "class", "part", "n"))
+    one = settled(one.select("class", F.col("at").alias("part"), "signs"))
+    shared = settled(one.select(F.explode("signs").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
+    signed = one.select("class", "part", F.explode("signs").alias("sign"))
+    members = settled(signed.join(shared, F.col("sign") == F.col("g")).select("sign", "class", "part", "n"))
     known = members.select("class", "part").distinct()
     tokens = settled(shingle_sets(docs, known, words).distinct())
     # The class that shares most signatures is the centre of its groups: it is likest to the text the others were made from.

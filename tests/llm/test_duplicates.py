@@ -134,7 +134,7 @@ def test_signatures_meet():
             if shared == n and not new:
                 continue
             assert 100 * shared >= percent * (n + new)
-            sx, sy = (np.concatenate([jaccard.signatures(s, b, m) for b, m in bands.signed_for(len(s))] or [np.empty(0, np.uint64)]) for s in (x, y))
+            sx, sy = (np.concatenate([jaccard.signatures(s, *band) for band in bands.signed_for(len(s))] or [np.empty(0, np.uint64)]) for s in (x, y))
             assert len(np.intersect1d(sx, sy)), (percent, n, shared, new)
 
 
