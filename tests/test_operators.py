@@ -88,25 +88,35 @@ def voiced(spark, rows):
     return stories.with_voices(spark.createDataFrame(rows, schema), F.concat_ws(" ", "title", "snippet"))
 
 
-def test_story_weights(spark):
-    two = [note(1, "a", "X", companies=["VW"]), note(2, "b", "Y", companies=[" vw "])]
-    assert stories.story_clusters(voiced(spark, two)).first().weight == 6
-    same = [note(1, "a", "X", companies=["VW"]), note(2, "b", "X", companies=["VW"])]
-    assert stories.story_clusters(voiced(spark, same)).first().weight == 4
-    assert stories.story_clusters(voiced(spark, [note(1, "a", "X", companies=["VW"]), note(2, "b", "X", companies=["BP"])])).count() == 2
-    lone = stories.story_clusters(voiced(spark, [note(1, "a", "X"), note(2, "b", "X")]))
-    assert {r.cluster_key for r in lone.collect()} == {"singleton:1", "singleton:2"}
-
-
-def test_voices(spark):
-    wires = [note(i, s, c, countries=["Z"], snippet="(Reuters)") for i, (s, c) in enumerate([("a", "X"), ("b", "Y"), ("c", "W")], 1)]
-    row = stories.story_clusters(voiced(spark, wires)).first()
-    assert (row.sources, row.voices, row.voice_countries) == (3, 1, 0)
-    assert stories.wire_summary(voiced(spark, wires)).first().wires == "Reuters en 3 medios"
-    state = [note(1, "a", "X", "estatal", countries=["Z"]), note(2, "b", "X", "estatal", countries=["Z"]), note(3, "c", "X", countries=["Z"])]
-    assert stories.story_clusters(voiced(spark, state)).first().voices == 2
-    cross = stories.cross_coverage(voiced(spark, wires[::-1] + [note(9, "z", "Q", countries=["Q"])]))
-    assert [(r.media_countries, r.title, r["rank"]) for r in cross.collect()] == [("X, Y, W", "t", 2)]
+def test_stories_against_plain_sets(spark):
+    r = random.Random(19)
+    rows, plain = [], {}
+    for i in range(1, 120):
+        source, firms = r.choice("abcdefg"), r.sample(["Iota", "kappa", " LAMBDA "], r.choice([0, 0, 1, 2]))
+        country, ownership = "UVW"["abcdefg".index(source) % 3], "estatal" if source in "ade" else "privado"
+        places, wire = r.sample(["M", "n"], r.choice([0, 1])), r.choice([None, None, "Reuters", "EFE"])
+        rows.append(note(i, source, country, ownership, firms, places, snippet=f"nota ({wire})" if wire else "nota"))
+        names = lambda xs: "+".join(sorted({x.strip().lower() for x in xs}))
+        key = f"company:{names(firms)}|trade" if firms else f"countries:{names(places)}|trade" if places else f"singleton:{i}"
+        voice = f"w{wire}" if wire else f"s{country}" if ownership == "estatal" else source
+        plain.setdefault(key, []).append((i, source, country, voice, wire))
+    notes = voiced(spark, rows)
+    got = {x.cluster_key: (x.notes, x.sources, x.countries, x.voices, x.voice_countries, x.weight) for x in stories.story_clusters(notes).collect()}
+    want = {}
+    for key, members in plain.items():
+        sets = [len({m[k] for m in members}) for k in (1, 2, 3)]
+        own = len({m[2] for m in members if m[4] is None})
+        want[key] = (len(members), *sets, own, sets[2] + 2 * own)
+    assert got == want
+    told = {x.cluster_key: x.wires for x in stories.wire_summary(notes).collect()}
+    for key, members in plain.items():
+        wires = [m[4] for m in members if m[4]]
+        assert told.get(key) == (", ".join(f"{w} en {wires.count(w)} medios" for w in sorted(set(wires))) or None)
+    order = sorted(plain, key=lambda k: (-want[k][5], min(m[0] for m in plain[k])))
+    cross = {x["rank"]: x.media_countries for x in stories.cross_coverage(notes).collect()}
+    assert cross == {
+        n: ", ".join(dict.fromkeys(m[2] for m in sorted(plain[k]))) for n, k in enumerate(order, 1) if want[k][1] > 1
+    }
 
 
 def test_group_assign_and_validate(spark):
@@ -178,7 +188,7 @@ def test_evaluation(spark):
 def test_learned_scorer(spark):
     rows = [(i, "tratado comercio" if i % 2 else "receta cocina", i % 2 == 1) for i in range(20)]
     df = spark.createDataFrame(rows, "id bigint, text string, expected boolean")
-    assert learning.predict(learning.train_classifier(df), df).where("expected <> predicted").count() == 0
+    assert learning.predict(df, df, held_out=True).where("expected <> predicted").count() == 0
 
 
 def test_score_batches_keeps_every_row(spark):

@@ -20,10 +20,24 @@ def requests(spark, rows):
     return spark.createDataFrame([(c, at(s), i) for i, (c, s) in enumerate(rows)], "client string, ts timestamp_ntz, event_id bigint")
 
 
-def test_bucket_burst_and_refill(spark):
-    rate = admission.Rate(1, 1, 3)
-    got = admission.admit(requests(spark, [("a", 0)] * 4 + [("b", 0)] + [("a", 1)] * 2), rate).orderBy("event_id").collect()
-    assert [r.admitted for r in got] == [True, True, True, False, True, True, False]
+def test_buckets_against_a_plain_fold(spark):
+    r = random.Random(23)
+    t, rows = 0.0, []
+    for _ in range(150):
+        t += r.expovariate(1.5)
+        rows.append((r.choice("pqr"), round(t, 3)))
+    for rate in (admission.Rate(1, 2, 2), admission.Rate(5, 4, 3)):
+        buckets, want = {}, []
+        for client, s in rows:
+            us = round(s * 1_000_000)
+            tokens, last = buckets.get(client, (rate.burst * rate.per_seconds * 10**6, us))
+            tokens = min(rate.burst * rate.per_seconds * 10**6, tokens + (us - last) * rate.count)
+            ok = tokens >= rate.per_seconds * 10**6
+            buckets[client] = (tokens - ok * rate.per_seconds * 10**6, us)
+            want.append(ok)
+        for small in (10**6, 0):
+            got = admission.admit(requests(spark, rows), rate, small=small, chunk_rows=16).orderBy("event_id").collect()
+            assert [x.admitted for x in got] == want
 
 
 def test_busy_client_in_chunks_equals_one_pass(spark):
@@ -65,18 +79,6 @@ def subscription(spark, rows):
     return spark.createDataFrame([(k, at(s), i, a) for i, (k, s, a) in enumerate(rows)], "subscriber bigint, ts timestamp_ntz, event_id bigint, action string")
 
 
-def test_lifecycle_scenario(spark):
-    day = 86400
-    rows = [(1, 0, "subscribe"), (1, 10, "subscribe"), (1, 20, "confirm"), (1, 30, "confirm"), (1, 40, "subscribe"), (1, 50, "unsubscribe"), (1, 60, "unsubscribe"),
-            (1, 4000, "subscribe"), (1, 4000 + 8 * day, "confirm"), (1, 4000 + 8 * day, "purge"), (1, 4000 + 8 * day, "purge"), (2, 5, "confirm")]
-    want = ["needs_confirmation", "throttled", "confirmed", "confirm_failed", "already_active", "unsubscribed", "unchanged",
-            "needs_confirmation", "confirm_failed", "purged", "kept", "confirm_failed"]
-    for small in (2048, 2):
-        got = subscribers.optin_lifecycle(subscription(spark, rows), subscribers.Rules(3600), small)
-        assert [r.outcome for r in got.orderBy("event_id").collect()] == want
-        assert subscribers.subscriber_states(got).count() == 0
-
-
 def random_subscriptions(spark, n=300):
     r = random.Random(4)
     t, rows = 0, []
@@ -86,6 +88,48 @@ def random_subscriptions(spark, n=300):
     return subscription(spark, rows)
 
 
+def plain_lifecycle(rows, rules):
+    """Outcomes of (subscriber, us, action) in order, with one small record per subscriber."""
+    people, out = {}, []
+    for who, us, action in rows:
+        p = people.get(who)
+        waiting = p is not None and p["confirmed"] is None
+        if action == "subscribe":
+            if p and p["confirmed"] is not None and p["left"] is None:
+                out.append("already_active")
+            elif p and (p["sent"] or 0) >= us - rules.resend_seconds * 10**6:
+                out.append("throttled")
+            else:
+                people[who] = {"confirmed": None, "left": None, "sent": us}
+                out.append("needs_confirmation")
+        elif action == "confirm":
+            ok = waiting and p["sent"] is not None and p["sent"] > us - rules.ttl_seconds * 10**6
+            if ok:
+                p.update(confirmed=us, left=None)
+            out.append("confirmed" if ok else "confirm_failed")
+        elif action == "unsubscribe":
+            ok = p is not None and p["left"] is None
+            if ok:
+                p["left"] = us
+            out.append("unsubscribed" if ok else "unchanged")
+        else:
+            ok = waiting and p["sent"] is not None and p["sent"] < us - rules.ttl_seconds * 10**6
+            if ok:
+                del people[who]
+            out.append("purged" if ok else "kept")
+    return out
+
+
+def test_lifecycle_against_a_plain_fold(spark):
+    df, rules = random_subscriptions(spark, 200), subscribers.Rules(3600)
+    rows = df.orderBy("event_id").collect()
+    want = plain_lifecycle([(r.subscriber, (r.ts - START) // datetime.timedelta(microseconds=1) + 1_767_225_600_000_000, r.action) for r in rows], rules)
+    assert len(set(want)) >= 7
+    for small in (2048, 0):
+        got = subscribers.optin_lifecycle(df, rules, small)
+        assert [r.outcome for r in got.orderBy("event_id").collect()] == want
+
+
 def test_busy_subscriber_in_rounds_equals_fold(spark):
     df, rules = random_subscriptions(spark), subscribers.Rules(3600)
     cols = ["subscriber", "event_id", "outcome", "state"]
