@@ -30,10 +30,9 @@ MD_LINK = r'!?\[([^\]]*)\]\(([^)\s]*)(?:\s+"[^"]*")?\)'
 AUTO_LINK = r"<(https?://[^>\s]+)>"
 BARE_LINK = r"https?://[^\s<>()\[\]]+"
 ANY_LINK = f"{MD_LINK}|{AUTO_LINK}|{BARE_LINK}"
-CITATION = r"\[\d{1,4}(?:\s*,\s*\d{1,4})*\]\(?"
+CITATION = r"\[\d+(?:\s*,\s*\d+)*\]\(?"
 RESOLVED = r"\[\[(\d+)\]\]\(<([^>]*)>\)"
 NEWS_LINE = r"^- \[(.+)\]\(<(.+?)>\) — (.+) \(([^()]+)\)$"
-CITABLE = 9999  # a citation has at most four digits
 
 _LINK_TOKENS = ANY_LINK + r"|[^!\[<h]+|[\s\S]"
 _CITATION_TOKENS = CITATION + r"|[^\[]+|\["
@@ -148,11 +147,11 @@ def strip_unknown_links(md: Column, allowed: Column) -> Column:
 
 
 def cited_numbers(md: Column) -> Column:
-    """Distinct note numbers a report cites and that are not yet links."""
+    """Distinct note numbers a report cites and that are not yet links; a number too large for any edition is left out."""
     tokens = F.regexp_extract_all(md, F.lit(CITATION), F.lit(0))
     open_only = F.filter(tokens, lambda t: ~F.endswith(t, F.lit("(")))
     numbers = F.transform(open_only, lambda t: F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0)))
-    return F.array_distinct(F.transform(F.flatten(numbers), lambda n: n.cast("int")))
+    return F.array_distinct(F.array_compact(F.transform(F.flatten(numbers), lambda n: n.try_cast("bigint"))))
 
 
 def resolve_citations(md: Column, links: Column) -> Column:
@@ -163,7 +162,7 @@ def resolve_citations(md: Column, links: Column) -> Column:
 
     def token(t: Column) -> Column:
         cite = t.rlike(r"^\[\d[\d,\s]*\]$")
-        numbers = F.transform(F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0)), lambda n: n.cast("int"))
+        numbers = F.transform(F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0)), lambda n: n.try_cast("bigint"))
         known = F.filter(numbers, lambda n: F.try_element_at(links, n).isNotNull())
 
         def shown(n: Column) -> Column:
@@ -229,7 +228,7 @@ def claim_text(line: Column) -> Column:
 def claim_numbers(line: Column) -> Column:
     """Distinct note numbers of the resolved citations, in order."""
     found = F.regexp_extract_all(line, F.lit(RESOLVED), F.lit(1))
-    return F.array_distinct(F.transform(found, lambda n: n.cast("int")))
+    return F.array_distinct(F.transform(found, lambda n: n.cast("bigint")))
 
 
 def claim_links(line: Column) -> Column:

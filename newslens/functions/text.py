@@ -87,11 +87,12 @@ def parse_pubdate(c: Column) -> Column:
     t = strip(c)
     bare = F.regexp_replace(t, r"^[A-Za-z]{3}, ", "")
     utc = F.concat(t, F.lit(" +0000"))
+    micros = F.regexp_replace(t, r"(\.[0-9]{6})[0-9]+", "$1")
     # Accepted date layouts, in order of preference.
     attempts = [
         F.try_to_timestamp(bare, F.lit("dd MMM yyyy HH:mm:ss xx")),
         F.try_to_timestamp(bare, F.lit("dd MMM yyyy HH:mm:ss z")),
-        F.try_to_timestamp(t, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]XXX")),
+        F.try_to_timestamp(micros, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]XXX")),
         F.try_to_timestamp(utc, F.lit("yyyy-MM-dd xx")),
         F.try_to_timestamp(utc, F.lit("yyyy-MM-dd HH:mm:ss xx")),
     ]

@@ -72,6 +72,6 @@ def review_pool(audit: DataFrame, claims: DataFrame, since: Column) -> DataFrame
         F.lit("headline").alias("kind"), "edition_date", F.col("seq").alias("item"), "source", F.col("title").alias("text"), "stage"
     )
     said = claims.where(F.col("edition_date") >= since).select(
-        F.lit("claim").alias("kind"), "edition_date", (F.col("report_id") * 1000000 + F.col("claim_no")).alias("item"), "section", "text"
+        F.lit("claim").alias("kind"), "edition_date", F.col("report_id").alias("item"), "claim_no", "section", "text"
     )
     return heads.unionByName(said, allowMissingColumns=True)

@@ -35,7 +35,7 @@ def bands(hashes: Column) -> Column:
     return F.array(*[band(b) for b in range(BANDS)])
 
 
-def same_event_groups(titles: DataFrame, max_rounds: int = 50) -> DataFrame:
+def same_event_groups(titles: DataFrame) -> DataFrame:
     """(edition_date, seq, event_seq): every note with the smallest seq of its event.
 
     Labels spread over shared bands until nothing changes; each round is written out, so lost executors cost one round.
@@ -51,7 +51,7 @@ def same_event_groups(titles: DataFrame, max_rounds: int = 50) -> DataFrame:
     shared = edges.groupBy("edition_date", "bucket").agg(F.count("*").alias("k")).where(F.col("k") > 1).drop("k")
     links = staged(edges.join(shared, ["edition_date", "bucket"], "left_semi"))
     labels = staged(nodes.select("edition_date", "node", "label"))
-    for _ in range(max_rounds):
+    while True:
         spread = links.join(labels, ["edition_date", "node"])
         best = spread.groupBy("edition_date", "bucket").agg(F.min("label").alias("best"))
         offered = links.join(best, ["edition_date", "bucket"]).groupBy("edition_date", "node").agg(F.min("best").alias("best"))
@@ -62,6 +62,4 @@ def same_event_groups(titles: DataFrame, max_rounds: int = 50) -> DataFrame:
         labels = after.drop("changed")
         if after.where("changed").isEmpty():
             break
-    else:
-        raise RuntimeError(f"labels still change after {max_rounds} rounds")
     return members.join(labels, ["edition_date", "node"]).select("edition_date", "seq", F.col("label").alias("event_seq"))

@@ -109,8 +109,8 @@ def strip_unknown_links(reports: DataFrame, notes: DataFrame) -> DataFrame:
 
 def numbered_links(notes: DataFrame) -> DataFrame:
     """(edition_date, n, link) of the notes a citation can name."""
-    numbered = citation_numbers(notes.select("edition_date", "seq", "link"), md.CITABLE)
-    return numbered.select("edition_date", F.col("n").cast("int").alias("n"), F.trim(F.coalesce("link", F.lit(""))).alias("link"))
+    numbered = citation_numbers(notes.select("edition_date", "seq", "link"))
+    return numbered.select("edition_date", "n", F.trim(F.coalesce("link", F.lit(""))).alias("link"))
 
 
 def citation_lookup(reports: DataFrame, notes: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def resolve_citations(reports: DataFrame, notes: DataFrame) -> DataFrame:
     """Reports with `[n]` turned into links, with resolved, invalid and uncited counts."""
     found = citation_lookup(reports, notes).where(F.col("link").isNotNull())
     links = found.groupBy("report_id").agg(F.map_from_entries(F.collect_list(F.struct("n", "link"))).alias("_links"))
-    none = F.create_map().cast("map<int,string>")
+    none = F.create_map().cast("map<bigint,string>")
     tokens = md.resolve_citations(F.col("markdown"), F.coalesce("_links", none))
     return (
         reports.join(links, "report_id", "left").select(*KEYS, tokens.alias("_tokens"))
@@ -160,7 +160,7 @@ def claim_batches(claim_rows: DataFrame, size: int = CLAIM_BATCH) -> DataFrame:
 
 def evidence_bundle(batched: DataFrame, notes: DataFrame) -> DataFrame:
     """Verification text per batch of claims: each claim followed by the notes it cites."""
-    numbered = citation_numbers(notes, md.CITABLE).withColumn("n", F.col("n").cast("int"))
+    numbered = citation_numbers(notes)
     kind = source_kind(F.col("ownership"), F.col("ownership_note"))
     note_line = F.concat(
         F.lit("  Nota ["), F.col("n").cast("string"), F.lit("] — "), F.col("name"), F.lit(" ("), F.col("country"),
@@ -168,7 +168,7 @@ def evidence_bundle(batched: DataFrame, notes: DataFrame) -> DataFrame:
         truncate(F.col("snippet"), EVIDENCE_SNIPPET), F.lit("\n"),
     )
     evidence = numbered.select("edition_date", "n", note_line.alias("_note"))
-    head, tail = F.array(F.lit(0)), F.array(F.lit(-1))
+    head, tail = (F.array(F.lit(x).cast("bigint")) for x in (0, -1))
     parts = batched.select(
         *KEYS, "batch_no", "id", "section", "text", F.posexplode(F.concat(head, "nums", tail)).alias("_pos", "n")
     )

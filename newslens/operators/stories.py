@@ -170,9 +170,9 @@ def validate_groups(groups: Column, n_items: Column) -> Column:
     return F.filter(kept, lambda g: F.size(g["items"]) >= 2)
 
 
-def citation_numbers(notes: DataFrame, limit: int | None = None) -> DataFrame:
-    """1-based number of each note in its edition, in input order. `limit` keeps only numbers that can be cited."""
-    return sliced_row_number(notes, [EDITION], [F.col("seq")], [(by_id("seq"), True)], "n", limit)
+def citation_numbers(notes: DataFrame) -> DataFrame:
+    """1-based number of each note in its edition, in input order."""
+    return sliced_row_number(notes, [EDITION], [F.col("seq")], [(by_id("seq"), True)], "n")
 
 
 def link_dedup(notes: DataFrame) -> DataFrame:

@@ -104,10 +104,10 @@ def review_sample_claims(spark, sf):
 
 
 @query("review_pool", """
-SELECT 'headline' AS kind, edition_date, seq AS item, source, title AS text, stage, NULL AS section FROM audit
+SELECT 'headline' AS kind, edition_date, seq AS item, source, title AS text, stage, NULL::INTEGER AS claim_no, NULL AS section FROM audit
 WHERE stage IN ('accepted', 'classifier_rejected') AND edition_date >= DATE '2024-01-24'
 UNION ALL
-SELECT 'claim', edition_date, report_id * 1000000 + claim_no, NULL, text, NULL, section FROM claim WHERE edition_date >= DATE '2024-01-24'
+SELECT 'claim', edition_date, report_id, NULL, text, NULL, claim_no, section FROM claim WHERE edition_date >= DATE '2024-01-24'
 """, ("audit", "claim"))
 def review_pool(spark, sf):
     return evaluation.review_pool(v.audit_rows(spark, sf), report_claims(spark, sf), F.lit("2024-01-24").cast("date"))

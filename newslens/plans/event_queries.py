@@ -107,6 +107,12 @@ def token_bucket(spark, sf):
     return admission.admit(v.client_requests(spark, sf), RATE)
 
 
+@query("token_bucket_busy", _BUCKET + "SELECT client, event_id, us, admitted, tokens FROM st")
+def token_bucket_busy(spark, sf):
+    """The way of busy clients for all of them: chunks, their transfer functions, and a replay of all chunks side by side."""
+    return admission.admit(v.client_requests(spark, sf), RATE, small=0, chunk_rows=512)
+
+
 @query("bucket_sweep", _BUCKET + f"""
 SELECT client, tokens, us AS last_us, tokens + (epoch_us(TIMESTAMP '{v.NOW}') - us) * {RATE.count} >= {RATE.full} AS swept
 FROM st QUALIFY rn = max(rn) OVER (PARTITION BY client)
@@ -155,6 +161,15 @@ def optin_lifecycle(spark, sf):
     return lifecycle(spark, sf).select("subscriber", "event_id", "us", "action", "outcome", "state.*")
 
 
+@query("optin_busy", _LIFE + """
+SELECT subscriber, event_id, us, action, outcome, present, c AS confirmed_at, u AS unsubscribed_at, s AS sent_at FROM st WHERE rn > 0
+""")
+def optin_busy(spark, sf):
+    """The way of busy subscribers for all of them: from one change of state to the next."""
+    rows = subscribers.optin_lifecycle(v.subscription_events(spark, sf), RULES, small=0)
+    return rows.select("subscriber", "event_id", "us", "action", "outcome", "state.*")
+
+
 @query("active_subscribers", _LIFE + """
 SELECT id, subscriber, c AS confirmed_at, u AS unsubscribed_at, s AS sent_at FROM final WHERE is_last AND present AND c IS NOT NULL AND u IS NULL
 """)

@@ -13,11 +13,10 @@ from newslens.session import run_dir
 from newslens.sources import editions, feeds
 
 KEYS = ("source_id", "edition_date", "fetch_no")
-PER_FEED = 20
 
 
 def parsed(spark, sf):
-    return feeds.parse_feeds(v.payloads(spark, sf), PER_FEED, KEYS)
+    return feeds.parse_feeds(v.payloads(spark, sf), None, KEYS)
 
 
 @query("feed_payloads", """
@@ -148,6 +147,6 @@ GROUP BY edition_date
 def daily_edition(spark, sf):
     """Funnel of the whole run, from payloads to accepted headlines."""
     run = daily.run_edition(
-        v.payloads(spark, sf), v.outlets(spark, sf), v.GAZETTEER, v.RELATIONS, v.now(), KEYS, PER_FEED, v.MAX_AGE, True, v.WIRES
+        v.payloads(spark, sf), v.outlets(spark, sf), v.GAZETTEER, v.RELATIONS, v.now(), KEYS, None, v.MAX_AGE, True, v.WIRES
     )
     return run.counts

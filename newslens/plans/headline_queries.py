@@ -198,12 +198,28 @@ def gazetteer_join(spark, sf):
     return tagging.gazetteer_join(docs, benchmark_terms(spark, sf), "doc_id", F.col("text"))
 
 
-_CURRENT = f"published_at >= TIMESTAMP '{v.NOW}' - INTERVAL 30 HOUR"
+_LARGE = """
+SELECT 'keywords' AS kind, term FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{7,}')) AS term FROM conversations)
+"""
+
+
+@query("gazetteer_join_large", f"""
+SELECT doc_id, kind, term FROM (SELECT doc_id, lower(replace(text, 'İ', 'i')) AS lc FROM documents)
+JOIN (SELECT kind, term, lower(term) AS needle FROM ({_LARGE})) ON contains(lc, needle)
+""")
+def gazetteer_join_large(spark, sf):
+    """The shuffle path of the dictionary join, with the long words of all conversations as the dictionary."""
+    words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0)))
+    terms = v.table(spark, sf, "conversations").select(F.lit("keywords").alias("kind"), words.alias("term")).distinct()
+    return tagging.gazetteer_join(v.documents(spark, sf).select("doc_id", "text"), terms, "doc_id", F.col("text"), small=0)
+
+
+_CURRENT = f"(published_at IS NULL OR published_at >= TIMESTAMP '{v.NOW}' - INTERVAL 30 HOUR)"
 
 
 def recent(spark, sf):
-    """Headlines dated within the last 30 hours."""
-    return v.headlines(spark, sf).where(F.col("published_at") >= v.now() - F.expr("INTERVAL 30 HOURS"))
+    """Headlines of the last 30 hours and those without a date."""
+    return headlines.drop_stale(v.headlines(spark, sf), v.now(), 30)
 
 
 @query("region_coverage", f"""

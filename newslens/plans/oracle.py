@@ -78,7 +78,7 @@ _view("headline", f"""
 SELECT doc_id AS seq, source AS source_id, {clean_text("l1", 300)} AS title, {clean_text("rest", 1000)} AS snippet,
   CASE WHEN doc_id % 17 = 0 THEN '' ELSE {clean_link("url")} END AS link,
   CASE WHEN doc_id % 11 = 0 THEN NULL ELSE ts END AS published_at, CAST(ts AS DATE) AS edition_date,
-  {collapse("text")} AS full_text, text
+  {collapse("text")} AS full_text, {collapse("l1")} AS whole_title, {collapse("rest")} AS whole_rest, text
 FROM (SELECT *, split_part(text, chr(10), 1) AS l1, substr(text, length(split_part(text, chr(10), 1)) + 2) AS rest FROM documents)
 JOIN events ON event_id = (doc_id * 7919) % (SELECT count(*) FROM events)
 JOIN pages ON page_id = doc_id % (SELECT count(*) FROM pages)
@@ -267,12 +267,12 @@ WHERE section <> 'Noticias utilizadas' AND {strip("x")} <> '' AND NOT starts_wit
 
 _view("cite_token", r"""
 SELECT report_id, edition_date, pos, tok, regexp_matches(tok, '^\[\d[\d,\s]*\]$') AS cite FROM (
-  SELECT report_id, edition_date, unnest(regexp_extract_all(markdown, '\[\d{1,4}(?:\s*,\s*\d{1,4})*\]\(?|[^\[]+|\[')) AS tok,
-    generate_subscripts(regexp_extract_all(markdown, '\[\d{1,4}(?:\s*,\s*\d{1,4})*\]\(?|[^\[]+|\['), 1) AS pos FROM report)
+  SELECT report_id, edition_date, unnest(regexp_extract_all(markdown, '\[\d+(?:\s*,\s*\d+)*\]\(?|[^\[]+|\[')) AS tok,
+    generate_subscripts(regexp_extract_all(markdown, '\[\d+(?:\s*,\s*\d+)*\]\(?|[^\[]+|\['), 1) AS pos FROM report)
 """, ["report"])
 
 _view("cite_number", r"""
-SELECT report_id, edition_date, pos, k, CAST(num AS INTEGER) AS n FROM (
+SELECT report_id, edition_date, pos, k, TRY_CAST(num AS BIGINT) AS n FROM (
   SELECT report_id, edition_date, pos, unnest(regexp_extract_all(tok, '\d+')) AS num,
     generate_subscripts(regexp_extract_all(tok, '\d+'), 1) AS k FROM cite_token WHERE cite)
 """, ["cite_token"])
@@ -293,7 +293,7 @@ GROUP BY t.report_id
 _view("claim", rf"""
 SELECT report_id, edition_date, CAST(row_number() OVER (PARTITION BY report_id ORDER BY i, j) - 1 AS INTEGER) AS claim_no, section,
   regexp_replace(regexp_replace({strip(r"regexp_replace(t, '\[\[(\d+)\]\]\(<([^>]*)>\)', '', 'g')")}, '^- ', ''), '^\* ', '') AS text,
-  list_transform(regexp_extract_all(t, '\[\[(\d+)\]\]\(<([^>]*)>\)', 1), lambda v: CAST(v AS INTEGER)) AS all_nums,
+  list_transform(regexp_extract_all(t, '\[\[(\d+)\]\]\(<([^>]*)>\)', 1), lambda v: CAST(v AS BIGINT)) AS all_nums,
   regexp_extract_all(t, '\[\[(\d+)\]\]\(<([^>]*)>\)', 2) AS links
 FROM body_line WHERE regexp_matches(t, '\[\[(\d+)\]\]\(<([^>]*)>\)')
 """, ["body_line"])
@@ -362,9 +362,9 @@ def _xml(c: str) -> str:
 
 
 _view("feed_item", f"""
-SELECT *, (feed_pos - 1) // 25 AS fetch_no, (feed_pos - 1) % 25 + 1 AS pos, {_xml("title")} AS xt, {_xml("snippet")} AS xs, {_xml("link")} AS xl,
+SELECT *, (feed_pos - 1) // 25 AS fetch_no, (feed_pos - 1) % 25 + 1 AS pos, {_xml("whole_title")} AS xt, {_xml("whole_rest")} AS xs, {_xml("link")} AS xl,
   (day(edition_date) + no) % 7 AS kind
-FROM (SELECT seq, source_id, edition_date, no, title, snippet, link, published_at, row_number() OVER (PARTITION BY source_id, edition_date ORDER BY seq) AS feed_pos
+FROM (SELECT seq, source_id, edition_date, no, title, snippet, whole_title, whole_rest, link, published_at, row_number() OVER (PARTITION BY source_id, edition_date ORDER BY seq) AS feed_pos
       FROM headline JOIN outlet USING (source_id))
 """, ["headline", "outlet"])
 
@@ -383,5 +383,5 @@ _view("parsed_feed", """
 SELECT seq, source_id, edition_date, CAST(fetch_no AS BIGINT) AS fetch_no, CAST(pos AS INTEGER) AS feed_pos, title,
   CASE WHEN no % 3 = 0 AND link = '' THEN concat('https://alt.example/', seq) ELSE link END AS link, snippet,
   CASE WHEN no % 3 = 2 THEN CAST(CAST(published_at AS DATE) AS TIMESTAMP) ELSE date_trunc('second', published_at) END AS published_at
-FROM feed_item WHERE kind NOT IN (3, 4) AND pos <= 20
+FROM feed_item WHERE kind NOT IN (3, 4)
 """, ["feed_item"])

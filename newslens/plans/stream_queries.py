@@ -60,5 +60,5 @@ def feed_stream(spark, sf):
     path = run_dir(spark, "landing")
     v.payloads(spark, sf).withColumn("fetched_at", F.col("edition_date").cast("timestamp_ntz")).write.parquet(path)
     schema = "source_id string, edition_date date, fetch_no bigint, body binary, rejected boolean, fetched_at timestamp_ntz"
-    kept = feed_streams.feed_stream(landed(spark, path, schema), v.now(), 20, v.MAX_AGE)
+    kept = feed_streams.feed_stream(landed(spark, path, schema), v.now(), None, v.MAX_AGE)
     return drain(kept, "headlines").select("source_id", "identity")

@@ -11,7 +11,7 @@ from newslens.functions.text import MAX_SNIPPET, MAX_TITLE, array_of, clean_link
 from newslens.functions.wires import ascii_word
 from newslens.operators import audit, scoring, stories, tagging
 from newslens.operators.numbering import by_id, sliced_row_number
-from newslens.session import spread, staged
+from newslens.session import staged
 from newslens.sources.feeds import mark_rejected
 
 # Parameters of the views: words that occur in the supplied text.
@@ -72,28 +72,33 @@ def outlets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
+    return table(spark, sf, "documents").select("doc_id", "source", "text")
 
 
 def headlines(spark: SparkSession, sf: str) -> DataFrame:
-    """One headline per document: first line the title, the rest the snippet; `full_text` is the whole clean text."""
+    """One headline per document: first line the title, the rest the snippet; `full_text` is the whole clean text.
+
+    The narrow keys meet events and pages first; texts meet the result once, on their id.
+    """
     events, pages = table(spark, sf, "events"), table(spark, sf, "pages")
     n_events, n_pages = events.agg(F.count("*")).scalar(), pages.agg(F.count("*")).scalar()
-    docs = documents(spark, sf).select(
-        F.col("doc_id").alias("seq"), F.col("source").alias("source_id"), "text",
-        ((F.col("doc_id") * 7919) % n_events).alias("event_id"), (F.col("doc_id") % n_pages).alias("page_id"),
+    docs = documents(spark, sf)
+    keys = docs.select(
+        F.col("doc_id").alias("seq"), ((F.col("doc_id") * 7919) % n_events).alias("event_id"), (F.col("doc_id") % n_pages).alias("page_id")
     )
+    dated = keys.join(events.select("event_id", "ts"), "event_id").join(pages.select("page_id", "url"), "page_id").drop("event_id", "page_id")
     first = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+    rest = F.substr("text", F.length(first) + 2)
     return (
-        docs.join(events.select("event_id", "ts"), "event_id").join(pages.select("page_id", "url"), "page_id")
+        docs.select(F.col("doc_id").alias("seq"), F.col("source").alias("source_id"), "text").join(dated, "seq")
         .select(
             "seq", "source_id",
             clean_text(first, MAX_TITLE).alias("title"),
-            clean_text(F.substr("text", F.length(first) + 2), MAX_SNIPPET).alias("snippet"),
+            clean_text(rest, MAX_SNIPPET).alias("snippet"),
             F.when(F.col("seq") % 17 == 0, F.lit("")).otherwise(clean_link(F.col("url"))).alias("link"),
             F.when(F.col("seq") % 11 == 0, F.lit(None)).otherwise(F.col("ts")).alias("published_at"),
             F.col("ts").cast("date").alias("edition_date"),
-            collapse(F.col("text")).alias("full_text"), "text",
+            collapse(F.col("text")).alias("full_text"), collapse(first).alias("whole_title"), collapse(rest).alias("whole_rest"), "text",
         )
     )
 
@@ -252,10 +257,10 @@ def payloads(spark: SparkSession, sf: str) -> DataFrame:
 
     By day and outlet some fail, some name an unknown charset and some are Latin-1.
     """
-    h = headlines(spark, sf).select("seq", "source_id", "edition_date", "title", "snippet", "link", "published_at")
+    h = headlines(spark, sf).select("seq", "source_id", "edition_date", "whole_title", "whole_rest", "link", "published_at")
     positioned = feed_positions(h, ["source_id", "edition_date"]).join(outlets(spark, sf).select("source_id", "no"), "source_id")
     s = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    seq, title, link, text = F.col("seq").cast("string"), _escaped(F.col("title")), _escaped(F.col("link")), _escaped(F.col("snippet"))
+    seq, title, link, text = F.col("seq").cast("string"), _escaped(F.col("whole_title")), _escaped(F.col("link")), _escaped(F.col("whole_rest"))
     date = lambda fmt: F.coalesce(F.date_format("published_at", fmt), F.lit(""))
     dated = F.when(F.col("published_at").isNull(), "")
     item = (

@@ -28,7 +28,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach: `spark.checkpoint.dir`, or a temporary one where that is unset."""
+    """The folder all executors can reach, as `spark.checkpoint.dir` names it; a temporary one only for a local master."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if configured:
@@ -36,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="newslens-"))
     return sc.getCheckpointDir()
 
@@ -53,9 +55,3 @@ def staged(df: DataFrame) -> DataFrame:
     path = run_dir(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows over all cores when the input came in fewer partitions, as one small file does; larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

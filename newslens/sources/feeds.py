@@ -19,23 +19,23 @@ _ENTRY = f"struct<title:{_TEXT},link:{_LINKS},summary:{_TEXT},content:{_TEXT},pu
 _FEED = f"channel struct<item:array<{_ITEM}>>, entry array<{_ENTRY}>, item array<{_ITEM}>"
 
 
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+def read_payloads(spark: SparkSession, path: str, max_body: int = MAX_BODY) -> DataFrame:
     """Landed payload files (source_id, fetched_at, body, rejected); the file name up to the first dot is the source."""
     files = spark.read.format("binaryFile").load(path)
     return mark_rejected(files.select(
         F.split_part(F.element_at(F.split("path", "/"), -1), F.lit("."), F.lit(1)).alias("source_id"),
         F.col("modificationTime").alias("fetched_at"), F.col("content").alias("body"),
-    ))
+    ), max_body)
 
 
-def mark_rejected(payloads: DataFrame) -> DataFrame:
-    return payloads.withColumn("rejected", F.octet_length("body") > MAX_BODY)
+def mark_rejected(payloads: DataFrame, max_body: int = MAX_BODY) -> DataFrame:
+    return payloads.withColumn("rejected", F.octet_length("body") > max_body)
 
 
 def charset(body: Column) -> Column:
     """Encoding named in the XML prolog, lower case; empty when none is."""
-    head = F.decode(F.substr(body, F.lit(1), F.lit(256)), "ISO-8859-1")
-    return F.lower(F.regexp_extract(head, r"""^\s*(?:\x{EF}\x{BB}\x{BF})?<\?xml[^>]*encoding=["']([A-Za-z0-9._-]+)["']""", 1))
+    # The pattern stops at the end of the prolog, however long that is.
+    return F.lower(F.regexp_extract(F.decode(body, "ISO-8859-1"), r"""^\s*(?:\x{EF}\x{BB}\x{BF})?<\?xml[^>]*encoding=["']([A-Za-z0-9._-]+)["']""", 1))
 
 
 def decode_body(body: Column) -> Column:
@@ -93,13 +93,13 @@ def pick_link(links: Column, guid: Column, atom: Column) -> Column:
     return F.when(atom, page).otherwise(F.coalesce(usable("_VALUE"), usable("_href"), clean_link(guid)))
 
 
-def parse_feeds(payloads: DataFrame, max_items: int = MAX_PER_SOURCE, keys: tuple[str, ...] = ("source_id",)) -> DataFrame:
+def parse_feeds(payloads: DataFrame, max_items: int | None = MAX_PER_SOURCE, keys: tuple[str, ...] = ("source_id",)) -> DataFrame:
     """Headlines (keys, feed_pos, title, link, snippet, published_at) of every readable payload, at most
-    `max_items` of each. One XML pass reads all three formats; the cap is a slice of the payload's own items."""
+    `max_items` of each (None: all). One XML pass reads all three formats; the cap is a slice of the payload's own items."""
     text = F.when(~F.col("rejected"), decode_body(F.col("body")))
     parsed = payloads.select(*keys, F.from_xml(text, _FEED, {"ignoreNamespace": "true", "mode": "PERMISSIVE"}).alias("_feed"))
-    items = F.slice(_items(F.col("_feed")), 1, max_items)
-    rows = parsed.select(*keys, F.posexplode(items).alias("_pos", "_i"))
+    items = _items(F.col("_feed"))
+    rows = parsed.select(*keys, F.posexplode(items if max_items is None else F.slice(items, 1, max_items)).alias("_pos", "_i"))
     return rows.select(
         *keys, (F.col("_pos") + 1).alias("feed_pos"), clean_text(F.col("_i.title"), MAX_TITLE).alias("title"),
         pick_link(F.col("_i.links"), F.col("_i.guid"), F.col("_i.atom")).alias("link"),
