@@ -1,8 +1,8 @@
 """Notes about the same event, found by the likeness of their titles.
 
-Two titles of an edition are joined when they agree on a whole band of minimum hashes, and an event is a connected
-group of such titles. Titles with equal hashes are one node, so copies cost nothing; a bucket passes on its smallest
-label by aggregation, so a bucket of any size makes no pairs.
+Titles of an edition that agree on a whole band of minimum hashes share a bucket. Each is compared with the first
+title of its bucket and joined with it if their words are alike enough; an event is a connected group. Titles with equal
+words are one node, so copies cost nothing, and a bucket of any size makes one comparison per node and no pairs.
 """
 
 from __future__ import annotations
@@ -11,15 +11,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newslens.functions.text import lower_simple
+from newslens.operators.components import components
 from newslens.session import staged
 
 BANDS = 3
 ROWS_PER_BAND = 2
+#: Jaccard similarity of their words from which two titles are about the same event.
+LIKENESS = 0.5
+
+
+def title_words(title: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(lower_simple(title), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
 def title_hashes(title: Column) -> Column:
     """Smallest hash of the title's words under each of BANDS * ROWS_PER_BAND numbers; NULL without words."""
-    words = F.regexp_extract_all(lower_simple(title), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    words = title_words(title)
 
     def smallest(k: int) -> Column:
         return F.array_min(F.transform(words, lambda w: F.md5(F.concat(F.lit(f"{k} "), w).cast("binary"))))
@@ -35,31 +42,17 @@ def bands(hashes: Column) -> Column:
     return F.array(*[band(b) for b in range(BANDS)])
 
 
-def same_event_groups(titles: DataFrame) -> DataFrame:
-    """(edition_date, seq, event_seq): every note with the smallest seq of its event.
-
-    Labels spread over shared bands until nothing changes; each round is written out, so lost executors cost one round.
-    """
-    hashed = titles.select("edition_date", "seq", title_hashes(F.col("title")).alias("h"))
-    node = F.coalesce(F.sha2(F.concat_ws(",", "h"), 256), F.lit(""))
-    key = F.when(F.col("h").isNull(), F.concat(F.lit("seq "), F.col("seq").cast("string"))).otherwise(node)
+def same_event_groups(titles: DataFrame, likeness: float = LIKENESS) -> DataFrame:
+    """(edition_date, seq, event_seq): every note with the smallest seq of its event."""
+    hashed = titles.select("edition_date", "seq", title_hashes(F.col("title")).alias("h"), title_words(F.col("title")).alias("w"))
+    key = F.when(F.col("h").isNull(), F.concat(F.lit("seq "), F.col("seq").cast("string"))).otherwise(F.sha2(F.array_join(F.array_sort("w"), " "), 256))
     members = staged(hashed.withColumn("node", key))
-    nodes = members.groupBy("edition_date", "node").agg(F.min("seq").alias("label"), F.any_value("h").alias("h"))
-    edges = staged(
-        nodes.where(F.col("h").isNotNull()).select("edition_date", "node", F.explode(bands(F.col("h"))).alias("bucket"))
-    )
-    shared = edges.groupBy("edition_date", "bucket").agg(F.count("*").alias("k")).where(F.col("k") > 1).drop("k")
-    links = staged(edges.join(shared, ["edition_date", "bucket"], "left_semi"))
-    labels = staged(nodes.select("edition_date", "node", "label"))
-    while True:
-        spread = links.join(labels, ["edition_date", "node"])
-        best = spread.groupBy("edition_date", "bucket").agg(F.min("label").alias("best"))
-        offered = links.join(best, ["edition_date", "bucket"]).groupBy("edition_date", "node").agg(F.min("best").alias("best"))
-        after = staged(labels.join(offered, ["edition_date", "node"], "left").select(
-            "edition_date", "node", F.least("label", F.coalesce("best", "label")).alias("label"),
-            (F.coalesce("best", "label") < F.col("label")).alias("changed"),
-        ))
-        labels = after.drop("changed")
-        if after.where("changed").isEmpty():
-            break
-    return members.join(labels, ["edition_date", "node"]).select("edition_date", "seq", F.col("label").alias("event_seq"))
+    nodes = members.groupBy("edition_date", "node").agg(F.min("seq").alias("label"), F.any_value("h").alias("h"), F.any_value("w").alias("w"))
+    edges = nodes.where(F.col("h").isNotNull()).select("edition_date", "label", "w", F.explode(bands(F.col("h"))).alias("bucket"))
+    first = edges.groupBy("edition_date", "bucket").agg(F.min("label").alias("first"), F.min_by("w", "label").alias("first_w"), F.count("*").alias("k"))
+    near = F.size(F.array_intersect("w", "first_w")) >= likeness * F.size(F.array_union("w", "first_w"))
+    links = edges.join(first.where("k > 1"), ["edition_date", "bucket"]).where((F.col("label") != F.col("first")) & near)
+    roots = components(links.select(F.col("label").alias("a"), F.col("first").alias("b")))
+    of = roots.withColumnRenamed("node", "of")
+    found = nodes.join(of, F.col("label") == F.col("of"), "left").select("edition_date", "node", F.coalesce("root", "label").alias("event_seq"))
+    return members.join(found, ["edition_date", "node"]).select("edition_date", "seq", "event_seq")

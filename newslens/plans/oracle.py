@@ -339,9 +339,19 @@ SELECT DISTINCT edition_date, seq, unnest([concat('1', m1, m2), concat('2', m3,
   WHERE len(w) > 0)
 """.replace("\\\\", "\\"), ["headline"])
 
+# A title is joined with the first one of its bucket if half of their words agree, and with equal titles.
+_view("title_words", r"""
+SELECT edition_date, seq, list_distinct(regexp_extract_all(lower(replace(title, 'İ', 'i')), '[\p{L}\p{N}]+')) AS w FROM headline
+""", ["headline"])
+
 _view("title_edge", """
-SELECT DISTINCT a.edition_date, a.seq AS x, b.seq AS y FROM title_band a JOIN title_band b USING (edition_date, bucket)
-""", ["title_band"])
+WITH one AS (
+  SELECT edition_date, b.seq AS x, f.first AS y FROM title_band b JOIN (SELECT edition_date, bucket, min(seq) AS first FROM title_band GROUP BY ALL) f USING (edition_date, bucket)
+  JOIN title_words v USING (edition_date) JOIN title_words w USING (edition_date)
+  WHERE v.seq = b.seq AND w.seq = f.first AND b.seq <> f.first AND 2 * len(list_intersect(v.w, w.w)) >= len(list_distinct(list_concat(v.w, w.w)))
+  UNION SELECT edition_date, seq, min(seq) OVER (PARTITION BY edition_date, list_sort(w)) FROM title_words WHERE len(w) > 0)
+SELECT edition_date, x, y FROM one UNION SELECT edition_date, y, x FROM one
+""", ["title_band", "title_words"])
 
 _view("same_event_reach", """
 SELECT edition_date, seq, seq AS root FROM headline

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newslens.operators import audit, coverage, evaluation, events, headlines, learning, scoring, signups, stories, tagging
+from newslens.operators.components import components
 from newslens.operators.numbering import by_id, sliced_row_number, sliced_running_sum
 
 DAY = datetime.date(2026, 1, 1)
@@ -134,16 +135,26 @@ def test_same_event_groups_against_brute_force(spark):
     rows = [(DAY, i, r.choice(base) if i % 3 else base[0]) for i in range(60)] + [(DAY, 60, ""), (DAY, 61, "!!")]
     titles = spark.createDataFrame(rows, "edition_date date, seq bigint, title string")
     got = {x.seq: x.event_seq for x in events.same_event_groups(titles).collect()}
-    bands = {x.seq: set(x.b or []) for x in titles.select("seq", events.bands(events.title_hashes(F.col("title"))).alias("b")).collect()}
+    bands = {x.seq: set(x.b or []) - {None} for x in titles.select("seq", events.bands(events.title_hashes(F.col("title"))).alias("b")).collect()}
+    words = {i: frozenset(t.split()) if t != "!!" else frozenset() for _, i, t in rows}
+    links = [(i, j) for i in words for j in words if words[i] and words[i] == words[j]]
+    for bucket in set().union(*bands.values()):
+        inside = [i for i in bands if bucket in bands[i]]
+        links += [(i, min(inside)) for i in inside if 2 * len(words[i] & words[min(inside)]) >= len(words[i] | words[min(inside)])]
     root = {i: i for i in bands}
     for _ in bands:
-        for i in bands:
-            for j in bands:
-                if (bands[i] - {None}) & (bands[j] - {None}):
-                    root[i] = root[j] = min(root[i], root[j])
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
     assert got == root
 
 
+def test_unlike_titles_stay_apart_and_long_chains_close(spark):
+    titles = spark.createDataFrame([(DAY, 1, "uno dos tres cuatro"), (DAY, 2, "uno otra cosa distinta aquí")], "edition_date date, seq bigint, title string")
+    assert {x.seq: x.event_seq for x in events.same_event_groups(titles).collect()} == {1: 1, 2: 2}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(150)] + [(9, 9)], "a bigint, b bigint")
+    assert {x.node: x.root for x in components(chain).collect()} == dict.fromkeys(range(1, 151), 0)
+
+
 def test_coverage(spark):
     outlets = spark.createDataFrame(
         [(f"s{i}", f"S{i}", "P", "europe", "oficialista" if i % 2 else "oposicion", i < 5) for i in range(6)],
