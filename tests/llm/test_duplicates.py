@@ -138,12 +138,6 @@ def test_signatures_meet():
             assert len(np.intersect1d(sx, sy)), (percent, n, shared, new)
 
 
-def test_components_of_long_chains(spark):
-    links = [(i, i + 1) for i in range(200)] + [(1000 + i, 1000) for i in range(1, 50)] + [(7, 7)]
-    got = {r.node: r.root for r in jaccard.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(1, 201)} | {1000 + i: 1000 for i in range(1, 50)}
-
-
 def test_word_hashes_are_exact():
     texts = [t or "" for _, t in cases.odd_texts()]
     h, bounds = hashing.word_hashes(texts)
