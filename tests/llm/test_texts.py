@@ -121,7 +121,7 @@ def test_pseudonyms(spark):
         "mail a.43@mail5.example.com", "on 1987-05-12 and 12/05/1987 but not 31/02/1999", "ssn 123-45-6789 not 666-12-1234",
         "iban GB82WEST12345698765432 not GB83WEST12345698765432", "", None, "no value", "4539148803436467",
     ]
-    rows = list(enumerate(texts)) + cases.odd_texts()
+    rows = list(enumerate(texts)) + [(i + 1000 if i is not None else None, t) for i, t in cases.odd_texts()]
     docs = cases.frame(spark, rows)
     out = pseudonyms.pseudonymize(docs, "k", {"card": "cards"})
     got = {r.doc_id: r.text for r in out.collect()}
