@@ -78,6 +78,12 @@ class Bands:
             total += term
             k += 1
 
+    def need(self, size: int, band: int) -> int:
+        """Segments in which a set of this size agrees with any partner in a band at least."""
+        t = self.threshold
+        partner = min(math.floor(size / t), self.top(band))
+        return self.segments(band) - math.floor((size + partner) * (1 - t) / (1 + t))
+
     def signed_for(self, size: int) -> list[tuple[int, int, int]]:
         """(band, segments, few) for which a set of this size signs: its own, and each further one that holds sizes of possible partners."""
         own = self.of(size)
@@ -88,8 +94,8 @@ class Bands:
         return [(b, m, self.few(b)) for b, m in out if m > 1]
 
 
-def signatures(tokens: np.ndarray, band: int, segments: int, few: int) -> np.ndarray:
-    """Signatures of a set (distinct 64-bit hashes) for a band."""
+def signatures(tokens: np.ndarray, band: int, segments: int, few: int) -> tuple[np.ndarray, int]:
+    """Signatures of a set (distinct 64-bit hashes) for a band, and the number of segments that got none."""
     where = (hashing.mixed(tokens ^ np.uint64(band * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
     where = where.astype(np.int64)
     count = np.bincount(where, minlength=segments)
@@ -107,7 +113,7 @@ def signatures(tokens: np.ndarray, band: int, segments: int, few: int) -> np.nda
         member = wide[where]
         left = where[member]
         out.append(hashing.mixed(((total[left] - value[member]) ^ mark[left]) + (count[left] - 1).astype(np.uint64)))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), int(cheap.sum())
 
 
 def identity(tokens: np.ndarray) -> bytes:
@@ -122,7 +128,7 @@ def sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, list[np.
         yield a, b, np.split(h, np.searchsorted(owner, np.arange(1, b - a)))
 
 
-PROFILE = "doc long, part long, n_shingles long, same binary, signs array<long>"
+PROFILE = "doc long, part long, n_shingles long, same binary, bands array<struct<band:int,need:int,signs:array<long>>>"
 
 
 def profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -132,17 +138,26 @@ def profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
         bands = Bands(percent)
         for batch in batches:
             for a, b, found in sets(batch, words):
-                signs = [np.concatenate([signatures(t, *s) for s in bands.signed_for(len(t))] or [np.empty(0, np.uint64)]) if len(t) else np.empty(0, np.uint64) for t in found]
-                ends = np.cumsum([0, *map(len, signs)])
+                counts, numbers, needs, signs = [0], [], [], []
+                for t in found:
+                    for band in bands.signed_for(len(t)) if len(t) else []:
+                        values, unsigned = signatures(t, *band)
+                        numbers.append(band[0])
+                        needs.append(max(1, bands.need(len(t), band[0]) - unsigned))
+                        signs.append(values)
+                    counts.append(len(signs))
+                flat = hashing.signed(np.concatenate([*signs, np.empty(0, np.uint64)]))
+                each = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, signs)]), pa.int32()), pa.array(flat, pa.int64()))
+                rows = pa.StructArray.from_arrays([pa.array(numbers, pa.int32()), pa.array(needs, pa.int32()), each], names=["band", "need", "signs"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc").slice(a, b - a),
                         batch.column("part").slice(a, b - a),
                         pa.array([len(t) for t in found], pa.int64()),
                         pa.array([identity(t) if len(t) else None for t in found], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashing.signed(np.concatenate(signs)), pa.int64())),
+                        pa.ListArray.from_arrays(pa.array(counts, pa.int32()), rows),
                     ],
-                    names=["doc", "part", "n_shingles", "same", "signs"],
+                    names=["doc", "part", "n_shingles", "same", "bands"],
                 )
 
     return documents(docs).mapInArrow(run, PROFILE)
@@ -236,6 +251,18 @@ def past_centres(star: DataFrame) -> DataFrame:
     return pairs.select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
 
 
+def counted(members: DataFrame) -> DataFrame:
+    """(sign, class, part, n): members of signatures that several classes share, without classes that share too few in a band.
+
+    A set shares more than one segment with any partner, unless it is as large as its band allows; segments without a signature are
+    taken off what it needs. The others have no partner in the band.
+    """
+    enough = members.groupBy(F.col("class").alias("c"), F.col("band").alias("d")).agg(F.count("*").alias("n"), F.max("need").alias("least")).where("n >= least")
+    kept = settled(members.join(enough.select("c", "d"), (F.col("class") == F.col("c")) & (F.col("band") == F.col("d"))).select("sign", "class", "part"))
+    sizes = kept.groupBy(F.col("sign").alias("g")).agg(F.count("*").alias("n")).where("n > 1")
+    return kept.join(sizes, F.col("sign") == F.col("g")).select("sign", "class", "part", "n")
+
+
 def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc, part, n_shingles, component) of each row; `component` is the smallest doc of those reachable by links."""
     rows = settled(profiles(docs, words, percent))
@@ -246,12 +273,13 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     leads = twins.groupBy(F.col("twin").alias("t")).agg(F.min("class").alias("b"))
     given = settled(twins.join(leads, F.col("twin") == F.col("t")).select(F.col("class").alias("a"), "b").where("a <> b").distinct())
     one = full.join(classes.select("class", "at", F.col("same").alias("s")), (F.col("doc") == F.col("class")) & (F.col("part") == F.col("at")) & (F.col("same") == F.col("s")))
-    one = settled(one.select("class", F.col("at").alias("part"), "signs"))
-    shared = settled(one.select(F.explode("signs").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
-    signed = one.select("class", "part", F.explode("signs").alias("sign"))
-    members = settled(signed.join(shared, F.col("sign") == F.col("g")).select("sign", "class", "part", "n"))
+    one = settled(one.select("class", F.col("at").alias("part"), F.explode("bands").alias("b")).select("class", "part", "b.*"))
+    shared = settled(one.select(F.explode("signs").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
+    signed = one.select("class", "part", "band", "need", F.explode("signs").alias("sign"))
+    members = settled(signed.join(shared, F.col("sign") == F.col("g")).drop("g"))
+    members = settled(counted(members))
     known = members.select("class", "part").distinct()
-    tokens = settled(shingle_sets(docs, known, words).distinct())
+    tokens = settled(shingle_sets(docs, known, words))
     # The class that shares most signatures is the centre of its groups: it is likest to the text the others were made from.
     fame = members.groupBy("class").agg(F.sum("n").alias("fame"))
     centres = members.join(fame, "class").groupBy("sign").agg(F.max(F.struct("fame", -F.col("class"))).alias("top"))

@@ -118,13 +118,13 @@ def test_jaccard_components(spark, k, percent):
 
 
 def test_signatures_meet():
-    """Any two sets within the threshold have a signature in common, whatever their sizes."""
+    """Any two sets within the threshold have signatures of a band in common, as many as each needs."""
     import numpy as np
 
     rng = np.random.default_rng(3)
     for percent in (80, 90, 95):
         bands = jaccard.Bands(percent)
-        for _ in range(300):
+        for _ in range(400):
             n = int(rng.integers(4, 160))
             x = rng.integers(0, 2**64, n, dtype=np.uint64)
             low = -(-percent * n // 100)
@@ -134,8 +134,13 @@ def test_signatures_meet():
             if shared == n and not new:
                 continue
             assert 100 * shared >= percent * (n + new)
-            sx, sy = (np.concatenate([jaccard.signatures(s, *band) for band in bands.signed_for(len(s))] or [np.empty(0, np.uint64)]) for s in (x, y))
-            assert len(np.intersect1d(sx, sy)), (percent, n, shared, new)
+            mine, theirs = ({b[0]: (jaccard.signatures(s, *b), bands.need(len(s), b[0])) for b in bands.signed_for(len(s))} for s in (x, y))
+            both = set(mine) & set(theirs)
+            met = {b: len(np.intersect1d(mine[b][0][0], theirs[b][0][0])) for b in both}
+            top = max(bands.of(len(x)), bands.of(len(y)))
+            for side in (mine, theirs):
+                (_, unsigned), need = side[top]
+                assert met[top] >= max(1, need - unsigned), (percent, n, shared, new)
 
 
 def test_word_hashes_are_exact():
