@@ -49,11 +49,12 @@ def _fold(requests: Column, rate: Rate) -> Column:
     )
 
     def step(acc: Column, r: Column) -> Column:
-        gained = (r["us"] - F.coalesce(acc["last"], r["us"])) * rate.count
+        now = F.greatest(r["us"], F.coalesce(acc["last"], r["us"]))
+        gained = (now - F.coalesce(acc["last"], r["us"])) * rate.count
         held = F.least(F.lit(rate.full).cast("bigint"), acc["tokens"] + gained)
         left = F.when(held >= rate.one, held - rate.one).otherwise(held)
         row = F.struct(r["event_id"].alias("event_id"), (held >= rate.one).alias("admitted"), left.alias("tokens"))
-        return F.struct(left.alias("tokens"), r["us"].alias("last"), F.concat(acc["out"], F.array(row)).alias("out"))
+        return F.struct(left.alias("tokens"), now.alias("last"), F.concat(acc["out"], F.array(row)).alias("out"))
 
     return F.aggregate(requests, start, step, lambda acc: acc["out"])
 
@@ -62,6 +63,7 @@ def transfer(us: list[int], rate: Rate) -> list[tuple[int, int, int]]:
     """Pieces (from, slope, offset) of tokens-after as a function of the tokens held when the first request comes in."""
     pieces, last = [(0, 1, 0)], us[0]
     for t in us:
+        t = max(t, last)
         gain, last, after = (t - last) * rate.count, t, []
         for i, (lo, slope, off) in enumerate(pieces):
             hi = pieces[i + 1][0] if i + 1 < len(pieces) else rate.full + 1
@@ -96,7 +98,7 @@ def _starts(rate: Rate):
         frame = frame.sort_values("chunk")
         held, last, rows = rate.full, None, []
         for r in frame.itertuples():
-            held = rate.full if last is None else min(rate.full, held + (r.first_us - last) * rate.count)
+            held = rate.full if last is None else min(rate.full, held + max(0, r.first_us - last) * rate.count)
             rows.append((r.client, r.chunk, held))
             i = max(k for k, lo in enumerate(r.lo) if lo <= held)
             held, last = int(r.slope[i]) * held + int(r.off[i]), r.last_us
@@ -109,6 +111,7 @@ def spend(us: list[int], held: int, last: int, rate: Rate) -> tuple[list[bool],
     """Decisions and remaining tokens for requests at times `us`, given the tokens held at `last`; and the final tokens."""
     admitted, tokens = [], []
     for t in us:
+        t = max(t, last)
         held, last = min(rate.full, held + (t - last) * rate.count), t
         ok = held >= rate.one
         held -= rate.one if ok else 0
@@ -130,7 +133,7 @@ def _replay(rate: Rate):
 def admit(requests: DataFrame, rate: Rate, small: int = SMALL_CLIENT, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Decision on every request (client, ts, event_id): admitted, and the token units left.
 
-    `event_id` numbers the requests in the order of arrival, in which `ts` does not run backwards.
+    `event_id` numbers the requests in the order of arrival, in which `ts` should not run backwards; a step back counts as no time.
     """
     keyed = requests.select("client", "event_id", epoch_us(F.col("ts")).alias("us"))
     busy = keyed.groupBy("client").agg(F.count("*").alias("_k")).where(F.col("_k") > small).select("client")

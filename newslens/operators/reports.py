@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -213,13 +216,22 @@ def news_list_lines(notes: DataFrame) -> DataFrame:
     return notes.withColumn("line", line)
 
 
+def digest_numbers(notes: DataFrame) -> DataFrame:
+    """(seq, n): the number a note goes by in the digest. Notes of one source with one title go by the last of their numbers."""
+    same = ["edition_date", "source_id", "title"]
+    numbered = citation_numbers(notes.select(*same, "seq"))
+    last = numbered.groupBy(*[F.col(c).alias(f"_{c}") for c in same]).agg(F.max("n").alias("n"))
+    agree = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]
+    return numbered.drop("n").join(last, reduce(and_, agree)).select("seq", "n")
+
+
 def digest_input(notes: DataFrame, outlets: DataFrame, headlines: DataFrame) -> DataFrame:
     """What a report is written from, as ordered lines (edition_date, block, position, line_no, text).
 
     Blocks: 0 stories several outlets carry, 1 the note numbers of those stories, 2 regions with their notes. It stays
     in rows, sorted at the sink, so an edition of any size never has to fit into one value.
     """
-    numbers = citation_numbers(notes.select("edition_date", "seq")).select("seq", "n")
+    numbers = digest_numbers(notes)
     text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
     num = lambda c: F.col(c).cast("string")
 

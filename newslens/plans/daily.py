@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from newslens.sources import feeds
 
 @dataclass
 class Edition:
-    """Tables of one run; `digest` and the rest are computed when they are read or written."""
+    """Tables of one run. Parsed, scored and accepted headlines are written; the rest is computed when it is read."""
 
     current: DataFrame
     coverage: DataFrame
@@ -23,7 +24,22 @@ class Edition:
     audit: DataFrame
     counts: DataFrame
     notes: DataFrame
-    digest: DataFrame
+    outlets: DataFrame
+
+    def digest(self) -> DataFrame:
+        """Lines a report is written from; computed only when asked for."""
+        return reports.digest_input(self.notes, self.outlets, self.current)
+
+
+def by_rules(relations: list[tuple[str, str]]) -> Callable[[DataFrame], DataFrame]:
+    """The deterministic classifier of a run."""
+
+    def classify(tagged: DataFrame) -> DataFrame:
+        return tagging.rule_classify(tagged, relations).withColumns(
+            {"error": F.lit(None).cast("string"), "model": F.lit("rules"), "reason": F.concat(F.lit("regla "), F.col("relation_type"))}
+        )
+
+    return classify
 
 
 def run_edition(
@@ -37,21 +53,22 @@ def run_edition(
     max_age_hours: int = headlines.MAX_AGE_HOURS,
     use_prefilter: bool = True,
     wires: list[tuple[str, str]] = WIRE_AGENCIES,
+    classify: Callable[[DataFrame], DataFrame] | None = None,
+    groups: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Edition:
     """Parse, cap, drop stale, attach outlets, tag and classify by rule, then audit, group and lay out.
 
     `payloads` has `keys` (source_id and edition_date among them), `body` and `rejected`. Feeds are read once: parsed
-    headlines are written out and everything else starts from them.
+    headlines are written out and everything else starts from them. `classify` adds relation_type, is_international,
+    error, model and reason to tagged headlines, as a batch scorer does (None: by rules); `groups` gives groups of the
+    same event (edition_date, group_no, event, seq) for the accepted notes (None: by signature).
     """
     ordered = feeds.parse_feeds(payloads, max_items, keys).orderBy(*keys, "feed_pos")
     # Range partitions in order, so the id follows the keys and is dense within each partition.
     parsed = staged(ordered.withColumn("seq", F.monotonically_increasing_id()))
     errors = feeds.feed_failures(payloads, parsed, keys).groupBy("source_id").agg(F.max("detail").alias("detail"))
     current = headlines.drop_stale(parsed, now, max_age_hours)
-    tagged = tagging.rule_classify(
-        tagging.prefilter(headlines.headline_outlet(current, outlets), gazetteer), relations
-    ).withColumns({"error": F.lit(None).cast("string"), "model": F.lit("rules"), "reason": F.concat(F.lit("regla "), F.col("relation_type"))})
-    scored = staged(tagged)
+    scored = staged((classify or by_rules(relations))(tagging.prefilter(headlines.headline_outlet(current, outlets), gazetteer)))
     entries = audit.audit_entries(scored, use_prefilter)
     kept = scored.where(F.col("is_international") if use_prefilter else F.col("relation_type") != "none")
     notes = stories.with_voices(
@@ -59,8 +76,8 @@ def run_edition(
         F.concat_ws(" ", "title", "snippet"), wires,
     )
     counts = audit.with_source_counts(audit.audit_counts(entries), current, outlets)
-    notes = staged(notes)
+    notes = staged(stories.group_assign(notes, groups(notes)) if groups else notes)
     return Edition(
         current, coverage.region_coverage(outlets, current), coverage.source_status(outlets, current, errors), entries, counts,
-        notes, reports.digest_input(notes, outlets, current),
+        notes, outlets,
     )

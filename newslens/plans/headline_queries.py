@@ -240,7 +240,7 @@ _STATUS = f"""
 SELECT source_id, name, country, region, CASE WHEN detail <> '' THEN 'error' WHEN headlines = 0 THEN 'sin_vigentes' ELSE 'ok' END AS status,
   detail, headlines FROM (
   SELECT o.source_id, name, country, region, coalesce(detail, '') AS detail, coalesce(n, 0) AS headlines FROM outlet o
-  LEFT JOIN (SELECT source_id, count(*) AS n FROM headline WHERE published_at >= TIMESTAMP '{v.NOW}' - INTERVAL 30 HOUR GROUP BY ALL) USING (source_id)
+  LEFT JOIN (SELECT source_id, count(*) AS n FROM headline WHERE {_CURRENT} GROUP BY ALL) USING (source_id)
   LEFT JOIN (SELECT source_id, concat('fetch failed ', count(*)) AS detail FROM headline WHERE source_id IN ('src3', 'src12') GROUP BY ALL) USING (source_id)
   WHERE has_feed)
 """

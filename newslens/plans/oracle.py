@@ -166,6 +166,8 @@ FROM measured
 
 _view("numbered", "SELECT *, row_number() OVER (PARTITION BY edition_date ORDER BY seq) AS n FROM notes", ["notes"])
 
+_view("digest_number", "SELECT edition_date, seq, cluster_key, max(n) OVER (PARTITION BY edition_date, source_id, title) AS n FROM numbered", ["numbered"])
+
 _view("region_dim", """
 SELECT * FROM (VALUES ('north_america', 'América del Norte', 1), ('latin_america', 'América Latina', 2), ('europe', 'Europa', 3),
   ('east_asia', 'Asia Oriental', 4), ('eurasia', 'Eurasia', 5), ('middle_east', 'Medio Oriente', 6), ('africa', 'África', 7),

@@ -288,14 +288,14 @@ def fill_missing_regions(spark, sf):
 SELECT edition_date, 0 AS block, rank AS position, CAST(0 AS BIGINT) AS line_no, concat('- ', title, ' — ', sources, ' medios en ', countries, ' país(es) (',
   media_countries, '); fuentes independientes: ', voices, ', de ', voice_countries, ' país(es)', CASE WHEN wires <> '' THEN concat(' (cables: ', wires, ')') ELSE '' END) AS text
 FROM cross_story
-UNION ALL SELECT x.edition_date, 1, rank, n, concat('[', n, ']') FROM cross_story x JOIN numbered USING (edition_date, cluster_key)
+UNION ALL SELECT x.edition_date, 1, rank, n, concat('[', n, ']') FROM cross_story x JOIN digest_number USING (edition_date, cluster_key)
 UNION ALL SELECT edition_date, 2, rank, -1, concat('REGIÓN: ', label, ' (respondieron hoy ', responded, ' de ', configured, ' medios)') FROM edition_cov
 UNION ALL SELECT edition_date, 2, rank, 0, CASE WHEN r.region IS NULL THEN empty_text ELSE concat('_Cobertura parcial: respondieron ', responded, ' de ', configured, ' medios de la región._') END
   FROM edition_cov LEFT JOIN (SELECT DISTINCT edition_date, region FROM notes) r USING (edition_date, region) WHERE r.region IS NULL OR low
 UNION ALL SELECT r.edition_date, 2, d.rank, region_rank, concat('- [', n, '] [', r.country, ' | ', r.name, ' | ', r.stance, ' | tipo: ',
     CASE WHEN r.ownership_note = '' THEN r.ownership ELSE concat(r.ownership, ' (', r.ownership_note, ')') END, '] ', r.title, ' (países: [', array_to_string(r.countries, ' '),
     '], empresas: [', array_to_string(r.companies, ' '), '], relación: ', r.relation_type, ')', coverage)
-  FROM region_ranked r JOIN (SELECT seq, n FROM numbered) USING (seq) JOIN region_dim d ON d.region = r.region
-""", ("cross_story", "numbered", "edition_cov", "region_ranked", "region_dim"))
+  FROM region_ranked r JOIN (SELECT seq, n FROM digest_number) USING (seq) JOIN region_dim d ON d.region = r.region
+""", ("cross_story", "digest_number", "edition_cov", "region_ranked", "region_dim"))
 def digest_input(spark, sf):
     return reports.digest_input(v.notes(spark, sf), v.outlets(spark, sf), v.headlines(spark, sf))
