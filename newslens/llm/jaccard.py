@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -204,7 +205,7 @@ def with_sets(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
 
-SPOKES = "a long, b long, odd boolean, prefix int, differences array<long>"
+SPOKES = "a long, b long, variant int, odd boolean, prefix int, differences array<long>"
 
 
 def compared(spokes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -212,7 +213,7 @@ def compared(spokes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odd, prefix, differences = [], [], []
+            variant, odd, prefix, differences = [], [], [], []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 u, v = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
                 both = np.sort(np.concatenate([u, v]))
@@ -223,11 +224,12 @@ def compared(spokes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
                 least = (apart * (100 + percent) - (100 - percent) * (len(v) - len(u))) // (2 * (100 + percent)) + 1
                 prefix.append(max(0, apart - least + 1))
                 differences.append(hashing.signed(single))
+                variant.append(zlib.crc32(single.tobytes()) & 0x7FFFFFFF)
             ends = np.cumsum([0, *map(len, differences)])
             flat = np.concatenate(differences) if differences else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("a"), batch.column("b"), pa.array(odd, pa.bool_()), pa.array(prefix, pa.int32()),
+                    batch.column("a"), batch.column("b"), pa.array(variant, pa.int32()), pa.array(odd, pa.bool_()), pa.array(prefix, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
                 ],
                 names=[x.split()[0] for x in SPOKES.split(", ")],
@@ -237,15 +239,21 @@ def compared(spokes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
 
 def past_centres(star: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that may be linked although not both are linked to their centre."""
-    open_centres = star.where("odd").select(F.col("a").alias("centre")).distinct()
-    known = star.join(open_centres, F.col("a") == F.col("centre"))
-    each = known.select("centre", "b", "odd", "prefix", F.xxhash64("differences").alias("variant"), F.explode("differences").alias("token"))
-    counts = each.groupBy(F.col("centre").alias("c"), F.col("token").alias("t")).agg(F.count("*").alias("n"))
-    ranked = each.join(counts, (F.col("centre") == F.col("c")) & (F.col("token") == F.col("t"))).withColumn(
-        "rank", F.row_number().over(Window.partitionBy("centre", "b", "variant").orderBy("n", "token"))
-    )
-    met = settled(ranked.where("n > 1 and (odd or rank <= prefix)").select("centre", "token", "b", "odd", (F.col("rank") <= F.col("prefix")).alias("rare")))
+    """Pairs (a, b) of classes that may be linked although not both are linked to their centre.
+
+    Differences that only one class of a centre has can't meet another; they count as the first ones of its prefix without being sorted.
+    """
+    opened = star.groupBy(F.col("a").alias("centre")).agg(F.max("odd").alias("odd"), F.min("b").alias("b0"), F.max("b").alias("b1"))
+    known = star.join(opened.where("odd and b0 <> b1").select("centre"), F.col("a") == F.col("centre")).drop("a")
+    each = known.select("centre", "b", "variant", F.explode("differences").alias("token"))
+    common = each.groupBy(F.col("centre").alias("c"), F.col("token").alias("t")).agg(F.count("*").alias("n")).where("n > 1")
+    spoke = ["centre", "b", "variant"]
+    found = each.join(common, (F.col("centre") == F.col("c")) & (F.col("token") == F.col("t"))).select(*spoke, "token", "n")
+    found = settled(found)
+    found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*spoke).orderBy("n", "token"))).withColumn("kept", F.count("*").over(Window.partitionBy(*spoke)))
+    facts = known.select(*spoke, "odd", "prefix", F.size("differences").alias("size")).distinct()
+    rare = F.col("rank") + F.col("size") - F.col("kept") <= F.col("prefix")
+    met = settled(found.join(facts, spoke).select("centre", "token", "b", "odd", rare.alias("rare")).where("odd or rare"))
     odd = met.where("odd").select(F.col("centre").alias("c"), F.col("token").alias("t"), F.col("b").alias("x"))
     pairs = met.where("rare").join(odd, (F.col("centre") == F.col("c")) & (F.col("token") == F.col("t")) & (F.col("b") != F.col("x")))
     return pairs.select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
