@@ -4,7 +4,8 @@ The guess cost of a value is the smallest sum of the costs of its parts over all
 (with capitals and look-alike letters on top), a date its day and year, a repeat its unit and count, a keyboard walk its start, length and
 turns, and anything else ten guesses per character. A dynamic program over the positions finds it. A value after a credential word, in
 front of the host of an address, or after a bearer mark is a secret if it costs 10 ** `GUESSES` guesses or more; dictionary words are the
-most frequent words of the corpus itself, counted over all documents.
+words that most distinct texts of the corpus itself hold, `TEXTS` at least, outside the values of credentials. So copies of a text, however
+many, make no word of what it holds, and a secret makes no word of itself.
 
 Null and empty texts have no span. Positions are code points, ends are exclusive. Repeated rows give equal results. Other columns are not read.
 """
@@ -29,13 +30,15 @@ ASSIGN_HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(
-    r"""(?:\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|credentials?|login)\b["']?\s*(?:\bis\b|:=|=>|[:=])\s*"""
+    r"""(?:(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|credentials?|login)(?![A-Za-z0-9])["']?\s*(?:\bis\b|:=|=>|[:=])\s*"""
     r"""["']?(?:bearer\s+|basic\s+)?|\bbearer\s+|--(?:password|token|secret)[ =]|://[^\s:/@]+:(?=[^\s/@]+@))([^\s"'<>,;@]{6,})""",
     re.I | re.A,
 )
 CONTEXT_HINTS = ("pass", "pwd", "secret", "token", "api", "auth", "credential", "login", "bearer", "://")
 GUESSES = 8.0
 DICTIONARY = 20_000
+#: Distinct texts that a dictionary word is in.
+TEXTS = 3
 CACHE = 400_000
 WORD = re.compile(r"[^\W\d_]{3,}")
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/. ]?(?:0?[1-9]|1[0-2])[-/. ]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/. ]?(?:0?[1-9]|1[0-2])[-/. ]?(?:(?:19|20)?\d\d)|(?:19|20)\d\d)")
@@ -130,8 +133,22 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def common_words(docs: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
-    """Rank of the `size` most frequent words of all documents; tasks add up their own counts first."""
+def plain_words(text: str) -> set[str]:
+    """Distinct words of a text outside what the fixed patterns and the credential contexts take for values."""
+    low = text.lower()
+    spans = [(s, e) for s, _, e in base_spans(text, low)]
+    if any(h in low for h in CONTEXT_HINTS):
+        spans += [m.span(1) for m in CONTEXT.finditer(text)]
+    at, kept = 0, []
+    for start, end in sorted(spans):
+        if start > at:
+            kept.append(text[at:start])
+        at = max(at, end)
+    return set(WORD.findall(" ".join([*kept, text[at:]]).lower() if spans else low))
+
+
+def common_words(docs: DataFrame, size: int = DICTIONARY, texts: int = TEXTS) -> dict[str, int]:
+    """Rank of the `size` words that most distinct texts hold, `texts` at least; tasks add up their own counts first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -143,12 +160,13 @@ def common_words(docs: DataFrame, size: int = DICTIONARY) -> dict[str, int]:
 
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                seen.update(WORD.findall(text.lower()))
+                seen.update(plain_words(text))
                 if len(seen) > CACHE:
                     yield flush()
         yield flush()
 
-    counts = documents(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    distinct = documents(docs).select("text").distinct()
+    counts = distinct.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= texts)
     return {r["word"]: i + 1 for i, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(size).collect())}
 
 
@@ -156,7 +174,7 @@ RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 
 def scans(docs: DataFrame, ranks: dict[str, int] | None = None) -> DataFrame:
-    """Counts and spans of each row. `ranks` is the dictionary (None: the most frequent words of `docs`)."""
+    """Counts and spans of each row. `ranks` is the dictionary (None: the words of `docs`, as `common_words` finds them)."""
     ranks = common_words(docs) if ranks is None else ranks
     longest = max(map(len, ranks), default=0)
 
