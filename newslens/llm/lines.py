@@ -1,10 +1,10 @@
-"""Line dedup by winnowing: runs of lines that occur earlier in the corpus are deleted, in DataFrame operations only.
+"""Line dedup: runs of lines that occur earlier in the corpus are deleted, in DataFrame operations only.
 
-Every line is hashed; in each window of `window` consecutive lines the smallest hash (the rightmost of equal ones) is the fingerprint, so
-two texts that share `window` lines in a row surely share a fingerprint. Windows whose fingerprint occurs at one position of the corpus only
-are dropped after an aggregation over fingerprints. The others meet, at their fingerprint, the first position of the same lines; each match
-is extended to both sides of the fingerprint as far as its lines agree, and matches that follow one another make one run. All lines of a run
-that has an earlier occurrence (smaller id, or earlier in the same text) go; decisions are taken on the input.
+All windows of `window` consecutive lines are hashed, each whole and with the smallest hash of its lines (the rightmost of equal ones) as
+its fingerprint; no minima are selected and no match is extended. Windows whose fingerprint occurs at one position of the corpus only are
+dropped after an aggregation over fingerprints. The others meet, at their fingerprint and the hash of all their lines, the first position of
+the same lines. All lines of a window that has an earlier occurrence (smaller id, or earlier in the same text) go, so runs of any length from
+`window` on go as a whole; shorter repeats stay. Decisions are taken on the input.
 
 A hot line or a large group of copies only adds to counts and minima, which are combined before the shuffle, and to joins on the side that
 Spark splits; no group is gathered. Null or empty texts have one empty line and lose nothing. A null id counts as the smallest. Rows with
