@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm import chats, fingerprints, jaccard, leaks, lines, packing, phrases, pseudonyms, secrets, toxicity
+from newslens.llm import chats, fingerprints, jaccard, leaks, lines, packing, phrases, prefixes, pseudonyms, repair, secrets, toxicity, whitening
 from newslens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,18 @@ def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op7_preferences"] = chats.SQL
+
+
+@query
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.count_report(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

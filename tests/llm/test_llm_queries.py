@@ -30,7 +30,7 @@ def test_matches_sql(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted({int(k[2:].split("_")[0]) for k in llm.QUERIES}) == list(range(1, 11))
+    assert sorted({int(k[2:].split("_")[0]) for k in llm.QUERIES}) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, tmp_path):
