@@ -3,8 +3,8 @@
 Tokens are whole numbers: one token is `per_seconds` * 10^6 units and every microsecond adds `count` of them, so a
 bucket gives the same answer however its requests are split over tasks.
 
-A client with few requests is folded in one array expression. The requests of a busy client are cut into chunks along
-their arrival number. A chunk is first reduced to its transfer function (tokens before -> tokens after, a handful of
+A client with few requests is folded in one array expression. The requests of a busy client are cut into chunks at
+quantiles of their arrival numbers. A chunk is first reduced to its transfer function (tokens before -> tokens after, a handful of
 linear pieces); the functions are chained, which yields the tokens at the start of every chunk, and then all chunks are
 replayed side by side.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newslens.functions.text import epoch_us
-from newslens.operators.numbering import by_id
+from newslens.operators.numbering import cut_points, reached
 
 SMALL_CLIENT = 2048
 CHUNK_ROWS = 1 << 20
@@ -143,7 +143,9 @@ def admit(requests: DataFrame, rate: Rate, small: int = SMALL_CLIENT, chunk_rows
         .select("client", F.explode(F.arrays_zip(F.col("_r.us").alias("us"), _fold(F.col("_r"), rate).alias("d"))).alias("_z"))
         .select("client", "_z.d.event_id", "_z.us", "_z.d.admitted", "_z.d.tokens")
     )
-    chunked = keyed.join(busy, "client", "left_semi").withColumn("chunk", by_id("event_id", chunk_rows))
+    hot = keyed.join(busy, "client", "left_semi")
+    cuts = cut_points(hot, ["event_id"], chunk_rows)["event_id"]
+    chunked = hot.withColumn("chunk", reached(F.col("event_id"), cuts).cast("bigint"))
     summaries = chunked.groupBy("client", "chunk").applyInPandas(
         _summaries(rate),
         "client string, chunk bigint, first_us bigint, last_us bigint, lo array<bigint>, slope array<bigint>, off array<bigint>",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newslens.operators.numbering import by_id, sliced_row_number, sliced_running_sum
+from newslens.operators.numbering import sliced_row_number, sliced_running_sum
 
 # Stages of a headline, reasons and default labels.
 PREFILTER_REJECTED = "prefilter_rejected"
@@ -94,7 +94,7 @@ def cost_by_stage(usage: DataFrame) -> DataFrame:
 def budget_gate(usage: DataFrame, budget: Column, optional: list[str], order: str = "event_id") -> DataFrame:
     """Spend of the run before each request, and whether an optional stage is skipped for it."""
     running = sliced_running_sum(
-        usage, ["run"], [F.col(order)], [(by_id(order), True)], F.col("cost"), "spent_before", inclusive=False
+        usage, ["run"], [(order, True)], F.col("cost"), "spent_before", inclusive=False
     )
     skip = F.col("stage").isin(optional) & (F.col("spent_before") >= budget)
     return running.withColumn("skipped", F.coalesce(skip, F.lit(False)))
@@ -102,7 +102,7 @@ def budget_gate(usage: DataFrame, budget: Column, optional: list[str], order: st
 
 def edition_versions(generations: DataFrame, order: str = "event_id") -> DataFrame:
     """Version number of every generation of an edition, with the default reasons filled in."""
-    numbered = sliced_row_number(generations, ["edition_date"], [F.col(order)], [(by_id(order), True)], "version")
+    numbered = sliced_row_number(generations, ["edition_date"], [(order, True)], "version")
     reason = (
         F.when(F.col("version") == 1, ORIGINAL_REASON)
         .when(F.coalesce("reason", F.lit("")) == "", UNSTATED_REASON)

@@ -1,8 +1,13 @@
 """Notes about the same event, found by the likeness of their titles.
 
-Titles of an edition that agree on a whole band of minimum hashes share a bucket. Each is compared with the first
-title of its bucket and joined with it if their words are alike enough; an event is a connected group. Titles with equal
-words are one node, so copies cost nothing, and a bucket of any size makes one comparison per node and no pairs.
+All titles of an edition whose sets of words have a Jaccard similarity of LIKENESS or more are linked, and an event is a connected group. Titles
+with equal words are one node, so copies cost nothing. Words are put in one order, rare ones first; two titles that are alike enough share a word
+among the first few of both (prefix filter), where the words from there on must suffice (position and length filter). So titles meet by (edition,
+word), and each pair is verified on the whole sets.
+
+Only what is connected matters, so pairs within a connected group need not be formed: first every title of a bucket is compared with the bucket's
+first one, and what that connects is one group. A bucket that is left with one group is done; in the others only titles of different groups meet.
+In a bucket of many titles they meet by the sizes of their sets as well, which leaves out pairs that the filters rule out before they are formed.
 """
 
 from __future__ import annotations
@@ -14,45 +19,93 @@ from newslens.functions.text import lower_simple
 from newslens.operators.components import components
 from newslens.session import staged
 
-BANDS = 3
-ROWS_PER_BAND = 2
 #: Jaccard similarity of their words from which two titles are about the same event.
 LIKENESS = 0.5
+#: A word is frequent if it is this part of all words of titles; so at most as many words are.
+FREQUENT = 10_000
+#: Titles in a bucket from which they meet by the sizes of their sets.
+LARGE_BUCKET = 64
 
 
 def title_words(title: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(lower_simple(title), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
-def title_hashes(title: Column) -> Column:
-    """Smallest hash of the title's words under each of BANDS * ROWS_PER_BAND numbers; NULL without words."""
-    words = title_words(title)
-
-    def smallest(k: int) -> Column:
-        return F.array_min(F.transform(words, lambda w: F.md5(F.concat(F.lit(f"{k} "), w).cast("binary"))))
-
-    return F.when(F.size(words) > 0, F.array(*[smallest(k + 1) for k in range(BANDS * ROWS_PER_BAND)]))
-
-
-def bands(hashes: Column) -> Column:
-    """Band names: number and hashes of each band."""
-    def band(b: int) -> Column:
-        return F.concat(F.lit(str(b + 1)), *[F.get(hashes, b * ROWS_PER_BAND + r) for r in range(ROWS_PER_BAND)])
-
-    return F.array(*[band(b) for b in range(BANDS)])
-
-
-def same_event_groups(titles: DataFrame, likeness: float = LIKENESS) -> DataFrame:
-    """(edition_date, seq, event_seq): every note with the smallest seq of its event."""
-    hashed = titles.select("edition_date", "seq", title_hashes(F.col("title")).alias("h"), title_words(F.col("title")).alias("w"))
-    key = F.when(F.col("h").isNull(), F.concat(F.lit("seq "), F.col("seq").cast("string"))).otherwise(F.sha2(F.array_join(F.array_sort("w"), " "), 256))
-    members = staged(hashed.withColumn("node", key))
-    nodes = members.groupBy("edition_date", "node").agg(F.min("seq").alias("label"), F.any_value("h").alias("h"), F.any_value("w").alias("w"))
-    edges = nodes.where(F.col("h").isNotNull()).select("edition_date", "label", "w", F.explode(bands(F.col("h"))).alias("bucket"))
-    first = edges.groupBy("edition_date", "bucket").agg(F.min("label").alias("first"), F.min_by("w", "label").alias("first_w"), F.count("*").alias("k"))
-    near = F.size(F.array_intersect("w", "first_w")) >= likeness * F.size(F.array_union("w", "first_w"))
-    links = edges.join(first.where("k > 1"), ["edition_date", "bucket"]).where((F.col("label") != F.col("first")) & near)
-    roots = components(links.select(F.col("label").alias("a"), F.col("first").alias("b")))
+def _least(x: Column) -> Column:
+    """The next whole number, with room for rounding errors of a likeness that is no binary fraction."""
+    return F.ceil(x - 1e-9).cast("int")
+
+
+def _alike(x: Column, y: Column, likeness: float) -> Column:
+    shared = F.size(F.array_intersect(x, y))
+    return shared >= likeness * (F.size(x) + F.size(y) - shared)
+
+
+def _rare_first(nodes: DataFrame) -> DataFrame:
+    """Words of each node in one order for all: those that are not frequent by name, then frequent ones by their count."""
+    words = nodes.select("edition_date", "label", F.explode("w").alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("k"))
+    total = nodes.agg(F.sum(F.size("w"))).first()[0] or 0
+    frequent = [(r.word, r.k) for r in counts.where(F.col("k") * FREQUENT > total).collect()]  # FREQUENT words at most
+    known = F.broadcast(nodes.sparkSession.createDataFrame(frequent, "word string, k bigint"))
+    ranked = words.join(known, "word", "left").select("edition_date", "label", F.struct(F.coalesce("k", F.lit(0)).alias("k"), "word").alias("x"))
+    ordered = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["word"])
+    return ranked.groupBy("edition_date", "label").agg(ordered.alias("w"))
+
+
+def _entries(nodes: DataFrame, likeness: float) -> DataFrame:
+    """A row for each word in the prefix of a node: (edition_date, word, label, w, n: size of the set, most: largest set it can be alike through this word)."""
+    n = F.size("w")
+    first = F.slice("w", F.lit(1), n - _least(likeness * n) + 1)
+    rows = nodes.select("edition_date", "label", "w", n.alias("n"), F.posexplode(first).alias("at", "word"))
+    # Through this word and those after it at most n - at words are shared, which must be t / (1 + t) of both sizes.
+    fits = F.floor((F.col("n") - F.col("at")) * ((1 + likeness) / likeness) + 1e-9) - F.col("n")
+    most = F.least(F.floor(F.col("n") / likeness + 1e-9), fits).cast("int")
+    return rows.select("edition_date", "word", "label", "w", "n", most.alias("most")).where(F.col("most") >= _least(F.col("n") * likeness))
+
+
+def _links(entries: DataFrame, likeness: float, large: int) -> DataFrame:
+    """Verified pairs (a, b) of titles of different groups."""
+    keys = ["edition_date", "word"]
+    groups = entries.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi")
+    held = staged(entries.join(groups.select(*keys, (F.col("k") > large).alias("big")), keys))
+    names = {c: f"_{c}" for c in ("label", "w", "n", "most", "root")}
+
+    def pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        apart = (F.col("root") != F.col("_root")) & (F.col("_n") <= F.col("most")) & (F.col("n") <= F.col("_most"))
+        order = (F.col("n") < F.col("_n")) | ((F.col("n") == F.col("_n")) & (F.col("label") < F.col("_label")))
+        met = left.join(right.withColumnsRenamed(names), on).where(apart & order)
+        return met.where(_alike(F.col("w"), F.col("_w"), likeness)).select(F.col("label").alias("a"), F.col("_label").alias("b"))
+
+    few, many = held.where(~F.col("big")).drop("big"), held.where("big").drop("big")
+    # The smaller set names the sizes it could be alike, the larger one the sizes down to which it could.
+    up = many.where(F.col("most") >= F.col("n")).select("*", F.explode(F.sequence("n", "most")).alias("size_b")).withColumn("size_a", F.col("n"))
+    least = F.greatest(F.lit(1), _least(F.col("n") * likeness))
+    down = many.select("*", F.explode(F.sequence(least, F.least("n", "most"))).alias("size_a")).withColumn("size_b", F.col("n"))
+    return pairs(few, few, keys).union(pairs(up, down, [*keys, "size_a", "size_b"])).distinct()
+
+
+def same_event_groups(titles: DataFrame, likeness: float = LIKENESS, large: int = LARGE_BUCKET) -> DataFrame:
+    """(edition_date, seq, event_seq): every note with the smallest seq of its event. A title without words is an event of its own.
+
+    `seq` is unique over all editions. Rows without an edition are compared with no others.
+    """
+    worded = titles.select("edition_date", "seq", title_words(F.col("title")).alias("w"))
+    key = F.when(F.size("w") > 0, F.sha2(F.array_join(F.array_sort("w"), " "), 256)).otherwise(F.concat(F.lit("seq "), F.col("seq").cast("string")))
+    members = staged(worded.withColumn("node", key))
+    nodes = staged(members.groupBy("edition_date", "node").agg(F.min("seq").alias("label"), F.any_value("w").alias("w")))
+    entries = staged(_entries(_rare_first(nodes.where((F.size("w") > 0) & F.col("edition_date").isNotNull())), likeness))
+    bucket = ["edition_date", "word"]
+    first = entries.groupBy(*bucket).agg(F.min("label").alias("b"), F.min_by("w", "label").alias("_w"), F.count("*").alias("k")).where("k > 1").drop("k")
+    stars = staged(
+        entries.join(first, bucket).where((F.col("label") != F.col("b")) & _alike(F.col("w"), F.col("_w"), likeness)).select(F.col("label").alias("a"), "b")
+    )
+    near = components(stars).withColumnRenamed("node", "label")
+    rooted = entries.join(near, "label", "left").withColumn("root", F.coalesce("root", "label"))
+    roots = components(stars.union(_links(rooted, likeness, large)))
     of = roots.withColumnRenamed("node", "of")
-    found = nodes.join(of, F.col("label") == F.col("of"), "left").select("edition_date", "node", F.coalesce("root", "label").alias("event_seq"))
-    return members.join(found, ["edition_date", "node"]).select("edition_date", "seq", "event_seq")
+    found = nodes.join(of, F.col("label") == F.col("of"), "left").select(
+        F.col("edition_date").alias("_edition"), F.col("node").alias("_node"), F.coalesce("root", "label").alias("event_seq")
+    )
+    same = F.col("edition_date").eqNullSafe(F.col("_edition")) & (F.col("node") == F.col("_node"))
+    return members.join(found, same).select("edition_date", "seq", "event_seq")

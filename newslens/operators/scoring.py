@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newslens.functions.modeljson import CLASSIFICATION_SCHEMA, parse_model_json
-from newslens.operators.numbering import by_id, sliced_row_number
+from newslens.operators.numbering import sliced_row_number
 
 # Headlines per scoring request.
 BATCH_SIZE = 16
@@ -22,7 +22,7 @@ Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 def batch_assign(h: DataFrame, size: int = BATCH_SIZE) -> DataFrame:
     """Fixed-size batches per edition: adds batch_no and item_index, both from 0."""
-    numbered = sliced_row_number(h, ["edition_date"], [F.col("seq")], [(by_id("seq"), True)], "_n")
+    numbered = sliced_row_number(h, ["edition_date"], [("seq", True)], "_n")
     return numbered.withColumns({
         "batch_no": F.floor((F.col("_n") - 1) / size).cast("bigint"),
         "item_index": ((F.col("_n") - 1) % size).cast("int"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newslens.functions.binding import let
 from newslens.functions.text import normalize_set
 from newslens.functions.wires import WIRE_AGENCIES, detect_wire, voice_key
-from newslens.operators.numbering import by_id, sliced_row_number
+from newslens.operators.numbering import sliced_row_number
 from newslens.session import staged
 
 EDITION = "edition_date"
@@ -89,8 +89,7 @@ def wire_summary(notes: DataFrame) -> DataFrame:
 
 def cluster_rank(clusters: DataFrame) -> DataFrame:
     """Rank of each story in its edition by weight, ties by first appearance."""
-    slices = [(F.col("weight"), False), (by_id("first_seq"), True)]
-    return sliced_row_number(clusters, [EDITION], [F.desc("weight"), F.asc("first_seq")], slices, "rank")
+    return sliced_row_number(clusters, [EDITION], [("weight", False), ("first_seq", True)], "rank")
 
 
 def cross_coverage(notes: DataFrame) -> DataFrame:
@@ -135,8 +134,7 @@ def coverage_note(sources: Column, countries: Column, voices: Column) -> Column:
 def region_ranking(notes: DataFrame) -> DataFrame:
     """Notes of each region in an edition, heaviest story first, with their coverage annotation."""
     measured = staged(with_cluster_metrics(notes))
-    slices = [(F.col("weight"), False), (by_id("seq"), True)]
-    ranked = sliced_row_number(measured, [EDITION, "region"], [F.desc("weight"), F.asc("seq")], slices, "region_rank")
+    ranked = sliced_row_number(measured, [EDITION, "region"], [("weight", False), ("seq", True)], "region_rank")
     return ranked.withColumn(
         "coverage", coverage_note(F.col("cluster_sources"), F.col("cluster_countries"), F.col("cluster_voices"))
     )
@@ -145,10 +143,7 @@ def region_ranking(notes: DataFrame) -> DataFrame:
 def top_cross(notes: DataFrame, n: int = 5) -> DataFrame:
     """The n heaviest stories with several outlets in each edition: the opening of a report."""
     shared = story_clusters(notes).where(F.col("sources") > 1)
-    slices = [(F.col("weight"), False), (by_id("first_seq"), True)]
-    return sliced_row_number(
-        shared, [EDITION], [F.desc("weight"), F.asc("first_seq")], slices, "cross_rank", limit=n
-    )
+    return sliced_row_number(shared, [EDITION], [("weight", False), ("first_seq", True)], "cross_rank", limit=n)
 
 
 def validate_groups(groups: Column, n_items: Column) -> Column:
@@ -172,7 +167,7 @@ def validate_groups(groups: Column, n_items: Column) -> Column:
 
 def citation_numbers(notes: DataFrame) -> DataFrame:
     """1-based number of each note in its edition, in input order."""
-    return sliced_row_number(notes, [EDITION], [F.col("seq")], [(by_id("seq"), True)], "n")
+    return sliced_row_number(notes, [EDITION], [("seq", True)], "n")
 
 
 def link_dedup(notes: DataFrame) -> DataFrame:

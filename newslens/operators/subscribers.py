@@ -1,37 +1,30 @@
 """Double opt-in: state of every subscriber and outcome of every request, folded from the event log.
 
-A subscriber with few events is folded in one array expression. One with many is advanced in rounds: each round finds,
-by a combinable minimum over all its events at once, the next event that changes its state. Changes are rare however
-many events there are, because a confirmation is sent at most once per resend interval; events in between only get
-their outcome from the state that holds at their time.
+A subscriber with few events is folded in one array expression. The events of a busy one are cut into chunks along their order. Each chunk is
+first reduced to its `Transfer`, a function of the state before it; the functions are composed within groups of chunks, and the few functions of
+groups chained, which yields the state before every group, then before every chunk; then all chunks are replayed side by side. The number of jobs
+is the same however often a subscriber's state changes.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newslens.functions.text import epoch_us
+from newslens.operators.numbering import sliced_row_number
+from newslens.operators.transitions import CONFIRM, FIELDS, PURGE, SUBSCRIBE, UNSUBSCRIBE, Row, Rules, Transfer, composed, replay
 from newslens.session import staged
 
-# Actions, outcomes and the life of a confirmation link.
-SUBSCRIBE, CONFIRM, UNSUBSCRIBE, PURGE = "subscribe", "confirm", "unsubscribe", "purge"
-TTL_SECONDS = 7 * 24 * 3600
 SMALL_SUBSCRIBER = 2048
+#: Events in a chunk, and chunks whose functions are composed in one task.
+CHUNK_EVENTS, GROUP_CHUNKS = 4096, 256
 
 _STATE = ["present", "confirmed_at", "unsubscribed_at", "sent_at"]
 
 
-@dataclass(frozen=True)
-class Rules:
-    """Wait before a confirmation is sent again, and how long one is valid."""
-
-    resend_seconds: int
-    ttl_seconds: int = TTL_SECONDS
-
-
 def _outcome(s: dict[str, Column], action: Column, us: Column, rules: Rules) -> Column:
     active = s["present"] & s["confirmed_at"].isNotNull() & s["unsubscribed_at"].isNull()
     throttled = s["present"] & (F.coalesce(s["sent_at"], F.lit(0)) >= us - rules.resend_seconds * 1_000_000)
@@ -45,9 +38,6 @@ def _outcome(s: dict[str, Column], action: Column, us: Column, rules: Rules) ->
     )
 
 
-_CHANGES = ["needs_confirmation", "confirmed", "unsubscribed", "purged"]
-
-
 def _after(s: dict[str, Column], outcome: Column, us: Column) -> dict[str, Column]:
     none = F.lit(None).cast("bigint")
     sent, confirmed = outcome == "needs_confirmation", outcome == "confirmed"
@@ -92,33 +82,88 @@ def _fold_small(events: DataFrame, rules: Rules) -> DataFrame:
     )
 
 
-def _fold_large(events: DataFrame, rules: Rules) -> DataFrame:
+_TRANSFER = ", ".join(f"{f} array<bigint>" for f in FIELDS)
+_ROW = FIELDS[4:]
+_BEFORE = "present boolean, " + ", ".join(f"{f} bigint" for f in _ROW)
+
+
+def _transfer_row(t: Transfer) -> list[list[int]]:
+    return [t.rows[f].tolist() for f in FIELDS]
+
+
+def _transfers(frame: pd.DataFrame) -> list[Transfer]:
+    return [Transfer({f: np.array(getattr(r, f), np.int64) for f in FIELDS}) for r in frame.itertuples()]
+
+
+def _shown(row: Row | None) -> list:
+    return [row is not None, *(row or (None, None, None))]
+
+
+def _row(frame: pd.DataFrame) -> Row | None:
+    """The state in the first row of a frame."""
+    first = frame.iloc[0]
+    return tuple(None if pd.isna(first[f]) else int(first[f]) for f in _ROW) if first["present"] else None
+
+
+def _table(rows: list[list], names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=names, dtype=object)
+
+
+def _walk(frame: pd.DataFrame, order: str, row: Row | None) -> pd.DataFrame:
+    """The state before each of the runs of a frame."""
+    frame, out = frame.sort_values(order), []
+    for key, transfer in zip(frame[["subscriber", order]].itertuples(index=False), _transfers(frame), strict=True):
+        out.append([*key, *_shown(row)])
+        row = transfer.apply(row)
+    return _table(out, ["subscriber", order, "present", *_ROW])
+
+
+def _fold_large(events: DataFrame, rules: Rules, chunk_events: int, group_chunks: int) -> DataFrame:
+    subscriber = f"subscriber {events.schema['subscriber'].dataType.simpleString()}"
     log = staged(events)
-    current = staged(log.select("subscriber").distinct().select("subscriber", F.lit(-1).cast("bigint").alias("at"), _struct(_blank()).alias("state")))
-    history = current
-    while True:
-        ahead = log.join(current, "subscriber").where(F.col("event_id") > F.col("at"))
-        tried = ahead.withColumn("outcome", _outcome(_fields(F.col("state")), F.col("action"), F.col("us"), rules))
-        nxt = tried.where(F.col("outcome").isin(_CHANGES)).groupBy("subscriber").agg(
-            F.min_by(F.struct("event_id", "us", "outcome", "state"), "event_id").alias("_n")
-        )
-        moved = _struct(_after(_fields(F.col("_n.state")), F.col("_n.outcome"), F.col("_n.us")))
-        current = staged(nxt.select("subscriber", F.col("_n.event_id").alias("at"), moved.alias("state")))
-        if current.isEmpty():
-            break
-        history = staged(history.unionByName(current))
-    spans = history.groupBy("subscriber").agg(F.array_sort(F.collect_list(F.struct("at", "state"))).alias("_h"))
-    # The state before an event is the last one reached earlier; a subscriber has few, in order.
-    reached = F.filter("_h", lambda h: h["at"] < F.col("event_id"))
-    before = _fields(F.element_at(reached, -1)["state"])
-    outcome = _outcome(before, F.col("action"), F.col("us"), rules)
-    after = _struct(_after(before, F.col("outcome"), F.col("us")))
-    return log.join(spans, "subscriber").withColumn("outcome", outcome).select(
-        "subscriber", "event_id", "us", "action", "outcome", after.alias("state")
+    numbered = sliced_row_number(log, ["subscriber"], [("event_id", True)], "_n")
+    log = staged(numbered.withColumn("chunk", F.expr(f"(_n - 1) div {chunk_events}")).drop("_n"))
+
+    def reduce(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("event_id")
+        transfer = Transfer.of(frame["us"].tolist(), frame["action"].tolist(), rules)
+        return _table([[frame["subscriber"].iloc[0], frame["chunk"].iloc[0], *_transfer_row(transfer)]], ["subscriber", "chunk", *FIELDS])
+
+    def compose(frame: pd.DataFrame) -> pd.DataFrame:
+        whole = composed(_transfers(frame.sort_values("chunk")))
+        return _table([[frame["subscriber"].iloc[0], frame["part"].iloc[0], *_transfer_row(whole)]], ["subscriber", "part", *FIELDS])
+
+    def replayed(frame: pd.DataFrame) -> pd.DataFrame:
+        row = _row(frame)
+        frame = frame.sort_values("event_id")
+        done = replay(row, frame["us"].tolist(), frame["action"].tolist(), rules)
+        keys = frame[["subscriber", "event_id", "us", "action"]].itertuples(index=False)
+        return _table([[*k, outcome, *_shown(after)] for k, (outcome, after) in zip(keys, done, strict=True)], [*names, *_STATE])
+
+    names = ["subscriber", "event_id", "us", "action", "outcome"]
+    chunks = log.groupBy("subscriber", "chunk").applyInPandas(reduce, f"{subscriber}, chunk bigint, {_TRANSFER}")
+    chunks = staged(chunks.withColumn("part", F.expr(f"chunk div {group_chunks}")))
+    parts = staged(chunks.groupBy("subscriber", "part").applyInPandas(compose, f"{subscriber}, part bigint, {_TRANSFER}"))
+    before_part = parts.groupBy("subscriber").applyInPandas(lambda f: _walk(f, "part", None), f"{subscriber}, part bigint, {_BEFORE}")
+    before_part = before_part.withColumnsRenamed({f: f"_{f}" for f in _STATE})
+
+    def inside(frame: pd.DataFrame) -> pd.DataFrame:
+        return _walk(frame, "chunk", _row(frame[[f"_{f}" for f in _STATE]].rename(columns=lambda c: c[1:])))
+
+    before_chunk = (
+        chunks.join(before_part, ["subscriber", "part"]).groupBy("subscriber", "part")
+        .applyInPandas(inside, f"{subscriber}, chunk bigint, {_BEFORE}")
+    )
+    out = (
+        log.join(staged(before_chunk), ["subscriber", "chunk"]).groupBy("subscriber", "chunk")
+        .applyInPandas(replayed, f"{subscriber}, event_id bigint, us bigint, action string, outcome string, {_BEFORE}")
     )
+    return out.select(*names, _struct({f: F.col(f) for f in _STATE}).alias("state"))
 
 
-def optin_lifecycle(events: DataFrame, rules: Rules, small: int = SMALL_SUBSCRIBER) -> DataFrame:
+def optin_lifecycle(
+    events: DataFrame, rules: Rules, small: int = SMALL_SUBSCRIBER, chunk_events: int = CHUNK_EVENTS, group_chunks: int = GROUP_CHUNKS
+) -> DataFrame:
     """Outcome of every event (subscriber, ts, event_id, action) and the subscriber's state after it.
 
     `event_id` numbers the events in the order of arrival; state times are microseconds.
@@ -128,7 +173,7 @@ def optin_lifecycle(events: DataFrame, rules: Rules, small: int = SMALL_SUBSCRIB
     quick = _fold_small(keyed.join(busy, "subscriber", "left_anti"), rules)
     if busy.isEmpty():
         return quick
-    return quick.unionByName(_fold_large(keyed.join(busy, "subscriber", "left_semi"), rules))
+    return quick.unionByName(_fold_large(keyed.join(busy, "subscriber", "left_semi"), rules, chunk_events, group_chunks))
 
 
 def subscriber_states(lifecycle: DataFrame) -> DataFrame:

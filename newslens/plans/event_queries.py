@@ -165,8 +165,8 @@ def optin_lifecycle(spark, sf):
 SELECT subscriber, event_id, us, action, outcome, present, c AS confirmed_at, u AS unsubscribed_at, s AS sent_at FROM st WHERE rn > 0
 """)
 def optin_busy(spark, sf):
-    """The way of busy subscribers for all of them: from one change of state to the next."""
-    rows = subscribers.optin_lifecycle(v.subscription_events(spark, sf), RULES, small=0)
+    """The way of busy subscribers for all of them: transfers of chunks, composed, and a replay of all chunks side by side."""
+    rows = subscribers.optin_lifecycle(v.subscription_events(spark, sf), RULES, small=0, chunk_events=256, group_chunks=8)
     return rows.select("subscriber", "event_id", "us", "action", "outcome", "state.*")
 
 

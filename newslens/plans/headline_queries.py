@@ -11,6 +11,9 @@ from newslens.operators import audit, coverage, headlines, scoring, tagging
 from newslens.plans import oracle as o
 from newslens.plans import views as v
 from newslens.plans.registry import query
+from newslens.session import run_dir
+from newslens.sources import yaml_files
+from newslens.sources.outlets import with_feed_flag
 
 _HREFS = """
 SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS raw FROM pages
@@ -30,6 +33,23 @@ def outlet_dim(spark, sf):
     return v.outlets(spark, sf).drop("no")
 
 
+def _yaml(spark, kind, documents):
+    """Writes one YAML document a file (JSON is YAML too) and reads all of them back by the data source `kind`."""
+    path = run_dir(spark, kind)
+    documents.write.partitionBy("part").text(path)
+    yaml_files.register(spark)
+    return spark.read.format(kind).load(path).where("problem is null").drop("problem")
+
+
+@query("outlet_yaml", "SELECT source_id, name, country, region, stance, ownership, ownership_note, homepage, rss, has_feed FROM outlet", ("outlet",))
+def outlet_yaml(spark, sf):
+    """The outlet list as YAML configuration, a file for each country."""
+    o = v.outlets(spark, sf).drop("no", "has_feed").withColumnRenamed("source_id", "id")
+    entry = F.concat(F.lit("  - "), F.to_json(F.struct(*o.columns)))
+    files = o.groupBy(F.col("country").alias("part")).agg(F.concat(F.lit("sources:\n"), F.array_join(F.collect_list(entry), "\n")).alias("value"))
+    return with_feed_flag(_yaml(spark, "outlets_yaml", files).drop("lang").withColumnRenamed("id", "source_id"))
+
+
 @query("public_outlets", "SELECT name, country, region, stance, ownership, ownership_note, homepage, has_feed FROM outlet", ("outlet",))
 def public_outlets(spark, sf):
     return coverage.public_outlets(v.outlets(spark, sf))
@@ -189,6 +209,14 @@ def gazetteer_dim(spark, sf):
     return benchmark_terms(spark, sf)
 
 
+@query("gazetteer_yaml", _TERMS)
+def gazetteer_yaml(spark, sf):
+    """The dictionary as YAML configuration in several files."""
+    lists = [F.collect_list(F.when(F.col("kind") == k, F.col("term"))).alias(k) for k in ("countries", "companies", "keywords")]
+    files = benchmark_terms(spark, sf).groupBy(F.pmod(F.hash("term"), F.lit(4)).alias("part")).agg(*lists)
+    return _yaml(spark, "gazetteer_yaml", files.select("part", F.to_json(F.struct("countries", "companies", "keywords")).alias("value")))
+
+
 @query("gazetteer_join", f"""
 SELECT doc_id, kind, term FROM (SELECT doc_id, lower(replace(text, 'İ', 'i')) AS lc FROM documents)
 JOIN (SELECT kind, term, lower(term) AS needle FROM ({_TERMS})) ON contains(lc, needle)
@@ -208,10 +236,10 @@ SELECT doc_id, kind, term FROM (SELECT doc_id, lower(replace(text, 'İ', 'i')) A
 JOIN (SELECT kind, term, lower(term) AS needle FROM ({_LARGE})) ON contains(lc, needle)
 """)
 def gazetteer_join_large(spark, sf):
-    """The shuffle path of the dictionary join, with the long words of all conversations as the dictionary."""
+    """The dictionary join in several shards, with the long words of all conversations as the dictionary."""
     words = F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0)))
     terms = v.table(spark, sf, "conversations").select(F.lit("keywords").alias("kind"), words.alias("term")).distinct()
-    return tagging.gazetteer_join(v.documents(spark, sf).select("doc_id", "text"), terms, "doc_id", F.col("text"), small=0)
+    return tagging.gazetteer_join(v.documents(spark, sf).select("doc_id", "text"), terms, "doc_id", F.col("text"), shard_bytes=1 << 16)
 
 
 _CURRENT = f"(published_at IS NULL OR published_at >= TIMESTAMP '{v.NOW}' - INTERVAL 30 HOUR)"

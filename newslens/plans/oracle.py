@@ -332,28 +332,15 @@ SELECT b.*, p.provider_rank,
 FROM batch_item b, (VALUES (1), (2), (3)) p(provider_rank)
 """, ["batch_item"])
 
-# Words of the title and their smallest hash under six numbers; two hashes make a band, a shared band joins two notes.
-_view("title_band", """
-SELECT DISTINCT edition_date, seq, unnest([concat('1', m1, m2), concat('2', m3, m4), concat('3', m5, m6)]) AS bucket FROM (
-  SELECT edition_date, seq, """ + ", ".join(
-    f"list_min(list_transform(w, lambda x: md5(concat('{k} ', x)))) AS m{k}" for k in range(1, 7)) + r"""
-  FROM (SELECT edition_date, seq, regexp_extract_all(lower(replace(title, 'İ', 'i')), '[\p{L}\p{N}]+') AS w FROM headline)
-  WHERE len(w) > 0)
-""".replace("\\\\", "\\"), ["headline"])
-
-# A title is joined with the first one of its bucket if half of their words agree, and with equal titles.
+# All pairs of titles of an edition of whose words half agree.
 _view("title_words", r"""
 SELECT edition_date, seq, list_distinct(regexp_extract_all(lower(replace(title, 'İ', 'i')), '[\p{L}\p{N}]+')) AS w FROM headline
 """, ["headline"])
 
 _view("title_edge", """
-WITH one AS (
-  SELECT edition_date, b.seq AS x, f.first AS y FROM title_band b JOIN (SELECT edition_date, bucket, min(seq) AS first FROM title_band GROUP BY ALL) f USING (edition_date, bucket)
-  JOIN title_words v USING (edition_date) JOIN title_words w USING (edition_date)
-  WHERE v.seq = b.seq AND w.seq = f.first AND b.seq <> f.first AND 2 * len(list_intersect(v.w, w.w)) >= len(list_distinct(list_concat(v.w, w.w)))
-  UNION SELECT edition_date, seq, min(seq) OVER (PARTITION BY edition_date, list_sort(w)) FROM title_words WHERE len(w) > 0)
-SELECT edition_date, x, y FROM one UNION SELECT edition_date, y, x FROM one
-""", ["title_band", "title_words"])
+SELECT a.edition_date, a.seq AS x, b.seq AS y FROM title_words a JOIN title_words b USING (edition_date)
+WHERE a.seq <> b.seq AND len(a.w) > 0 AND len(b.w) > 0 AND 2 * len(list_intersect(a.w, b.w)) >= len(list_distinct(list_concat(a.w, b.w)))
+""", ["title_words"])
 
 _view("same_event_reach", """
 SELECT edition_date, seq, seq AS root FROM headline

@@ -10,8 +10,8 @@ from newslens.functions.regions import REGION_LABELS
 from newslens.functions.text import MAX_SNIPPET, MAX_TITLE, array_of, clean_link, clean_text, collapse, escape_link_text
 from newslens.functions.wires import ascii_word
 from newslens.operators import audit, scoring, stories, tagging
-from newslens.operators.numbering import by_id, sliced_row_number
-from newslens.session import staged
+from newslens.operators.numbering import sliced_row_number
+from newslens.session import spread, staged
 from newslens.sources.feeds import mark_rejected
 
 # Parameters of the views: words that occur in the supplied text.
@@ -73,7 +73,7 @@ def outlets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "source", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "source", "text"), "doc_id")
 
 
 def headlines(spark: SparkSession, sf: str) -> DataFrame:
@@ -105,7 +105,7 @@ def headlines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feed_positions(h: DataFrame, feed: list[str]) -> DataFrame:
-    return sliced_row_number(h, feed, [F.col("seq")], [(by_id("seq"), True)], "feed_pos")
+    return sliced_row_number(h, feed, [("seq", True)], "feed_pos")
 
 
 def tagged(spark: SparkSession, sf: str) -> DataFrame:

@@ -17,4 +17,5 @@ EXAMPLE = StructType(
     + [StructField("expected", BooleanType()), StructField("note", StringType())]
 )
 GAZETTEER = "countries array<string>, companies array<string>, keywords array<string>"
+GAZETTEER_ROW = "kind string, term string, problem string"
 OUTLET_SUMMARY = "array<struct<name:string,country:string>>"

@@ -55,3 +55,16 @@ def staged(df: DataFrame) -> DataFrame:
     path = run_dir(df.sparkSession, "stage")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: An input of fewer splits than this many for each core may hold all its rows in some of them.
+SPLITS_PER_CORE = 4
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deals the rows of an input with few splits out over all cores before heavy work on them; one with many splits stays as it is.
+
+    A file with a single row group is read by a single task however many splits it has, so a small number of splits says nothing of the rows.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(SPLITS_PER_CORE * cores, key) if df.rdd.getNumPartitions() < SPLITS_PER_CORE * cores else df

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.schemas import GAZETTEER
+from newslens.schemas import GAZETTEER, GAZETTEER_ROW
+from newslens.sources.yaml_files import gazetteer_rows, is_yaml, parse_text
 
 
 def gazetteer_terms(lists: DataFrame) -> DataFrame:
@@ -15,5 +16,8 @@ def gazetteer_terms(lists: DataFrame) -> DataFrame:
 
 
 def read_gazetteer(spark: SparkSession, path: str) -> DataFrame:
-    """(kind, term) rows from a JSON file with the three lists."""
+    """(kind, term) rows from a YAML or JSON file, by file ending, with the three lists. Entries of a YAML file that are no term are left out."""
+    if is_yaml(path):
+        entries = parse_text(spark.read.text(path, wholetext=True), gazetteer_rows, GAZETTEER_ROW)
+        return entries.where("problem is null").select("kind", "term")
     return gazetteer_terms(spark.read.schema(GAZETTEER).option("multiLine", True).json(path))

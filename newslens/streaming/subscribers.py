@@ -10,33 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newslens.functions.text import epoch_us
-from newslens.operators.subscribers import CONFIRM, PURGE, SUBSCRIBE, UNSUBSCRIBE, Rules
+from newslens.operators.transitions import Rules, advance
 
 OUT = "subscriber bigint, event_id bigint, us bigint, action string, outcome string"
 STATE = "confirmed_at bigint, unsubscribed_at bigint, sent_at bigint"
 
-Row = tuple[int | None, int | None, int | None]
-
-
-def advance(row: Row | None, action: str, us: int, rules: Rules) -> tuple[Row | None, str]:
-    """State after one event, None when there is no subscriber, and the event's outcome."""
-    confirmed, unsubscribed, sent = row or (None, None, None)
-    pending = row is not None and confirmed is None
-    if action == SUBSCRIBE:
-        if row and confirmed is not None and unsubscribed is None:
-            return row, "already_active"
-        if row and sent >= us - rules.resend_seconds * 1_000_000:
-            return row, "throttled"
-        return (None, None, us), "needs_confirmation"
-    if action == CONFIRM:
-        valid = pending and sent > us - rules.ttl_seconds * 1_000_000
-        return ((us, None, sent), "confirmed") if valid else (row, "confirm_failed")
-    if action == UNSUBSCRIBE:
-        return ((confirmed, us, sent), "unsubscribed") if row and unsubscribed is None else (row, "unchanged")
-    if action == PURGE and pending and sent < us - rules.ttl_seconds * 1_000_000:
-        return None, "purged"
-    return row, "kept"
-
 
 def optin_stream(events: DataFrame, rules: Rules) -> DataFrame:
     """Outcome of each event of a stream (subscriber, ts, event_id, action), as the batch operator gives it."""

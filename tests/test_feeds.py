@@ -127,6 +127,40 @@ def test_editions(spark, tmp_path):
     assert {str(r.edition_date): r.markdown for r in back.collect()} == {"2026-01-02": "## A\n\nx", "2026-01-03": "nuevo"}
 
 
+def test_yaml_outlets(spark, tmp_path):
+    """Good and bad entries, files that cannot be read as a list, several files, and the same by the data source and as texts."""
+    from newslens.sources import outlets, yaml_files
+
+    folder = tmp_path / "lists"
+    folder.mkdir()
+    (folder / "a.yaml").write_text(
+        'sources:\n  - id: a\n    name: A\n    country: no\n    rss: "https://e.org"\n    extra: 1\n  - id: 007\n    name: ~\n    rss: NO_RSS\n'
+        "  - just text\n  - name: X\n  - id: a\n  - id: c\n    name: [1, 2]\n  - {id: d, country: 'México'}\n",
+        encoding="utf-8",
+    )
+    (folder / "b.yml").write_text("sources: 5\n")
+    (folder / "c.yaml").write_text("sources:\n  - id: [\n")
+    (folder / "d.yaml").write_text("")
+    (folder / "e.yaml").write_text("sources:\n")
+    (folder / "_hidden").write_text("sources: 1")
+    yaml_files.register(spark)
+    rows = spark.read.format("outlets_yaml").load(str(folder)).collect()
+    good = {r.id: r for r in rows if r.problem is None}
+    assert {k: (r.name, r.country, r.rss) for k, r in good.items()} == {
+        "a": ("A", "no", "https://e.org"), "007": (None, None, "NO_RSS"), "d": (None, "México", None),
+    }
+    problems = sorted(r.problem for r in rows if r.problem)
+    assert problems[:4] == ["entry 3: no fields", "entry 4: no id", "entry 5: id a again", "entry 6: name is no text"]
+    assert problems[4].startswith("line ") and problems[5] == "no list of sources" and len(problems) == 6
+    assert all(r.id is None for r in rows if r.problem)
+    assert sorted(map(repr, outlets.outlet_entries(spark, str(folder)).collect())) == sorted(map(repr, rows))
+    one = outlets.read_outlets(spark, str(folder / "a.yaml"))
+    assert {r.source_id: r.has_feed for r in one.collect()} == {"a": True, "007": False, "d": False}
+    assert spark.read.format("outlets_yaml").load(str(folder / "d.yaml")).count() == 0
+    got = spark.read.format("gazetteer_yaml").load(str(folder / "b.yml")).collect()
+    assert got == []
+
+
 def test_config_files(spark, tmp_path):
     from newslens.sources import evalset, gazetteer, outlets
 
@@ -134,5 +168,9 @@ def test_config_files(spark, tmp_path):
     assert {r.source_id: r.has_feed for r in outlets.read_outlets(spark, str(tmp_path / "o.json")).collect()} == {"a": True, "b": False, "c": False}
     (tmp_path / "g.json").write_text('{"countries": ["X", "Y"],\n "keywords": ["k"]}')
     assert sorted(map(tuple, gazetteer.read_gazetteer(spark, str(tmp_path / "g.json")).collect())) == [("countries", "X"), ("countries", "Y"), ("keywords", "k")]
+    (tmp_path / "g.yaml").write_text("countries:\n  - no\n  - 12\n  # more\n  - U.S.\nkeywords: [k, 'a: b', '']\ncompanies:\n")
+    assert sorted(map(tuple, gazetteer.read_gazetteer(spark, str(tmp_path / "g.yaml")).collect())) == [
+        ("countries", "12"), ("countries", "U.S."), ("countries", "no"), ("keywords", "a: b"), ("keywords", "k"),
+    ]
     (tmp_path / "e.jsonl").write_text('{"id":"1","title":"t","expected":true}\n\n{"id":"2","expected":false}\n')
     assert [r.expected for r in evalset.read_examples(spark, str(tmp_path / "e.jsonl")).orderBy("id").collect()] == [True, False]

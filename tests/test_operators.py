@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newslens.operators import audit, coverage, evaluation, events, headlines, learning, scoring, signups, stories, tagging
 from newslens.operators.components import components
-from newslens.operators.numbering import by_id, sliced_row_number, sliced_running_sum
+from newslens.operators.numbering import cut_points, reached, sliced_row_number, sliced_running_sum
 
 DAY = datetime.date(2026, 1, 1)
 
@@ -21,19 +21,41 @@ def skewed(spark, n=3000):
 
 def test_sliced_numbers_equal_a_window(spark):
     df = skewed(spark)
-    order = [F.desc("w"), F.asc("seq")]
-    got = sliced_row_number(df, ["g"], order, [(F.col("w"), False), (by_id("seq", 64), True)], "n")
-    want = df.withColumn("m", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
-    assert got.join(want, ["seq"]).where("n <> m").count() == 0 and got.count() == df.count()
-    few = sliced_row_number(df, ["g"], order, [(F.col("w"), False), (by_id("seq", 64), True)], "n", limit=10)
-    assert sorted(map(tuple, few.select("seq", "n").collect())) == sorted(map(tuple, want.where("m <= 10").select("seq", "m").collect()))
+    for keys in ([("w", False), ("seq", True)], [("w", True), ("seq", False)], [("seq", True)]):
+        order = [F.asc(c) if up else F.desc(c) for c, up in keys]
+        got = sliced_row_number(df, ["g"], keys, "n", rows=64)
+        want = df.withColumn("m", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+        assert got.join(want, ["seq"]).where("n <> m").count() == 0 and got.count() == df.count()
+        few = sliced_row_number(df, ["g"], keys, "n", limit=10, rows=64)
+        assert sorted(map(tuple, few.select("seq", "n").collect())) == sorted(map(tuple, want.where("m <= 10").select("seq", "m").collect()))
+
+
+def test_slices_of_random_ids_are_even(spark):
+    """Hashed 63-bit ids, one hot group, nulls in key and group: right numbers, and no slice with more than a few times its share."""
+    r = random.Random(9)
+    rows = [(r.getrandbits(63) - (1 << 62), "hot" if r.random() < 0.6 else None if r.random() < 0.2 else f"g{r.randrange(9)}") for _ in range(4000)]
+    df = spark.createDataFrame([*rows, (None, "hot"), (None, None)], "id bigint, g string")
+    got = sliced_row_number(df, ["g"], [("id", True)], "n", rows=100)
+    want = df.withColumn("m", F.row_number().over(Window.partitionBy("g").orderBy("id")))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    cuts = cut_points(df, ["id"], 100)["id"]
+    sizes = [x["count"] for x in df.where("id is not null").groupBy(reached(F.col("id"), cuts).alias("s")).count().collect()]
+    assert len(sizes) == 41 and max(sizes) < 200
+    assert cut_points(df, ["id"], 10_000)["id"] == [] and cut_points(df.limit(0), ["id"], 10)["id"] == []
+
+
+def test_reached_counts_cut_points(spark):
+    for cuts in ([], [5], [1, 2], [-3, 0, 4], list(range(0, 70, 7))):
+        values = [None, -100, 0, 1, 4, 5, 6, 7, 35, 63, 64, 1000]
+        got = spark.createDataFrame([(v,) for v in values], "v bigint").select("v", reached(F.col("v"), cuts).alias("r")).collect()
+        assert {x.v: x.r for x in got} == {v: None if v is None else sum(c <= v for c in cuts) for v in values}
 
 
 def test_sliced_sums_equal_a_window(spark):
     df = skewed(spark)
     w = Window.partitionBy("g").orderBy("seq")
     for inclusive, end in ((True, 0), (False, -1)):
-        got = sliced_running_sum(df, ["g"], [F.col("seq")], [(by_id("seq", 50), True)], F.col("w"), "s", inclusive)
+        got = sliced_running_sum(df, ["g"], [("seq", True)], F.col("w"), "s", inclusive, rows=50)
         want = df.withColumn("m", F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, end)), F.lit(0)))
         assert got.join(want, "seq").where("s <> m").count() == 0
 
@@ -66,6 +88,23 @@ def test_prefilter(spark):
     assert got[2].matched_countries == ["Chile", "Perú"]
 
 
+def test_prefilter_by_automaton(spark):
+    r = random.Random(4)
+    word = lambda k: "".join(r.choice("abİé ") for _ in range(k))
+    gaz = {k: [word(n) for n in (2, 3, 3, 4, 0, 2)] + ["aé"] for k in tagging.KINDS[:2]}
+    rows = [(i, word(r.randrange(0, 30)), None if i % 9 == 0 else word(9)) for i in range(60)]
+    h = spark.createDataFrame(rows, "seq int, title string, snippet string")
+    few, many = (sorted(map(tuple, tagging.prefilter(h, gaz, few=n).collect())) for n in (99, 0))
+    assert few == many and any(x[-1] for x in few)
+
+
+def test_gazetteer_join_with_nulls_and_repeats(spark):
+    notes = spark.createDataFrame([(1, "Abab"), (2, None), (3, ""), (None, "b")], "k int, t string")
+    terms = spark.createDataFrame([("x", "A"), ("y", "a"), ("x", "A"), ("x", ""), ("x", None), (None, "BAB")], "kind string, term string")
+    got = tagging.gazetteer_join(notes, terms, "k", F.col("t")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(1, "x", "A"), (1, "x", "A"), (1, "y", "a"), (1, None, "BAB")]))
+
+
 def test_gazetteer_join_matches_contains(spark):
     r = random.Random(3)
     word = lambda k: "".join(r.choice("abİé ") for _ in range(k))
@@ -74,8 +113,8 @@ def test_gazetteer_join_matches_contains(spark):
     notes, terms = spark.createDataFrame(texts, "k int, t string"), spark.createDataFrame([("x", w) for w in words], "kind string, term string")
     low = lambda s: s.replace("İ", "i").lower()
     want = sorted((i, w) for i, t in texts for w in words if low(w) in low(t))
-    for small in (1000, 3):
-        got = tagging.gazetteer_join(notes, terms, "k", F.col("t"), small)
+    for shard in (tagging.SHARD_BYTES, 40):
+        got = tagging.gazetteer_join(notes, terms, "k", F.col("t"), shard)
         assert sorted((a.k, a.term) for a in got.collect()) == want
     assert tagging.gazetteer_join(notes, terms.limit(0), "k", F.col("t")).count() == 0
 
@@ -129,23 +168,51 @@ def test_group_assign_and_validate(spark):
     assert {r.seq: r.cluster_key for r in stories.group_assign(notes, groups).collect()} == {1: "group:0", 2: "group:0", 3: "singleton:3"}
 
 
-def test_same_event_groups_against_brute_force(spark):
+def plain_events(rows, likeness):
+    """seq -> smallest seq of its event, by all pairs of an edition."""
+    words = {i: frozenset(t.lower().split()) - {"!!"} for _, i, t in rows}
+    day = {i: d for d, i, _ in rows}
+    root = {i: i for i in words}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in words:
+        for j in words:
+            if i < j and day[i] is not None and day[i] == day[j] and words[i] and len(words[i] & words[j]) >= likeness * len(words[i] | words[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    for i in words:  # rows without an edition are joined by equal words only
+        for j in words:
+            if i < j and day[i] is None and day[j] is None and words[i] and words[i] == words[j]:
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    return {i: top(i) for i in root}
+
+
+def test_same_event_groups_against_all_pairs(spark):
     r = random.Random(5)
-    base = [" ".join(r.choice("uno dos tres cuatro cinco seis siete ocho".split()) for _ in range(3)) for _ in range(12)]
-    rows = [(DAY, i, r.choice(base) if i % 3 else base[0]) for i in range(60)] + [(DAY, 60, ""), (DAY, 61, "!!")]
-    titles = spark.createDataFrame(rows, "edition_date date, seq bigint, title string")
-    got = {x.seq: x.event_seq for x in events.same_event_groups(titles).collect()}
-    bands = {x.seq: set(x.b or []) - {None} for x in titles.select("seq", events.bands(events.title_hashes(F.col("title"))).alias("b")).collect()}
-    words = {i: frozenset(t.split()) if t != "!!" else frozenset() for _, i, t in rows}
-    links = [(i, j) for i in words for j in words if words[i] and words[i] == words[j]]
-    for bucket in set().union(*bands.values()):
-        inside = [i for i in bands if bucket in bands[i]]
-        links += [(i, min(inside)) for i in inside if 2 * len(words[i] & words[min(inside)]) >= len(words[i] | words[min(inside)])]
-    root = {i: i for i in bands}
-    for _ in bands:
-        for i, j in links:
-            root[i] = root[j] = min(root[i], root[j])
-    assert got == root
+    hot = "el la de gobierno hoy".split()
+    rare = [f"p{i}" for i in range(300)]
+    rows = []
+    for i in range(240):
+        kind = r.random()
+        if kind < 0.3:  # a form with a number: all alike
+            title = f"Resultado de la lotería {i}"
+        elif kind < 0.6:  # frequent words with rare ones: in one bucket, mostly unlike
+            title = " ".join(r.sample(hot, r.randint(1, 4)) + r.sample(rare, r.randint(0, 3)))
+        else:
+            title = " ".join(r.sample(rare[:25], r.randint(1, 6)))
+        rows.append((r.choice([DAY, DAY, DAY, datetime.date(2026, 1, 2), None]), i, title))
+    rows += [(DAY, 900, ""), (DAY, 901, "!!"), (DAY, 902, "uno"), (DAY, 903, "uno dos"), (DAY, 904, "UNO dos")]
+    titles = spark.createDataFrame(rows, "edition_date date, seq bigint, title string").repartition(4)
+    for likeness in (0.5, 0.7, 1 / 3):
+        want = plain_events(rows, likeness)
+        for large in (events.LARGE_BUCKET, 1):
+            assert {x.seq: x.event_seq for x in events.same_event_groups(titles, likeness, large).collect()} == want
+    assert events.same_event_groups(titles.limit(0)).count() == 0
 
 
 def test_unlike_titles_stay_apart_and_long_chains_close(spark):
@@ -212,5 +279,5 @@ def test_score_batches_keeps_every_row(spark):
 
 def test_partition_count_does_not_matter(spark):
     df = skewed(spark, 500)
-    run = lambda n: sorted(map(tuple, sliced_row_number(df.repartition(n), ["g"], [F.col("seq")], [(by_id("seq", 32), True)]).select("seq", "n").collect()))
+    run = lambda n: sorted(map(tuple, sliced_row_number(df.repartition(n), ["g"], [("seq", True)], rows=32).select("seq", "n").collect()))
     assert run(1) == run(8)

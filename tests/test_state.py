@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from newslens.operators import admission, subscribers
+from newslens.operators import admission, subscribers, transitions
 from newslens.streaming import admission as admission_stream
 from newslens.streaming import feeds as feed_stream
 from newslens.streaming import subscribers as subscriber_stream
@@ -130,12 +130,52 @@ def test_lifecycle_against_a_plain_fold(spark):
         assert [r.outcome for r in got.orderBy("event_id").collect()] == want
 
 
-def test_busy_subscriber_in_rounds_equals_fold(spark):
+def test_busy_subscriber_in_chunks_equals_fold(spark):
     df, rules = random_subscriptions(spark), subscribers.Rules(3600)
-    cols = ["subscriber", "event_id", "outcome", "state"]
+    cols = ["subscriber", "event_id", "us", "action", "outcome", "state"]
     whole = sorted(map(tuple, subscribers.optin_lifecycle(df, rules).select(*cols).collect()))
-    rounds = sorted(map(tuple, subscribers.optin_lifecycle(df, rules, small=100).select(*cols).collect()))
-    assert whole == rounds
+    for small, chunk, group in ((100, 7, 3), (0, 16, 100), (0, 1, 2)):
+        parts = subscribers.optin_lifecycle(df, rules, small, chunk, group)
+        assert whole == sorted(map(tuple, parts.select(*cols).collect()))
+
+
+def test_many_changes_of_one_subscriber_in_a_fixed_number_of_jobs(spark):
+    """Thousands of changes of one key: as many jobs as a few changes take, and the outcomes of a plain fold."""
+    def jobs(changes):
+        rows = [(1, i * 7200, ("subscribe", "confirm", "unsubscribe")[i % 3]) for i in range(changes)]
+        df, rules = subscription(spark, rows), subscribers.Rules(3600)
+        sc = spark.sparkContext
+        sc.setJobGroup(f"changes {changes}", "")
+        try:
+            got = subscribers.optin_lifecycle(df, rules, 100, 512, 4).orderBy("event_id").collect()
+            n = len(sc.statusTracker().getJobIdsForGroup(f"changes {changes}"))
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        plain = [(1, 1_767_225_600_000_000 + s * 10**6, a) for _, s, a in rows]
+        assert [r.outcome for r in got] == plain_lifecycle(plain, rules)
+        return n
+
+    assert jobs(9000) == jobs(600)
+
+
+def test_transfers_of_runs_compose():
+    r = random.Random(12)
+    for _ in range(120):
+        rules, n, t, us = subscribers.Rules(r.choice([3, 10]), r.choice([5, 20])), r.randint(0, 60), 0, []
+        for _ in range(n):
+            t += r.choice([0, 1, 1, 2, 7, -3]) * 500_000
+            us.append(t)
+        actions = [r.choice(["subscribe", "subscribe", "confirm", "unsubscribe", "purge", "other"]) for _ in us]
+        whole = transitions.Transfer.of(us, actions, rules, tidy=r.choice([1, 4, 128]))
+        a, b = sorted((r.randint(0, n), r.randint(0, n)))
+        parts = transitions.composed([transitions.Transfer.of(us[i:j], actions[i:j], rules) for i, j in ((0, a), (a, b), (b, n))])
+        edges = [u - d * 10**6 + e for u in us[:6] for d in (3, 5, 10, 20) for e in (-1, 0, 1)]
+        states = [None] + [(r.choice([None, 1, 5]), r.choice([None, 2, 9]), s) for s in [r.randint(-25_000_000, t + 5_000_000) for _ in range(20)] + edges]
+        for state in states:
+            want = state
+            for x, action in zip(us, actions):
+                want, _ = transitions.advance(want, action, x, rules)
+            assert whole.apply(state) == parts.apply(state) == want
 
 
 def files(spark, df, path, parts):
