@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import sys
 from collections import defaultdict
 from pathlib import Path
@@ -39,21 +40,62 @@ def later_runs(rows, split, size):
     return gone
 
 
+def repeated_lines(rows, window=lines.WINDOW, words=lines.WORDS):
+    """For each document the lines that lie in a run that starts earlier and has enough lines or words: every match of two positions, extended."""
+    seen, gone = defaultdict(list), {}
+    for doc in ordered(rows):
+        parts = doc[1].split("\n")
+        out = set()
+        for p, line in enumerate(parts):
+            for other, q in seen[line] + [(parts, q) for q in range(p) if parts[q] == line]:
+                if p and q and parts[p - 1] == other[q - 1]:
+                    continue  # part of the match that starts before
+                m = 0
+                while p + m < len(parts) and q + m < len(other) and parts[p + m] == other[q + m]:
+                    m += 1
+                if m >= window or sum(len(cases.words_of(x)) for x in parts[p : p + m]) >= words:
+                    out.update(range(p, p + m))
+        for p, line in enumerate(parts):
+            seen[line].append((parts, p))
+        gone[doc] = out
+    return gone
+
+
 def test_line_runs(spark):
+    rng = random.Random(31)
+    long_line = "one two three four five six seven eight nine"
     rows = cases.odd_texts() + [(100, "a\nb\nc\nx\na\nb\nc"), (101, "a\nb\nc\nd"), (102, "b\nc\nd\n"), (103, "\n\n\n\n")]
-    gone = later_runs(rows, lambda t: t.split("\n"), lines.WINDOW)
-    want = sorted(
-        (str(i), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[(i, t)]) if gone[(i, t or "")] else t, len(gone[(i, t or "")]))
-        for i, t in rows if t is not None
-    )
-    out = lines.dedup_lines(cases.frame(spark, rows), removed="removed")
-    got = sorted((str(r.doc_id), r.text, r.removed) for r in out.collect() if r.text is not None)
-    assert got == want
+    rows += [(110, long_line), (111, f"x\n{long_line}\ny"), (112, f"x\n{long_line}\nz"), (113, "q r s t\nu v w x y"), (114, "0\nq r s t\nu v w x y\n1"), (115, "u v w x y")]
+    pool = ["p", "q r s", "t u v w", "", "a b c d e f", long_line, "g h i j k l m n", " "]
+    rows += [(200 + i, "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))) for i in range(80)]
+    rows += [(300 + i, "\n".join(f"{rng.randint(0, 30)} {'w ' * rng.randint(0, 4)}" for _ in range(12))) for i in range(40)]
+    for window, words in ((lines.WINDOW, lines.WORDS), (2, 5), (4, 12)):
+        gone = repeated_lines(rows, window, words)
+        want = sorted(
+            (str(i), "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[(i, t)]) if gone[(i, t or "")] else t, len(gone[(i, t or "")]))
+            for i, t in rows if t is not None
+        )
+        out = lines.dedup_lines(cases.frame(spark, rows), window, words, removed="removed")
+        got = sorted((str(r.doc_id), r.text, r.removed) for r in out.collect() if r.text is not None)
+        assert got == want
     assert out.columns == [*cases.frame(spark, rows).columns, "removed"]
     assert sum(r.text is None for r in out.collect()) == sum(t is None for _, t in rows)
     assert lines.dedup_lines(cases.frame(spark, [])).count() == 0
 
 
+def test_many_lines_take_linear_time(spark):
+    """A text of 250,000 lines that loses a run of 200,000 of them."""
+    import time
+
+    shared = [f"line {i}" for i in range(200_000)]
+    rows = [(1, "\n".join(shared)), (2, "\n".join([*shared[:100], *[f"own {i}" for i in range(50_000)], *shared[100:]]))]
+    docs = cases.frame(spark, rows)
+    began = time.time()
+    got = {r.doc_id: r for r in lines.dedup_lines(docs, removed="removed").select("doc_id", "text", "removed").collect()}
+    assert time.time() - began < 60
+    assert (got[1].removed, got[2].removed) == (0, 200_000) and got[2].text == "\n".join(f"own {i}" for i in range(50_000))
+
+
 def test_phrases(spark):
     rows = cases.odd_texts() + [(200, " ".join(["again"] * 70)), (201, " ".join(["again"] * 30))]
     gone = later_runs(rows, cases.words_of, phrases.WINDOW)

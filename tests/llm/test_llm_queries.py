@@ -35,7 +35,7 @@ def test_one_query_for_each_operator():
 
 def test_pipeline_stages(spark, tmp_path):
     """Every stage on a small folder of tables: what goes, what stays, and the columns."""
-    from test_duplicates import later_runs, plain_components
+    from test_duplicates import plain_components, repeated_lines
 
     import random
 
@@ -62,7 +62,7 @@ def test_pipeline_stages(spark, tmp_path):
         kept[name] = sorted((r.doc_id, r.text, r.n_chars) for r in docs.collect() if r.text is not None) + [None] * docs.where("text is null").count()
     clean = [(i, t) for i, t in rows if not 400 <= i < 420]
     assert [x[0] for x in kept["toxicity"] if x] == sorted(i for i, t in clean if t is not None)
-    gone = later_runs(clean, lambda t: t.split("\n"), 3)
+    gone = repeated_lines(clean)
     lines = sorted((i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[(i, t)])) for i, t in clean if t is not None)
     assert [x[:2] for x in kept["line_dedup"] if x] == lines and all(x[2] == len(x[1]) for x in kept["line_dedup"] if x)
     one = sorted(i for i, _, c in plain_components(lines, 5, 80) if i == c)
