@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.session import staged
+from newslens.session import run_dir, staged
 
 #: Stands for a null id; its negative is a number too.
 NO_ID = -(2**63) + 1
@@ -62,6 +62,27 @@ def settled(df: DataFrame) -> DataFrame:
     return out
 
 
+class Scratch:
+    """Written tables of one operator; each can go as soon as all that is read from it has been written out itself."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, name: str, df: DataFrame) -> DataFrame:
+        """Writes a table and reads it back; then Spark may drop the shuffle files that led to it, as after `settled`."""
+        path = self.paths[name] = run_dir(self.spark, name)
+        df.write.parquet(path)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables. Nothing that is still to be computed may read them."""
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def public_id() -> Column:
     return F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id")
 

@@ -14,7 +14,7 @@ Equal sets are one class from the start. Classes that share a signature are comp
 the centre of its group, the class of most shared signatures. Two classes of a group can only be linked past the centre if one of them, x,
 is not linked to it. Then x differs from the centre c in more than L(|x| + |c|) shingles, L = (1 - t) / (1 + t), while it differs from its
 partner y in at most L(|x| + |y|); so the differences of x and of y from c have more than (|y - c| - L(|y| - |c|)) / 2 shingles in common.
-Prefix filtering finds these pairs: the rarest differences of y, one more than it may miss, meet all differences of such x. In a group of
+Prefix filtering finds these pairs: differences of y that fewest such x have, one more than it may miss, meet all differences of them. In a group of
 edited copies these are shingles of their own edits, which copies of other edits don't have. Found pairs are verified too.
 Components are closed by large-star and small-star rounds until nothing changes.
 
@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -36,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newslens.llm import hashing
-from newslens.llm.common import NO_ID, blocks, document, documents, fresh, settled
+from newslens.llm.common import NO_ID, Scratch, blocks, document, documents, fresh
 from newslens.operators.components import components
 
 RATIO = 1.3
@@ -205,15 +204,15 @@ def with_sets(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
 
-SPOKES = "a long, b long, variant int, odd boolean, prefix int, differences array<long>"
+SPOKES = "a long, b long, odd boolean, prefix int, size int, differences array<long>"
 
 
 def compared(spokes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """For pairs of a centre a and a class b: whether they are not linked, their differences, and how many of b's rarest must be looked at."""
+    """For pairs of a centre a and a class b: whether they are not linked, their differences, and how many of b's must be looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            variant, odd, prefix, differences = [], [], [], []
+            odd, prefix, differences = [], [], []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 u, v = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
                 both = np.sort(np.concatenate([u, v]))
@@ -224,13 +223,12 @@ def compared(spokes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
                 least = (apart * (100 + percent) - (100 - percent) * (len(v) - len(u))) // (2 * (100 + percent)) + 1
                 prefix.append(max(0, apart - least + 1))
                 differences.append(hashing.signed(single))
-                variant.append(zlib.crc32(single.tobytes()) & 0x7FFFFFFF)
-            ends = np.cumsum([0, *map(len, differences)])
+            sizes = [len(d) for d in differences]
             flat = np.concatenate(differences) if differences else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("a"), batch.column("b"), pa.array(variant, pa.int32()), pa.array(odd, pa.bool_()), pa.array(prefix, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
+                    batch.column("a"), batch.column("b"), pa.array(odd, pa.bool_()), pa.array(prefix, pa.int32()), pa.array(sizes, pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat, pa.int64())),
                 ],
                 names=[x.split()[0] for x in SPOKES.split(", ")],
             )
@@ -238,64 +236,83 @@ def compared(spokes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return with_sets(spokes, tokens).mapInArrow(run, SPOKES)
 
 
-def past_centres(star: DataFrame) -> DataFrame:
+def past_centres(star: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of classes that may be linked although not both are linked to their centre.
 
-    Differences that only one class of a centre has can't meet another; they count as the first ones of its prefix without being sorted.
+    One of such a pair, x, is not linked to the centre; any `prefix` differences of the other, y, have one that x has too. So those of y that no
+    other such class of the centre has are taken first, without being looked up, then those that fewest have. A difference of a centre moves as one
+    number, with the number of its row.
     """
     opened = star.groupBy(F.col("a").alias("centre")).agg(F.max("odd").alias("odd"), F.min("b").alias("b0"), F.max("b").alias("b1"))
-    known = star.join(opened.where("odd and b0 <> b1").select("centre"), F.col("a") == F.col("centre")).drop("a")
-    each = known.select("centre", "b", "variant", F.explode("differences").alias("token"))
-    common = each.groupBy(F.col("centre").alias("c"), F.col("token").alias("t")).agg(F.count("*").alias("n")).where("n > 1")
-    spoke = ["centre", "b", "variant"]
-    found = each.join(common, (F.col("centre") == F.col("c")) & (F.col("token") == F.col("t"))).select(*spoke, "token", "n")
-    found = settled(found)
-    found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*spoke).orderBy("n", "token"))).withColumn("kept", F.count("*").over(Window.partitionBy(*spoke)))
-    facts = known.select(*spoke, "odd", "prefix", F.size("differences").alias("size")).distinct()
-    rare = F.col("rank") + F.col("size") - F.col("kept") <= F.col("prefix")
-    met = settled(found.join(facts, spoke).select("centre", "token", "b", "odd", rare.alias("rare")).where("odd or rare"))
-    odd = met.where("odd").select(F.col("centre").alias("c"), F.col("token").alias("t"), F.col("b").alias("x"))
-    pairs = met.where("rare").join(odd, (F.col("centre") == F.col("c")) & (F.col("token") == F.col("t")) & (F.col("b") != F.col("x")))
+    known = star.join(opened.where("odd and b0 <> b1").select("centre"), F.col("a") == F.col("centre")).drop("centre")
+    known = scratch.keep("known", known.withColumn("spoke", F.monotonically_increasing_id()))
+    each = known.select("spoke", "odd", "prefix", "size", F.col("a").alias("centre"), F.explode("differences").alias("token"))
+    key = F.xxhash64("centre", "token").alias("key")
+    holders = each.where("odd").groupBy(key).agg(F.count("*").alias("n")).select(F.col("key").alias("k"), "n")
+    met = each.select("spoke", "odd", key).join(holders, F.col("key") == F.col("k")).where(F.col("n") > F.col("odd").cast("int"))
+    met = scratch.keep("met", met.select("spoke", "key", "n"))
+    own = Window.partitionBy("spoke")
+    ranked = met.withColumn("rank", F.row_number().over(own.orderBy("n", "key"))).withColumn("kept", F.count("*").over(own))
+    facts = known.select(F.col("spoke").alias("s"), "b", "prefix", "size")
+    rare = ranked.join(facts, F.col("spoke") == F.col("s")).where(F.col("rank") + F.col("size") - F.col("kept") <= F.col("prefix")).select("key", "b")
+    odd = known.where("odd").select("a", F.col("b").alias("x"), F.explode("differences").alias("token")).select(F.xxhash64("a", "token").alias("k"), "x")
+    pairs = rare.join(odd, (F.col("key") == F.col("k")) & (F.col("b") != F.col("x")))
     return pairs.select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
 
 
-def counted(members: DataFrame) -> DataFrame:
+def counted(members: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
     """(sign, class, part, n): members of signatures that several classes share, without classes that share too few in a band.
 
     A set shares more than one segment with any partner, unless it is as large as its band allows; segments without a signature are
-    taken off what it needs. The others have no partner in the band.
+    taken off what it needs. The others have no partner in the band. `members` has (sign, k), `keys` what each k is: a class in a band.
     """
-    enough = members.groupBy(F.col("class").alias("c"), F.col("band").alias("d")).agg(F.count("*").alias("n"), F.max("need").alias("least")).where("n >= least")
-    kept = settled(members.join(enough.select("c", "d"), (F.col("class") == F.col("c")) & (F.col("band") == F.col("d"))).select("sign", "class", "part"))
+    enough = members.groupBy("k").agg(F.count("*").alias("n")).join(keys, "k").where("n >= need").select(F.col("k").alias("key"), "class", "part")
+    kept = scratch.keep("kept", members.join(enough, F.col("k") == F.col("key")).select("sign", "class", "part"))
+    scratch.drop("members")
     sizes = kept.groupBy(F.col("sign").alias("g")).agg(F.count("*").alias("n")).where("n > 1")
-    return kept.join(sizes, F.col("sign") == F.col("g")).select("sign", "class", "part", "n")
+    out = scratch.keep("counted", kept.join(sizes, F.col("sign") == F.col("g")).select("sign", "class", "part", "n"))
+    scratch.drop("kept")
+    return out
 
 
 def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc, part, n_shingles, component) of each row; `component` is the smallest doc of those reachable by links."""
-    rows = settled(profiles(docs, words, percent))
+    """(doc, part, n_shingles, component) of each row; `component` is the smallest doc of those reachable by links.
+
+    Signatures are the bulk of the data. They are written once for each class, move with a number for their class and band only, and each
+    written table goes when its last reader is written.
+    """
+    scratch = Scratch(docs.sparkSession)
+    whole = scratch.keep("profiles", profiles(docs, words, percent))
+    rows = scratch.keep("rows", whole.drop("bands"))
     full = rows.where("same is not null")
-    classes = full.groupBy("same").agg(F.min(F.struct("doc", "part")).alias("first")).select("same", F.col("first.doc").alias("class"), F.col("first.part").alias("at"))
+    classes = scratch.keep("classes", full.groupBy("same").agg(F.min(F.struct("doc", "part")).alias("first")).select("same", F.col("first.doc").alias("class"), F.col("first.part").alias("at")))
     twins = full.groupBy("doc").agg(F.min("same").alias("s0"), F.max("same").alias("s1")).where("s0 <> s1").select(F.col("doc").alias("twin"))
     twins = full.join(twins, F.col("doc") == F.col("twin")).select("twin", F.col("same").alias("s")).join(classes.select("same", "class"), F.col("s") == F.col("same"))
     leads = twins.groupBy(F.col("twin").alias("t")).agg(F.min("class").alias("b"))
-    given = settled(twins.join(leads, F.col("twin") == F.col("t")).select(F.col("class").alias("a"), "b").where("a <> b").distinct())
-    one = full.join(classes.select("class", "at", F.col("same").alias("s")), (F.col("doc") == F.col("class")) & (F.col("part") == F.col("at")) & (F.col("same") == F.col("s")))
-    one = settled(one.select("class", F.col("at").alias("part"), F.explode("bands").alias("b")).select("class", "part", "b.*"))
-    shared = settled(one.select(F.explode("signs").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
-    signed = one.select("class", "part", "band", "need", F.explode("signs").alias("sign"))
-    members = settled(signed.join(shared, F.col("sign") == F.col("g")).drop("g"))
-    members = settled(counted(members))
+    given = scratch.keep("given", twins.join(leads, F.col("twin") == F.col("t")).select(F.col("class").alias("a"), "b").where("a <> b").distinct())
+    first = (F.col("doc") == F.col("class")) & (F.col("part") == F.col("at")) & (F.col("same") == F.col("s"))
+    one = whole.where("same is not null").join(classes.select("class", "at", F.col("same").alias("s")), first)
+    one = one.select("class", F.col("at").alias("part"), F.explode("bands").alias("b")).select("class", "part", "b.*")
+    one = scratch.keep("signs", one.withColumn("k", F.monotonically_increasing_id()))
+    scratch.drop("profiles")
+    keys = scratch.keep("keys", one.select("k", "class", "part", "need"))
+    shared = scratch.keep("shared", one.select(F.explode("signs").alias("g")).groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
+    signed = one.select("k", F.explode("signs").alias("sign"))
+    members = scratch.keep("members", signed.join(shared, F.col("sign") == F.col("g")).drop("g"))
+    scratch.drop("signs", "shared")
+    members = counted(members, keys, scratch)
     known = members.select("class", "part").distinct()
-    tokens = settled(shingle_sets(docs, known, words))
+    tokens = scratch.keep("tokens", shingle_sets(docs, known, words))
     # The class that shares most signatures is the centre of its groups: it is likest to the text the others were made from.
     fame = members.groupBy("class").agg(F.sum("n").alias("fame"))
     centres = members.join(fame, "class").groupBy("sign").agg(F.max(F.struct("fame", -F.col("class"))).alias("top"))
     centres = centres.select(F.col("sign").alias("g"), (-F.col("top.col2")).alias("centre"))
     spokes = members.join(centres, F.col("sign") == F.col("g")).where("class <> centre")
-    spokes = spokes.select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct()
-    star = settled(compared(spokes, tokens, percent))
-    more = verified(past_centres(star), tokens, percent)
+    spokes = scratch.keep("spokes", spokes.select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct())
+    scratch.drop("counted")
+    star = scratch.keep("star", compared(spokes, tokens, percent))
+    more = scratch.keep("more", verified(past_centres(star, scratch), tokens, percent))
+    scratch.drop("spokes", "tokens", "met", "known")
     final = components(star.where("not odd").select("a", "b").union(more).union(given))
     class_root = classes.join(final, F.col("class") == F.col("node"), "left").select(F.col("same").alias("s"), F.coalesce("root", "class").alias("root"))
     return rows.join(class_root, F.col("same") == F.col("s"), "left").select("doc", "part", "n_shingles", F.coalesce("root", "doc").alias("component"))
