@@ -5,6 +5,8 @@ Every function works inside the row, so reports spread over partitions freely an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,12 +32,10 @@ MD_LINK = r'!?\[([^\]]*)\]\(([^)\s]*)(?:\s+"[^"]*")?\)'
 AUTO_LINK = r"<(https?://[^>\s]+)>"
 BARE_LINK = r"https?://[^\s<>()\[\]]+"
 ANY_LINK = f"{MD_LINK}|{AUTO_LINK}|{BARE_LINK}"
-CITATION = r"\[\d+(?:\s*,\s*\d+)*\]\(?"
+CITATION = r"\[\d+(?:\s*,\s*\d+)*+\]\(?"
 RESOLVED = r"\[\[(\d+)\]\]\(<([^>]*)>\)"
 NEWS_LINE = r"^- \[(.+)\]\(<(.+?)>\) — (.+) \(([^()]+)\)$"
 
-_LINK_TOKENS = ANY_LINK + r"|[^!\[<h]+|[\s\S]"
-_CITATION_TOKENS = CITATION + r"|[^\[]+|\["
 _PART = "struct<heading:string,body:string>"
 
 
@@ -130,20 +130,30 @@ def link_target(token: Column) -> Column:
     )
 
 
+def replaced(md: Column, pattern: str, token: Callable[[Column], Column], nothing: Column) -> Column:
+    """Array of `token` for each match of a pattern, its `out` with the text before it in front, and `nothing` for the text after the last.
+
+    The text between two matches stays in one piece, so the work per match does not depend on it.
+    """
+
+    def piece(gap: Column, t: Column) -> Column:
+        return let(F.coalesce(F.when(t.isNotNull(), token(t)), nothing), lambda x: x.withField("out", F.concat(gap, x["out"])))
+
+    return F.zip_with(F.split(md, pattern, -1), F.regexp_extract_all(md, F.lit(pattern), F.lit(0)), piece)
+
+
 def strip_unknown_links(md: Column, allowed: Column) -> Column:
     """Array of (out, removed) tokens: links outside `allowed` become their text, images and bare URLs go."""
     known = F.coalesce(allowed, F.array().cast("array<string>"))
 
     def token(t: Column) -> Column:
         image = F.startswith(t, F.lit("!"))
-        markdown = t.rlike(r"^!?\[[^\]]*\]\(")
-        is_link = markdown | t.rlike(r"^<?https?://")
+        markdown = t.rlike(r"^!?\[")
         keep = F.array_contains(known, link_target(t)) & ~image
         text = F.when(markdown & ~image, F.regexp_extract(t, MD_LINK, 1)).otherwise(F.lit(""))
-        out = F.when(~is_link | keep, t).otherwise(text)
-        return F.struct(out.alias("out"), (is_link & ~keep).cast("int").alias("removed"))
+        return F.struct(F.when(keep, t).otherwise(text).alias("out"), (~keep).cast("int").alias("removed"))
 
-    return F.transform(F.regexp_extract_all(md, F.lit(_LINK_TOKENS), F.lit(0)), token)
+    return replaced(md, ANY_LINK, token, F.struct(F.lit("").alias("out"), F.lit(0).alias("removed")))
 
 
 def cited_numbers(md: Column) -> Column:
@@ -161,7 +171,7 @@ def resolve_citations(md: Column, links: Column) -> Column:
     """
 
     def token(t: Column) -> Column:
-        cite = t.rlike(r"^\[\d[\d,\s]*\]$")
+        cite = ~F.endswith(t, F.lit("("))
         numbers = F.transform(F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0)), lambda n: n.try_cast("bigint"))
         known = F.filter(numbers, lambda n: F.try_element_at(links, n).isNotNull())
 
@@ -179,7 +189,7 @@ def resolve_citations(md: Column, links: Column) -> Column:
             (F.when(cite, F.size(numbers)).otherwise(0) - hits).alias("invalid"),
         )
 
-    return F.transform(F.regexp_extract_all(md, F.lit(_CITATION_TOKENS), F.lit(0)), token)
+    return replaced(md, CITATION, token, F.struct(F.lit("").alias("out"), F.lit(0).alias("resolved"), F.lit(0).alias("invalid")))
 
 
 def token_text(tokens: Column) -> Column:

@@ -18,7 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newslens.functions.text import epoch_us
-from newslens.operators.numbering import cut_points, reached
+from newslens.operators.numbering import cut_points, reached, sliced_row_number
+from newslens.session import staged
 
 SMALL_CLIENT = 2048
 CHUNK_ROWS = 1 << 20
@@ -158,6 +159,24 @@ def admit(requests: DataFrame, rate: Rate, small: int = SMALL_CLIENT, chunk_rows
     return few.unionByName(many)
 
 
+def refilled_at(tokens: int, last: int, rate: Rate) -> int:
+    """Microsecond at which a bucket with `tokens` at `last` is full again."""
+    return last - (tokens - rate.full) // rate.count
+
+
+def refills(decisions: DataFrame, rate: Rate, until_us: Column) -> DataFrame:
+    """(client, tokens, last_us, refilled_us) of every pause after which a bucket was full: before the client's next request, or by `until_us`.
+
+    Each decision meets the client's next one on its number, so that a busy client is not sorted in one task.
+    """
+    numbered = staged(sliced_row_number(decisions.select("client", "event_id", "us", "tokens"), ["client"], [("event_id", True)], "n"))
+    after = numbered.select(F.col("client").alias("_client"), (F.col("n") - 1).alias("_n"), F.col("us").alias("next_us"))
+    met = numbered.join(after, F.col("client").eqNullSafe(F.col("_client")) & (F.col("n") == F.col("_n")), "left")
+    full = F.col("us") + F.expr(f"({rate.full} - tokens + {rate.count - 1}) div {rate.count}")
+    timed = met.withColumn("refilled_us", full)
+    return timed.where(F.col("refilled_us") <= F.coalesce("next_us", until_us)).select("client", "tokens", F.col("us").alias("last_us"), "refilled_us")
+
+
 def bucket_sweep(decisions: DataFrame, rate: Rate, now_us: Column) -> DataFrame:
     """Last bucket of each client at `now_us` and whether it has refilled, so that it need not be kept."""
     last = decisions.groupBy("client").agg(F.max_by(F.struct("us", "tokens"), "event_id").alias("_b"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from newslens.operators.numbering import sliced_row_number, sliced_running_sum
+from newslens.session import staged
 
 # Stages of a headline, reasons and default labels.
 PREFILTER_REJECTED = "prefilter_rejected"
@@ -49,13 +50,27 @@ def audit_sorted(audit: DataFrame) -> DataFrame:
 
 def audit_counts(audit: DataFrame) -> DataFrame:
     """Funnel per edition: headlines and how many ended at each stage."""
-    stages = [PREFILTER_REJECTED, CLASSIFIER_REJECTED, CLASSIFIER_ERROR, ACCEPTED]
-    names = ["prefilter_rejected", "classifier_rejected", "classifier_errors", "accepted"]
     return audit.groupBy("edition_date").agg(
-        F.count("*").alias("fetched"), *[F.count_if(F.col("stage") == s).alias(n) for s, n in zip(stages, names)]
+        *[(F.count("*") if s is None else F.count_if(F.col("stage") == s)).alias(n) for n, s in STAGE_COUNTS.items()]
     )
 
 
+STAGE_COUNTS = {
+    "fetched": None, "prefilter_rejected": PREFILTER_REJECTED, "classifier_rejected": CLASSIFIER_REJECTED, "classifier_errors": CLASSIFIER_ERROR,
+    "accepted": ACCEPTED,
+}
+
+
+def observed(audit: DataFrame, name: str = "funnel") -> tuple[DataFrame, Observation]:
+    """The same rows, with the funnel of all of them counted as they are written: no second scan.
+
+    `Observation.get` has the counts once the rows have been written; `audit_counts` gives the same by edition from the written table.
+    """
+    funnel = Observation(name)
+    counts = [(F.count(F.lit(1)) if s is None else F.count_if(F.col("stage") == s)).alias(n) for n, s in STAGE_COUNTS.items()]
+    return audit.observe(funnel, *counts), funnel
+
+
 def with_source_counts(counts: DataFrame, headlines: DataFrame, outlets: DataFrame) -> DataFrame:
     """Adds configured and responding outlets to the funnel of each edition."""
     feeds = outlets.where("has_feed").select("source_id")
@@ -84,8 +99,8 @@ def fallback_used(audit: DataFrame, primary: str) -> DataFrame:
 
 def cost_by_stage(usage: DataFrame) -> DataFrame:
     """Requests, tokens and cost per run and stage, with a total row (stage NULL) per run."""
-    staged = usage.withColumn("stage", F.coalesce("stage", F.lit(OTHER_STAGE)))
-    return staged.groupingSets([["run", "stage"], ["run"]], "run", "stage").agg(
+    told = usage.withColumn("stage", F.coalesce("stage", F.lit(OTHER_STAGE)))
+    return told.groupingSets([["run", "stage"], ["run"]], "run", "stage").agg(
         F.sum("cost").alias("cost"), F.count("*").alias("requests"),
         F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
     )
@@ -117,6 +132,35 @@ def latest_version(versions: DataFrame) -> DataFrame:
     return versions.join(last, ["edition_date", "version"], "left_semi")
 
 
+def version_intervals(generations: DataFrame, at: str = "generated_at", order: str = "event_id") -> DataFrame:
+    """Versions of each edition with the time in which each was public: from `valid_from` on, up to `valid_to` (null: still) without it.
+
+    Versions are numbered by the time of their generation, then `order`; of several of one moment only the last was ever public, and the others
+    have an empty interval. Each version meets its successor on its number, so an edition of any number of versions is not sorted in one task.
+    """
+    numbered = staged(sliced_row_number(generations, ["edition_date"], [(at, True), (order, True)], "version"))
+    after = numbered.select(F.col("edition_date").alias("_edition"), (F.col("version") - 1).alias("_version"), F.col(at).alias("valid_to"))
+    same = F.col("edition_date").eqNullSafe(F.col("_edition")) & (F.col("version") == F.col("_version"))
+    return numbered.join(after, same, "left").drop("_edition", "_version").withColumnRenamed(at, "valid_from")
+
+
+def edition_as_of(intervals: DataFrame, moments: DataFrame) -> DataFrame:
+    """For each of `moments` (edition_date, moment, and any other columns) the version that was public then; null before the first.
+
+    The number of versions that an edition had had by a moment is the number of the version then public, so this is a running count over versions
+    and moments together, in slices of time, and no join by ranges.
+    """
+    rest = [c for c in moments.columns if c not in ("edition_date", "moment")]
+    versions = intervals.select("edition_date", F.col("valid_from").alias("moment"), F.lit(0).alias("_kind"), F.lit(1).alias("_one"))
+    asked = moments.select("edition_date", "moment", F.lit(1).alias("_kind"), F.lit(0).alias("_one"), *rest)
+    both = versions.unionByName(asked, allowMissingColumns=True)
+    counted = sliced_running_sum(both, ["edition_date"], [("moment", True), ("_kind", True)], F.col("_one"), "version")
+    found = counted.where(F.col("_kind") == 1).select("edition_date", "moment", *rest, F.nullif("version", F.lit(0)).alias("version"))
+    known = intervals.select(F.col("edition_date").alias("_edition"), F.col("version").alias("_version"), *[c for c in intervals.columns if c not in ("edition_date", "version", *rest)])
+    same = F.col("edition_date").eqNullSafe(F.col("_edition")) & (F.col("version") == F.col("_version"))
+    return found.join(known, same, "left").drop("_edition", "_version")
+
+
 def corrections(versions: DataFrame) -> DataFrame:
     """All generations of editions that were generated more than once, newest edition first.
 

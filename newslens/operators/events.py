@@ -65,7 +65,7 @@ def _entries(nodes: DataFrame, likeness: float) -> DataFrame:
 
 
 def _links(entries: DataFrame, likeness: float, large: int) -> DataFrame:
-    """Verified pairs (a, b) of titles of different groups."""
+    """Pairs (a, b) of groups of which two titles were found alike."""
     keys = ["edition_date", "word"]
     groups = entries.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi")
     held = staged(entries.join(groups.select(*keys, (F.col("k") > large).alias("big")), keys))
@@ -75,7 +75,7 @@ def _links(entries: DataFrame, likeness: float, large: int) -> DataFrame:
         apart = (F.col("root") != F.col("_root")) & (F.col("_n") <= F.col("most")) & (F.col("n") <= F.col("_most"))
         order = (F.col("n") < F.col("_n")) | ((F.col("n") == F.col("_n")) & (F.col("label") < F.col("_label")))
         met = left.join(right.withColumnsRenamed(names), on).where(apart & order)
-        return met.where(_alike(F.col("w"), F.col("_w"), likeness)).select(F.col("label").alias("a"), F.col("_label").alias("b"))
+        return met.where(_alike(F.col("w"), F.col("_w"), likeness)).select(F.col("root").alias("a"), F.col("_root").alias("b"))
 
     few, many = held.where(~F.col("big")).drop("big"), held.where("big").drop("big")
     # The smaller set names the sizes it could be alike, the larger one the sizes down to which it could.
@@ -102,10 +102,9 @@ def same_event_groups(titles: DataFrame, likeness: float = LIKENESS, large: int
     )
     near = components(stars).withColumnRenamed("node", "label")
     rooted = entries.join(near, "label", "left").withColumn("root", F.coalesce("root", "label"))
-    roots = components(stars.union(_links(rooted, likeness, large)))
-    of = roots.withColumnRenamed("node", "of")
-    found = nodes.join(of, F.col("label") == F.col("of"), "left").select(
-        F.col("edition_date").alias("_edition"), F.col("node").alias("_node"), F.coalesce("root", "label").alias("event_seq")
-    )
+    # Groups are closed, so only groups are left to connect.
+    far = components(_links(rooted, likeness, large)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    closed = nodes.join(near, "label", "left").withColumn("root", F.coalesce("root", "label")).join(far, "root", "left")
+    found = closed.select(F.col("edition_date").alias("_edition"), F.col("node").alias("_node"), F.coalesce("top", "root").alias("event_seq"))
     same = F.col("edition_date").eqNullSafe(F.col("_edition")) & (F.col("node") == F.col("_node"))
     return members.join(found, same).select("edition_date", "seq", "event_seq")

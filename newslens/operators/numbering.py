@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newslens.functions.text import epoch_us
+
 #: Rows that a slice may hold before the order is cut, and slices at most, so that a group's slices stay few; each is then larger, and sorted with spill.
 SLICE_ROWS = 1 << 16
 MOST_SLICES = 4096
@@ -19,6 +21,14 @@ MOST_SLICES = 4096
 Keys = list[tuple[str, bool]]
 
 
+def _measured(df: DataFrame, column: str) -> Column:
+    """A column as a number in the same order, if it is a date or a time."""
+    kind = df.schema[column].dataType.typeName()
+    if kind.startswith("timestamp"):
+        return epoch_us(F.col(column))
+    return F.unix_date(column) if kind == "date" else F.col(column)
+
+
 def cut_points(df: DataFrame, columns: list[str], rows: int = SLICE_ROWS, most: int = MOST_SLICES) -> dict[str, list]:
     """Ascending cut points of each column: approximate quantiles, without repeats. Any points give right results, so their error does not matter.
 
@@ -29,7 +39,7 @@ def cut_points(df: DataFrame, columns: list[str], rows: int = SLICE_ROWS, most:
     if slices <= 1:
         return {c: [] for c in columns}
     points = [i / slices for i in range(1, slices)]
-    found = df.agg(*[F.percentile_approx(c, points, 20 * slices).alias(c) for c in columns]).first()
+    found = df.agg(*[F.percentile_approx(_measured(df, c), points, 20 * slices).alias(c) for c in columns]).first()
     return {c: sorted(set(found[c] or [])) for c in columns}
 
 
@@ -52,7 +62,7 @@ def _slices(df: DataFrame, keys: Keys, rows: int) -> list[tuple[Column, bool]]:
     cuts = cut_points(df, [c for c, _ in keys], rows)
     out, pure = [], F.lit(True)
     for name, up in keys:
-        column = F.col(name)
+        column = _measured(df, name)
         place = reached(column, cuts[name])
         # Values between two cut points come after the lower one, which has a slice of its own.
         at_cut = (place > 0) & (F.get(F.lit(cuts[name]), place - 1) == column) if cuts[name] else F.lit(False)

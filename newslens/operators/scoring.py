@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newslens.functions.modeljson import CLASSIFICATION_SCHEMA, parse_model_json
 from newslens.operators.numbering import sliced_row_number
+from newslens.session import staged
 
 # Headlines per scoring request.
 BATCH_SIZE = 16
@@ -74,6 +75,63 @@ def score_batches(batched: DataFrame, scorer: Scorer, columns: list[str], out_sc
     return rows.mapInPandas(run, f"edition_date date, seq bigint, batch_no bigint, item_index int, {out_schema}, error string")
 
 
+def score_cascade(items: DataFrame, providers: list[Scorer], columns: list[str], out_schema: str, size: int = BATCH_SIZE) -> DataFrame:
+    """Scores (edition_date, seq, and `columns`) by a chain of providers, until every item has an answer or the last provider has failed it.
+
+    Each provider gets what is left, in batches of `size`, as a frame of seq and `columns`, and returns a frame with seq and the answers, in any
+    order. Items that its answer skips are sent to it once more, one by one; a batch that raises, and items that it skips again, go to the
+    next provider. Only what is left moves on, so a round costs what its items cost. Each round is written out, and the rounds end as soon as
+    nothing is left. `attempts` counts how often an item was sent; `error` is the last provider's.
+    """
+    names = [c.split()[0] for c in out_schema.split(", ")]
+    shape = f"{out_schema}, answered boolean"
+
+    def aligned(provider: Scorer) -> Scorer:
+        def score(batch: pd.DataFrame) -> pd.DataFrame:
+            found = provider(batch).drop_duplicates("seq", keep="last").assign(answered=True)
+            return batch[["seq"]].merge(found, on="seq", how="left")[[*names, "answered"]].astype(object)
+
+        return score
+
+    def round_of(left: DataFrame, provider: Scorer, batch: int) -> DataFrame:
+        scored = score_batches(batch_assign(left.select("edition_date", "seq", *columns), batch), aligned(provider), columns, shape)
+        status = F.when(F.col("error").isNotNull(), "error").when(F.col("answered"), "ok").otherwise("missing")
+        return staged(scored.select("edition_date", "seq", *names, status.alias("status"), "error"))
+
+    def still(left: DataFrame, result: DataFrame, *status: str) -> DataFrame:
+        open_items = result.where(F.col("status").isin(*status)).select(F.col("seq").alias("_seq"), F.col("error").alias("_error"))
+        met = left.join(open_items, F.col("seq") == F.col("_seq")).drop("_seq", "error")
+        return staged(met.withColumn("attempts", F.col("attempts") + 1).withColumnRenamed("_error", "error"))
+
+    start = items.select("edition_date", "seq", *columns).withColumns({"attempts": F.lit(0), "error": F.lit(None).cast("string")})
+    left, done = staged(start), []
+
+    def answers(result: DataFrame, left: DataFrame, rank: int) -> DataFrame:
+        sent = left.select(F.col("seq").alias("_seq"), (F.col("attempts") + 1).alias("attempts"))
+        ok = result.where(F.col("status") == "ok").join(sent, F.col("seq") == F.col("_seq"))
+        return ok.select("edition_date", "seq", F.lit(rank).alias("provider_rank"), "attempts", "status", *names, F.lit(None).cast("string").alias("error"))
+
+    for rank, provider in enumerate(providers, 1):
+        if left.isEmpty():
+            break
+        first = round_of(left, provider, size)
+        done.append(answers(first, left, rank))
+        failed, skipped = still(left, first, "error"), still(left, first, "missing")
+        if not skipped.isEmpty():
+            again = round_of(skipped, provider, 1)
+            done.append(answers(again, skipped, rank))
+            failed = failed.unionByName(still(skipped, again, "error", "missing"))
+        left = staged(failed)
+    none = [F.lit(None).cast(c.split(" ", 1)[1]).alias(c.split()[0]) for c in out_schema.split(", ")]
+    lost = left.select(
+        "edition_date", "seq", F.lit(None).cast("int").alias("provider_rank"), "attempts", F.lit("error").alias("status"), *none,
+        F.coalesce("error", F.lit("no answer")).alias("error"),
+    )
+    for part in done:
+        lost = lost.unionByName(part)
+    return lost
+
+
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Responses (edition_date, batch_no, provider_rank, response) with typed `parsed` items, NULL when unreadable."""
     return responses.withColumn("parsed", parse_model_json(F.col("response"), CLASSIFICATION_SCHEMA))

@@ -16,7 +16,7 @@ from newslens.sources import feeds
 
 @dataclass
 class Edition:
-    """Tables of one run. Parsed, scored and accepted headlines are written; the rest is computed when it is read."""
+    """Tables of one run. Parsed and scored headlines, the audit and accepted notes are written; the rest is computed when it is read."""
 
     current: DataFrame
     coverage: DataFrame
@@ -25,6 +25,8 @@ class Edition:
     counts: DataFrame
     notes: DataFrame
     outlets: DataFrame
+    #: Counts of all headlines by stage, gathered while the audit was written.
+    funnel: dict[str, int]
 
     def digest(self) -> DataFrame:
         """Lines a report is written from; computed only when asked for."""
@@ -69,7 +71,8 @@ def run_edition(
     errors = feeds.feed_failures(payloads, parsed, keys).groupBy("source_id").agg(F.max("detail").alias("detail"))
     current = headlines.drop_stale(parsed, now, max_age_hours)
     scored = staged((classify or by_rules(relations))(tagging.prefilter(headlines.headline_outlet(current, outlets), gazetteer)))
-    entries = audit.audit_entries(scored, use_prefilter)
+    watched, funnel = audit.observed(audit.audit_entries(scored, use_prefilter))
+    entries = staged(watched)
     kept = scored.where(F.col("is_international") if use_prefilter else F.col("relation_type") != "none")
     notes = stories.with_voices(
         kept.withColumnsRenamed({"matched_countries": "countries", "matched_companies": "companies"}),
@@ -79,5 +82,5 @@ def run_edition(
     notes = staged(stories.group_assign(notes, groups(notes)) if groups else notes)
     return Edition(
         current, coverage.region_coverage(outlets, current), coverage.source_status(outlets, current, errors), entries, counts,
-        notes, outlets,
+        notes, outlets, funnel.get,
     )

@@ -52,6 +52,30 @@ def corrections(spark, sf):
     return history.select("edition_date", "version", "generated_at", "reason", "versions")
 
 
+@query("version_intervals", """
+SELECT edition_date, event_id, reason, generated_at AS valid_from, lead(generated_at) OVER w AS valid_to, row_number() OVER w AS version
+FROM versions WINDOW w AS (PARTITION BY edition_date ORDER BY generated_at, event_id)
+""", ("versions",))
+def version_intervals(spark, sf):
+    versions = audit.version_intervals(audit.edition_versions(v.generations(spark, sf)).drop("version"))
+    return versions.select("edition_date", "event_id", "reason", "valid_from", "valid_to", F.col("version").cast("bigint").alias("version"))
+
+
+@query("edition_as_of", """
+SELECT e.event_id AS asked, e.moment, n AS version, i.event_id FROM (
+  SELECT event_id, CAST(ts AS DATE) AS edition_date, ts AS moment FROM events WHERE event_type <> 'error') e
+JOIN LATERAL (SELECT nullif(count(*), 0) AS n FROM versions v WHERE v.edition_date = e.edition_date AND v.generated_at <= e.moment) ON true
+LEFT JOIN (SELECT edition_date, event_id, row_number() OVER (PARTITION BY edition_date ORDER BY generated_at, event_id) AS version FROM versions) i
+  ON i.edition_date = e.edition_date AND i.version = n
+""", ("versions",))
+def edition_as_of(spark, sf):
+    """The version of its day's edition that each event of another kind met."""
+    events = v.table(spark, sf, "events").where(F.col("event_type") != "error")
+    moments = events.select(F.col("ts").cast("date").alias("edition_date"), F.col("ts").alias("moment"), F.col("event_id").alias("asked"))
+    met = audit.edition_as_of(audit.version_intervals(v.generations(spark, sf)), moments)
+    return met.select("asked", "moment", F.col("version").cast("bigint").alias("version"), "event_id")
+
+
 @query("date_label_es", """
 SELECT event_id, CASE WHEN event_id % 10 = 0 THEN concat('sin fecha ', event_id) ELSE concat(
   ['domingo','lunes','martes','miércoles','jueves','viernes','sábado'][dayofweek(ts) + 1], ', ', day(ts), ' de ',
@@ -122,6 +146,16 @@ def bucket_sweep(spark, sf):
     return admission.bucket_sweep(decisions, RATE, epoch_us(v.now()))
 
 
+@query("bucket_refills", _BUCKET + f"""
+SELECT client, tokens, us AS last_us, refilled_us FROM (
+  SELECT client, tokens, us, lead(us) OVER (PARTITION BY client ORDER BY event_id) AS next_us,
+    us + ({RATE.full} - tokens + {RATE.count - 1}) // {RATE.count} AS refilled_us FROM st)
+WHERE refilled_us <= coalesce(next_us, epoch_us(TIMESTAMP '{v.NOW}'))
+""")
+def bucket_refills(spark, sf):
+    return admission.refills(admission.admit(v.client_requests(spark, sf), RATE), RATE, epoch_us(v.now()))
+
+
 _RESEND, _TTL = RULES.resend_seconds * 1_000_000, RULES.ttl_seconds * 1_000_000
 _LIFE = f"""
 WITH RECURSIVE ev AS (

@@ -6,10 +6,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from newslens.functions.modeljson import error_class, extract_json
-from newslens.operators import learning, scoring
+from newslens.operators import evaluation, learning, scoring
 from newslens.plans import views as v
 from newslens.plans.registry import query
 from newslens.plans.story_queries import group_responses
+from newslens.session import run_dir, staged
 
 
 @query("extract_json", """
@@ -99,6 +100,43 @@ def score_batches(spark, sf):
     return scoring.score_batches(v.batch_items(spark, sf), title_scorer, ["title"], "is_international boolean, confidence double")
 
 
+def _chain():
+    """Stand-ins for three providers: one fails some batches and skips items, one fails others, one never answers some items."""
+
+    def first(batch: pd.DataFrame) -> pd.DataFrame:
+        if batch["seq"].min() % 5 == 0:
+            raise TimeoutError("overloaded")
+        skipped = (batch["seq"] % 7 == 3) & ((len(batch) > 1) | (batch["seq"] % 2 == 1))
+        return _sizes(batch[~skipped])
+
+    def second(batch: pd.DataFrame) -> pd.DataFrame:
+        if batch["seq"].min() % 3 == 0:
+            raise ValueError("no key")
+        return _sizes(batch)
+
+    return [first, second, lambda batch: _sizes(batch[batch["seq"] % 11 != 0])]
+
+
+def _sizes(batch: pd.DataFrame) -> pd.DataFrame:
+    return batch[["seq"]].assign(is_international=batch["title"].str.len() > 100)
+
+
+@query("score_cascade", """
+SELECT * FROM (WITH a AS (SELECT edition_date, seq, length(title) > 100 AS said, f % 5 = 0 AS failed, f % 5 <> 0 AND seq % 7 = 3 AS skipped FROM (
+    SELECT *, min(seq) OVER (PARTITION BY edition_date, batch_no) AS f FROM batch_item)),
+b AS (SELECT *, CASE WHEN failed THEN 'next' WHEN NOT skipped THEN 'first' WHEN seq % 5 <> 0 AND seq % 2 = 0 THEN 'again' ELSE 'next' END AS went FROM a),
+c AS (SELECT edition_date, seq, said, CAST(skipped AS INTEGER) AS more, (row_number() OVER (PARTITION BY edition_date ORDER BY seq) - 1) // 16 AS no FROM b WHERE went = 'next'),
+d AS (SELECT *, min(seq) OVER (PARTITION BY edition_date, no) % 3 = 0 AS failed FROM c)
+SELECT edition_date, seq, 1 AS provider_rank, CASE went WHEN 'first' THEN 1 ELSE 2 END AS attempts, 'ok' AS status, said AS is_international, NULL::VARCHAR AS error FROM b WHERE went <> 'next'
+UNION ALL SELECT edition_date, seq, 2, 2 + more, 'ok', said, NULL FROM d WHERE NOT failed
+UNION ALL SELECT edition_date, seq, 3, 3 + more, 'ok', said, NULL FROM d WHERE failed AND seq % 11 <> 0
+UNION ALL SELECT edition_date, seq, NULL, 4 + more, 'error', NULL, 'no answer' FROM d WHERE failed AND seq % 11 = 0)
+""", ("batch_item",))
+def score_cascade(spark, sf):
+    """The cascade as rounds: each provider gets only what the ones before it left open."""
+    return scoring.score_cascade(v.batch_items(spark, sf).select("edition_date", "seq", "title"), _chain(), ["title"], "is_international boolean")
+
+
 _LABELLED = """
 SELECT doc_id AS id, quality = 1 AS expected, list_distinct(regexp_extract_all(lower(replace(coalesce(text, ''), 'İ', 'i')), '[\\p{L}\\p{N}]+')) AS w
 FROM documents JOIN labels USING (doc_id)
@@ -119,3 +157,16 @@ def train_classifier(spark, sf):
         F.col("doc_id").alias("id"), F.col("text"), (F.col("quality") == 1).alias("expected")
     )
     return learning.predict(labelled, labelled, held_out=True)
+
+
+@query("train_pipeline")
+def train_pipeline(spark, sf):
+    """Precision, recall and F1 on the held-out fifth of the labelled documents: a stored and reloaded pipeline beside the word odds."""
+    labelled = v.table(spark, sf, "documents").join(v.table(spark, sf, "labels"), "doc_id").select(
+        F.col("doc_id").alias("id"), F.col("text"), (F.col("quality") == 1).alias("expected")
+    )
+    train, test = (staged(labelled.where((F.pmod("id", F.lit(5)) == 0) == held)) for held in (False, True))
+    path = run_dir(spark, "classifier")
+    learning.fit_pipeline(train).write().save(path)
+    both = learning.predict(train, test).unionByName(learning.predict_pipeline(path, test))
+    return evaluation.prf1(evaluation.confusion(both))

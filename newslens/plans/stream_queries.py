@@ -13,6 +13,7 @@ from newslens.streaming import admission as admission_stream
 from newslens.streaming import feeds as feed_streams
 from newslens.streaming import subscribers as subscriber_stream
 from newslens.streaming import windows
+from newslens.streaming.landing import Ingest, landing
 from newslens.streaming.sources import drain, drain_totals, landed
 
 
@@ -42,6 +43,18 @@ def optin_stream(spark, sf):
     return drain(subscriber_stream.optin_stream(v.as_subscriptions(event_stream(spark, sf)), e.RULES), "optin")
 
 
+@query("bucket_sweep_stream", e._BUCKET + f"""
+SELECT client, tokens, us AS last_us, refilled_us FROM (
+  SELECT client, tokens, us, lead(us) OVER (PARTITION BY client ORDER BY event_id) AS next_us,
+    us + ({e.RATE.full} - tokens + {e.RATE.count - 1}) // {e.RATE.count} AS refilled_us FROM st)
+WHERE refilled_us <= coalesce(next_us, (SELECT epoch_us(max(ts)) - 3600000000 FROM events))
+""")
+def bucket_sweep_stream(spark, sf):
+    """Buckets as the stream emits them when they are full: by a request that finds them so, or by a timer."""
+    requests = event_stream(spark, sf).select(F.col("user_id").cast("string").alias("client"), "ts", "event_id")
+    return drain(admission_stream.sweep_stream(requests, e.RATE), "sweeps")
+
+
 @query("edition_window", """
 SELECT date_trunc('day', ts) AS window_start, coalesce(CASE event_type WHEN 'view' THEN 'clasificacion' WHEN 'click' THEN 'agrupamiento'
   WHEN 'purchase' THEN 'redaccion' WHEN 'signup' THEN 'fidelidad' END, 'otros') AS stage, count(*) AS headlines FROM events GROUP BY ALL
@@ -62,6 +75,23 @@ def signup_window(spark, sf):
     return counts.withColumn("window_start", utc_ntz(F.col("window_start")))
 
 
+@query("feed_landing", f"""
+SELECT source_id, outcome, count(*) AS rows FROM (
+  SELECT source_id, CASE WHEN published_at < TIMESTAMP '{v.NOW}' - INTERVAL {v.MAX_AGE} HOUR THEN 'stale'
+    WHEN row_number() OVER (PARTITION BY source_id, CASE WHEN link = '' THEN title ELSE link END, coalesce(published_at < TIMESTAMP '{v.NOW}' - INTERVAL {v.MAX_AGE} HOUR, false)) = 1
+    THEN 'kept' ELSE 'duplicate' END AS outcome FROM parsed_feed)
+GROUP BY ALL
+""", ("parsed_feed",))
+def feed_landing(spark, sf):
+    """What becomes of every headline of a landing folder that is read as a stream."""
+    path = run_dir(spark, "landing")
+    v.payloads(spark, sf).withColumn("fetched_at", F.col("edition_date").cast("timestamp_ntz")).drop("edition_date", "fetch_no").write.parquet(path)
+    schema = "source_id string, body binary, rejected boolean, fetched_at timestamp_ntz"
+    ingest = Ingest(run_dir(spark, "ingest"), v.now(), None, v.MAX_AGE)
+    ingest.run(landing(spark, path, schema))
+    return ingest.counts(spark)
+
+
 @query("feed_stream", f"""
 SELECT DISTINCT source_id, CASE WHEN link = '' THEN title ELSE link END AS identity FROM parsed_feed
 WHERE published_at IS NULL OR published_at >= TIMESTAMP '{v.NOW}' - INTERVAL {v.MAX_AGE} HOUR

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from newslens.session import run_dir
@@ -30,12 +28,18 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
 
 
 def drain_totals(stream: DataFrame, name: str) -> DataFrame:
-    """Final rows of a small running aggregate, such as counts per day; the whole result is kept by the sink."""
+    """Final rows of a running aggregate, such as counts per day: each micro-batch writes the whole result as a table, and the last one is read."""
     spark = stream.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}"
+    path = run_dir(spark, name)
+    written: list[str] = []
+
+    def keep(totals: DataFrame, batch: int) -> None:
+        totals.write.mode("overwrite").parquet(f"{path}/totals-{batch}")
+        written.append(f"{path}/totals-{batch}")
+
     query = (
-        stream.writeStream.format("memory").queryName(table).outputMode("complete")
-        .option("checkpointLocation", run_dir(spark, name)).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(keep).outputMode("complete")
+        .option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.table(table)
+    return spark.read.schema(stream.schema).parquet(written[-1]) if written else spark.createDataFrame([], stream.schema)

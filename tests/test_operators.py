@@ -253,6 +253,95 @@ def test_versions_and_cost(spark):
     assert {r.stage: (r.requests, r.cost) for r in audit.cost_by_stage(usage).collect()} == {"a": (2, 3), "otros": (1, 3), None: (3, 6)}
 
 
+def test_version_intervals_and_point_in_time_reads(spark):
+    """Any moment meets the version that was public then; versions of one moment, moments before the first, unknown and null editions."""
+    r = random.Random(10)
+    start = datetime.datetime(2026, 1, 1)
+    days = [DAY, datetime.date(2026, 1, 2), None]
+    made = [(r.choice(days), i, start + datetime.timedelta(hours=r.randint(0, 60)), f"r{i}") for i in range(60)]
+    gens = spark.createDataFrame(made, "edition_date date, event_id bigint, generated_at timestamp_ntz, reason string")
+    asked = [(r.choice([*days, datetime.date(2030, 1, 1)]), start + datetime.timedelta(hours=h / 2), i) for i, h in enumerate(range(-4, 130))]
+    moments = spark.createDataFrame(asked, "edition_date date, moment timestamp_ntz, id bigint")
+    intervals = audit.version_intervals(gens)
+    held = {}
+    for day in days:
+        mine = sorted((x for x in made if x[0] == day), key=lambda x: (x[2], x[1]))
+        held[day] = [(i + 1, x[1], x[2], mine[i + 1][2] if i + 1 < len(mine) else None) for i, x in enumerate(mine)]
+    got = {}
+    for x in intervals.collect():
+        got.setdefault(x.edition_date, []).append((x.version, x.event_id, x.valid_from, x.valid_to))
+    assert {d: sorted(v) for d, v in got.items()} == held
+    want = {}
+    for day, moment, i in asked:
+        public = [(v, e) for v, e, since, until in held.get(day, []) if since <= moment and (until is None or moment < until)]
+        want[i] = public[0] if public else (None, None)
+    assert {x.id: (x.version, x.event_id) for x in audit.edition_as_of(intervals, moments).collect()} == want
+
+
+def test_observed_funnel_equals_the_counted_table(spark, tmp_path):
+    stages = [audit.PREFILTER_REJECTED, audit.CLASSIFIER_REJECTED, audit.CLASSIFIER_ERROR, audit.ACCEPTED, audit.ACCEPTED]
+    rows = spark.createDataFrame([(DAY, s, i) for i, s in enumerate(stages * 50)], "edition_date date, stage string, seq int").repartition(5)
+    watched, funnel = audit.observed(rows)
+    watched.write.parquet(str(tmp_path / "a"))
+    counted = audit.audit_counts(spark.read.parquet(str(tmp_path / "a"))).drop("edition_date").first().asDict()
+    assert funnel.get == counted == {"fetched": 250, "prefilter_rejected": 50, "classifier_rejected": 50, "classifier_errors": 50, "accepted": 100}
+
+
+def test_cascade_ends_with_an_answer_or_the_last_error(spark):
+    """Providers see only what is left; skipped items are sent once more alone; nothing is lost."""
+    h = spark.createDataFrame([(i, DAY, "t" * (i + 1)) for i in range(40)], "seq bigint, edition_date date, title string")
+    answer = lambda b: b[["seq"]].assign(size=b["title"].str.len())
+
+    def first(batch):
+        if len(batch) > 1 and 35 in set(batch["seq"]):
+            raise TimeoutError("busy")
+        return answer(batch[(batch["seq"] % 4 != 0) | ((len(batch) == 1) & (batch["seq"] % 8 == 0))]).iloc[::-1]
+
+    def second(batch):
+        raise ValueError("no key")
+
+    def third(batch):
+        if len(batch) == 1 and batch["seq"].iloc[0] == 36:
+            raise ValueError("refused")
+        return answer(batch[batch["seq"] % 12 != 0])
+
+    run = lambda *chain: {r.seq: (r.provider_rank, r.attempts, r.status, r["size"], r.error) for r in scoring.score_cascade(h, list(chain), ["title"], "size bigint").collect()}
+    got = run(first, second, third)
+    want = {}
+    for i in range(40):
+        if i < 32:
+            went = (1, 1) if i % 4 else (1, 2) if i % 8 == 0 else (3, 4) if i % 12 else (None, 5)
+        else:
+            went = (3, 3) if i % 12 else (None, 4)
+        error = None if went[0] else "refused" if i == 36 else "no answer"
+        want[i] = (*went, "ok" if went[0] else "error", i + 1 if went[0] else None, error)
+    assert got == want
+    assert {x[:3] for x in run(answer).values()} == {(1, 1, "ok")}
+    assert {x[1:3] + x[4:] for x in run(second).values()} == {(1, "error", "no key")}
+    assert scoring.score_cascade(h.limit(0), [answer], ["title"], "size bigint").count() == 0
+
+
+def test_stored_pipeline(spark, tmp_path):
+    """Fitted, stored, reloaded; better than chance on rows it has not seen, with the threshold that folds chose."""
+    r = random.Random(2)
+    words = lambda yes: " ".join(r.choice(["tratado", "comercio", "arancel"] if yes and r.random() < 0.4 else ["receta", "cocina", "sol", "mar"]) for _ in range(12))
+    rows = [(i, words(i % 4 == 0), i % 4 == 0) for i in range(400)] + [(900, None, False), (901, "", False)]
+    df = spark.createDataFrame(rows, "id bigint, text string, expected boolean")
+    train, test = df.where("id % 5 <> 0"), df.where("id % 5 = 0")
+    path = str(tmp_path / "model")
+    learning.fit_pipeline(train).write().save(path)
+    scores = {x.model: x for x in evaluation.prf1(evaluation.confusion(learning.predict_pipeline(path, test).unionByName(learning.predict(train, test)))).collect()}
+    assert scores["pipeline"].f1 > 0.9 and set(scores) == {"pipeline", "learned"}
+    probabilities = [(0.9, True), (0.8, False), (0.7, True), (0.2, False), (0.1, True)]
+    best = learning.best_threshold(spark.createDataFrame(probabilities, "probability double, expected boolean"))
+
+    def f1(t):
+        said = [e for p, e in probabilities if p >= t]
+        return 2 * sum(said) / (len(said) + 3)
+
+    assert f1(best) == max(f1(k / 100) for k in range(100))
+
+
 def test_evaluation(spark):
     p = spark.createDataFrame([("m", True, True, False), ("m", True, False, False), ("m", False, True, True), ("z", False, False, False)], "model string, predicted boolean, expected boolean, error boolean")
     rows = {r.model: r for r in evaluation.prf1(evaluation.confusion(p)).collect()}

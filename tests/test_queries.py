@@ -13,6 +13,8 @@ SF = "/root/testdata/sf0.001"
 CHOSEN = [
     "cross_coverage", "region_ranking", "audit_counts", "digest_input", "resolve_citations", "strip_unknown_links", "evidence_bundle",
     "fidelity_counts", "feed_parse", "provider_cascade", "gazetteer_join", "same_event_groups", "optin_lifecycle", "token_bucket", "budget_gate",
+    "gazetteer_join_large", "gazetteer_yaml", "outlet_yaml", "optin_busy", "score_cascade", "version_intervals", "edition_as_of", "bucket_refills",
+    "bucket_sweep_stream", "feed_landing", "edition_window", "signup_cap",
 ]
 
 

@@ -7,6 +7,7 @@ from newslens.operators import admission, subscribers, transitions
 from newslens.streaming import admission as admission_stream
 from newslens.streaming import feeds as feed_stream
 from newslens.streaming import subscribers as subscriber_stream
+from newslens.streaming.landing import Ingest, landing
 from newslens.streaming.sources import drain, landed
 
 START = datetime.datetime(2026, 1, 1)
@@ -209,3 +210,75 @@ def test_feed_stream_drops_repeats_and_old(spark, tmp_path):
         spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "p"))
     stream = feed_stream.feed_stream(landed(spark, str(tmp_path / "p"), schema, files_per_batch=1), F.lit("2026-01-01 01:00:00").cast("timestamp_ntz"))
     assert sorted(r.title for r in drain(stream, "t").collect()) == ["a", "c"]
+
+
+def plain_refills(rows, rate, until):
+    """(client, tokens, last, refilled) of (client, us) in order, by one bucket per client."""
+    buckets, out = {}, []
+
+    def full(client, tokens, last, before):
+        refilled = last + -(-(rate.full - tokens) // rate.count)
+        if refilled <= before:
+            out.append((client, tokens, last, refilled))
+
+    for client, us in rows:
+        tokens, last = buckets.get(client, (rate.full, us))
+        if client in buckets:
+            full(client, tokens, last, us)
+        tokens = min(rate.full, tokens + (us - last) * rate.count)
+        buckets[client] = (tokens - rate.one if tokens >= rate.one else tokens, us)
+    for client, (tokens, last) in buckets.items():
+        full(client, tokens, last, until)
+    return sorted(out)
+
+
+def test_sweeps_of_a_stream_equal_the_batch(spark, tmp_path):
+    """However the requests fall into batches, a full bucket is emitted once; the last ones by timers."""
+    r, t, rows = random.Random(3), 0, []
+    for _ in range(240):
+        t += r.choice([0, 1, 2, 400, 9000])
+        rows.append((r.choice("pqrs"), t))
+    rows.append(("z", t + 30_000))
+    rate, base = admission.Rate(2, 3600, 3), 1_767_225_600_000_000
+    df = requests(spark, rows)
+    until = base + (t + 30_000 - 3600) * 10**6
+    want = plain_refills([(c, base + s * 10**6) for c, s in rows], rate, until)
+    assert len(want) > 20 and "z" not in {w[0] for w in want}
+    got = admission.refills(admission.admit(df, rate), rate, F.lit(until))
+    assert sorted(map(tuple, got.collect())) == want
+    for parts in (1, 5):
+        folder = tmp_path / f"s{parts}"
+        files(spark, df, folder, parts)
+        out = drain(admission_stream.sweep_stream(landed(spark, str(folder), df.schema, files_per_batch=1), rate), "sweeps")
+        assert sorted(map(tuple, out.collect())) == want
+
+
+def test_landing_folder_restarts_and_reports_every_row(spark, tmp_path):
+    """Three runs over one checkpoint: files are read once, late and repeated headlines are told, and a batch that runs again changes nothing."""
+    item = lambda t, d, link=None: f"<item><title>{t}</title><link>{'' if link == '' else f'https://e.org/{t}'}</link><pubDate>{d}</pubDate></item>"
+    body = lambda *items: bytearray(f"<rss><channel>{''.join(items)}</channel></rss>".encode())
+    day = lambda n: f"{'Thu Fri Sat Sun Mon Tue Wed'.split()[(n - 1) % 7]}, {n:02} Jan 2026 00:00:00 GMT"
+    schema = "source_id string, fetched_at timestamp_ntz, body binary, rejected boolean"
+    folder, out = tmp_path / "landing", tmp_path / "out"
+    ingest = Ingest(str(out), F.lit("2026-01-21 00:00:00").cast("timestamp_ntz"), None, 20 * 24)
+    landings = [
+        [("s", body(item("a", day(2)), item("a", day(2)), item("old", "Wed, 01 Jan 2020 00:00:00 GMT"), item("b", day(3), ""), item("b", day(3), "")))],
+        [("s", body(item("a", day(2)), item("c", day(25)))), ("t", body(item("a", day(4))))],
+        [("s", body(item("d", day(3)), item("c", day(25)), item("e", day(26)))), ("u", None)],
+    ]
+    stories = []
+    for i, files_now in enumerate(landings):
+        rows = [(s, at(60 * i), b, False) for s, b in files_now]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder))
+        (folder / ".half").write_text("not there yet")
+        ingest.run(landing(spark, str(folder), schema))
+        ingest.run(landing(spark, str(folder), schema))  # nothing new has landed
+        stories.append(sorted((r.source_id, r.title, r.outcome, r.batch) for r in ingest.rows(spark).collect()))
+    assert stories[0] == [("s", "a", "duplicate", 0), ("s", "a", "kept", 0), ("s", "b", "duplicate", 0), ("s", "b", "kept", 0), ("s", "old", "stale", 0)]
+    assert [x for x in stories[1] if x[3] == 1] == [("s", "a", "duplicate", 1), ("s", "c", "kept", 1), ("t", "a", "kept", 1)]
+    assert [x for x in stories[2] if x[3] == 2] == [("s", "c", "duplicate", 2), ("s", "d", "late", 2), ("s", "e", "kept", 2)]
+    counts = {(r.source_id, r.outcome): r.rows for r in ingest.counts(spark).collect()}
+    assert counts == {("s", "kept"): 4, ("s", "duplicate"): 4, ("s", "stale"): 1, ("s", "late"): 1, ("t", "kept"): 1}
+    again = spark.read.schema(schema).parquet(*sorted(str(p) for p in folder.glob("*.parquet"))).where("source_id = 't' or fetched_at = timestamp_ntz'2026-01-01 00:01:00'")
+    ingest.batch(again, 1)
+    assert sorted((r.source_id, r.title, r.outcome, r.batch) for r in ingest.rows(spark).collect()) == stories[2]
