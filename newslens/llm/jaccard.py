@@ -12,10 +12,12 @@ match in their successors, each of these differs in two shingles or more, and th
 
 Equal sets are one class from the start. Classes that share a signature are compared exactly, but never all with all: each is compared with
 the centre of its group, the class of most shared signatures. Two classes of a group can only be linked past the centre if one of them, x,
-is not linked to it. Then x differs from the centre c in more than L(|x| + |c|) shingles, L = (1 - t) / (1 + t), while it differs from its
-partner y in at most L(|x| + |y|); so the differences of x and of y from c have more than (|y - c| - L(|y| - |c|)) / 2 shingles in common.
-Prefix filtering finds these pairs: differences of y that fewest such x have, one more than it may miss, meet all differences of them. In a group of
-edited copies these are shingles of their own edits, which copies of other edits don't have. Found pairs are verified too.
+is not linked to it. A difference from the centre that only one of two linked classes x and y has is a difference between them, so y misses at
+most (1 - t) / t |y| of its own in x; if y is linked to the centre, x is not, and y shares more than (|y - c| - L(|y| - |c|)) / 2 of its own, with
+L = (1 - t) / (1 + t). Of the shingles that y has more than the centre, it misses at most L |y| if x is as large as y or larger, and (1 - t) |y| if x is
+smaller; if it has more of them, one is shared. Prefix filtering finds these pairs: with added shingles before missing ones, the first difference
+that both have is among the first of each, one more than it may miss. In a group of edited copies those are shingles of their own edits, which
+copies of other edits don't have, and not those that they lost, which many have lost. Found pairs are verified too.
 Components are closed by large-star and small-star rounds until nothing changes.
 
 Null and empty texts have no shingle and no link; a text with fewer words than a shingle has its whole sequence as one. Null ids count as
@@ -31,7 +33,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newslens.llm import hashing
@@ -204,31 +206,34 @@ def with_sets(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
 
-SPOKES = "a long, b long, odd boolean, prefix int, size int, differences array<long>"
+SPOKES = "a long, b long, n int, odd boolean, as_small int, as_large int, head array<long>"
 
 
 def compared(spokes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """For pairs of a centre a and a class b: whether they are not linked, their differences, and how many of b's must be looked at."""
+    """For pairs of a centre a and a class b: its size, whether they are not linked, and the first differences of b in both roles of `past_centres`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odd, prefix, differences = [], [], []
+            sizes, odd, small, large, heads = [], [], [], [], []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 u, v = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                both = np.sort(np.concatenate([u, v]))
-                twice = both[1:] == both[:-1]
-                single = both[~(np.append(twice, False) | np.insert(twice, 0, False))]
-                shared, apart = int(np.count_nonzero(twice)), len(single)
-                odd.append(100 * shared < percent * (len(u) + len(v) - shared))
-                least = (apart * (100 + percent) - (100 - percent) * (len(v) - len(u))) // (2 * (100 + percent)) + 1
-                prefix.append(max(0, apart - least + 1))
-                differences.append(hashing.signed(single))
-            sizes = [len(d) for d in differences]
-            flat = np.concatenate(differences) if differences else np.empty(0, np.int64)
+                added, missing = v[~np.isin(v, u, assume_unique=True)], u[~np.isin(u, v, assume_unique=True)]
+                n, shared, apart = len(v), len(v) - len(added), len(added) + len(missing)
+                sizes.append(n)
+                odd.append(100 * shared < percent * (len(u) + n - shared))
+                # Differences that b may not share with a partner at most; one that is linked to the centre has partners that are not.
+                miss = (100 - percent) * n // percent
+                if not odd[-1]:
+                    miss = min(miss, apart - (apart * (100 + percent) - (100 - percent) * (n - len(u))) // (2 * (100 + percent)) - 1)
+                # The same for added shingles only, beside a partner of its size or larger, and beside a smaller one.
+                for role, most in ((small, (100 - percent) * n // (100 + percent)), (large, (100 - percent) * n // 100)):
+                    role.append(max(0, (min(miss, most) if len(added) > most else miss) + 1))
+                heads.append(hashing.signed(np.concatenate([added, missing])[: max(small[-1], large[-1])]))
+            flat = np.concatenate(heads) if heads else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("a"), batch.column("b"), pa.array(odd, pa.bool_()), pa.array(prefix, pa.int32()), pa.array(sizes, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(flat, pa.int64())),
+                    batch.column("a"), batch.column("b"), pa.array(sizes, pa.int32()), pa.array(odd, pa.bool_()), pa.array(small, pa.int32()),
+                    pa.array(large, pa.int32()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, heads)]), pa.int32()), pa.array(flat, pa.int64())),
                 ],
                 names=[x.split()[0] for x in SPOKES.split(", ")],
             )
@@ -239,24 +244,19 @@ def compared(spokes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 def past_centres(star: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of classes that may be linked although not both are linked to their centre.
 
-    One of such a pair, x, is not linked to the centre; any `prefix` differences of the other, y, have one that x has too. So those of y that no
-    other such class of the centre has are taken first, without being looked up, then those that fewest have. A difference of a centre moves as one
-    number, with the number of its row.
+    The differences of both are in one order, added shingles first and then missing ones, each by hash. The first one they share is among the first
+    of each, one more than it may miss.
     """
     opened = star.groupBy(F.col("a").alias("centre")).agg(F.max("odd").alias("odd"), F.min("b").alias("b0"), F.max("b").alias("b1"))
     known = star.join(opened.where("odd and b0 <> b1").select("centre"), F.col("a") == F.col("centre")).drop("centre")
-    known = scratch.keep("known", known.withColumn("spoke", F.monotonically_increasing_id()))
-    each = known.select("spoke", "odd", "prefix", "size", F.col("a").alias("centre"), F.explode("differences").alias("token"))
-    key = F.xxhash64("centre", "token").alias("key")
-    holders = each.where("odd").groupBy(key).agg(F.count("*").alias("n")).select(F.col("key").alias("k"), "n")
-    met = each.select("spoke", "odd", key).join(holders, F.col("key") == F.col("k")).where(F.col("n") > F.col("odd").cast("int"))
-    met = scratch.keep("met", met.select("spoke", "key", "n"))
-    own = Window.partitionBy("spoke")
-    ranked = met.withColumn("rank", F.row_number().over(own.orderBy("n", "key"))).withColumn("kept", F.count("*").over(own))
-    facts = known.select(F.col("spoke").alias("s"), "b", "prefix", "size")
-    rare = ranked.join(facts, F.col("spoke") == F.col("s")).where(F.col("rank") + F.col("size") - F.col("kept") <= F.col("prefix")).select("key", "b")
-    odd = known.where("odd").select("a", F.col("b").alias("x"), F.explode("differences").alias("token")).select(F.xxhash64("a", "token").alias("k"), "x")
-    pairs = rare.join(odd, (F.col("key") == F.col("k")) & (F.col("b") != F.col("x")))
+    known = scratch.keep("known", known)
+
+    def role(first: str) -> DataFrame:
+        rows = known.select("a", "b", "n", "odd", F.explode(F.slice("head", 1, F.col(first))).alias("token"))
+        return rows.select(F.xxhash64("a", "token").alias("key"), "b", "n", "odd")
+
+    small, large = role("as_small"), role("as_large").select(F.col("key").alias("k"), F.col("b").alias("x"), F.col("n").alias("m"), F.col("odd").alias("far"))
+    pairs = small.join(large, (F.col("key") == F.col("k")) & (F.col("b") != F.col("x")) & (F.col("n") <= F.col("m")) & (F.col("odd") | F.col("far")))
     return pairs.select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
 
 
@@ -312,7 +312,7 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     scratch.drop("counted")
     star = scratch.keep("star", compared(spokes, tokens, percent))
     more = scratch.keep("more", verified(past_centres(star, scratch), tokens, percent))
-    scratch.drop("spokes", "tokens", "met", "known")
+    scratch.drop("spokes", "tokens", "known")
     final = components(star.where("not odd").select("a", "b").union(more).union(given))
     class_root = classes.join(final, F.col("class") == F.col("node"), "left").select(F.col("same").alias("s"), F.coalesce("root", "class").alias("root"))
     return rows.join(class_root, F.col("same") == F.col("s"), "left").select("doc", "part", "n_shingles", F.coalesce("root", "doc").alias("component"))
