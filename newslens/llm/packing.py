@@ -12,6 +12,7 @@ Other columns of the input are not read.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -36,22 +37,24 @@ class Encoder:
     """Token ids (little-endian, two bytes each where the vocabulary allows, else four) of texts by the byte-level BPE of a tokenizers file.
 
     Where the file's merges are in the order of their ids, its vocabulary is run as ranks, which gives the same ids several times faster;
-    any other tokenizer is run as it is. Special tokens in a text are ordinary text.
+    any other tokenizer is run as it is, and so is any text that holds the name of an added token, which then is that token.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = id_kind(self.tokenizer.get_vocab_size())
         self.fast = None
+        names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, names)) or r"(?!)")
         split = self.tokenizer.pre_tokenizer
         if self.tokenizer.normalizer is None and isinstance(split, pre_tokenizers.ByteLevel) and split.use_regex and not split.add_prefix_space:
             self.fast = by_rank(path)
 
     def encode(self, text: str) -> bytes:
-        ids = self.fast.encode_ordinary(text) if self.fast else self.tokenizer.encode(text, add_special_tokens=False).ids
+        fast = self.fast and not self.added.search(text)
+        ids = self.fast.encode_ordinary(text) if fast else self.tokenizer.encode(text, add_special_tokens=False).ids
         return array(self.kind, ids).tobytes()
 
 
