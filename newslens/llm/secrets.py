@@ -3,9 +3,9 @@
 The guess cost of a value is the smallest sum of the costs of its parts over all ways to cut it: a word costs its rank in the dictionary
 (with capitals and look-alike letters on top), a date its day and year, a repeat its unit and count, a keyboard walk its start, length and
 turns, and anything else ten guesses per character. A dynamic program over the positions finds it. A value after a credential word, in
-front of the host of an address, or after a bearer mark is a secret if it costs 10 ** `GUESSES` guesses or more; dictionary words are the
-words that most distinct texts of the corpus itself hold, `TEXTS` at least, outside the values of credentials. So copies of a text, however
-many, make no word of what it holds, and a secret makes no word of itself.
+front of the host of an address, or after a bearer mark is a secret if it costs 10 ** `GUESSES` guesses or more, which is known early in a long
+value; dictionary words are the words that most distinct texts of the corpus itself hold, `TEXTS` at least, outside the values of credentials. So
+copies of a text, however many, make no word of what it holds, and a secret makes no word of itself.
 
 Null and empty texts have no span. Positions are code points, ends are exclusive. Repeated rows give equal results. Other columns are not read.
 """
@@ -13,16 +13,19 @@ Null and empty texts have no span. Positions are code points, ends are exclusive
 from __future__ import annotations
 
 import hashlib
+import heapq
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newslens.llm.common import documents
+from newslens.session import staged
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -42,7 +45,6 @@ TEXTS = 3
 CACHE = 400_000
 WORD = re.compile(r"[^\W\d_]{3,}")
 DATE = re.compile(r"(?:(?:19|20)\d\d[-/. ]?(?:0?[1-9]|1[0-2])[-/. ]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/. ]?(?:0?[1-9]|1[0-2])[-/. ]?(?:(?:19|20)?\d\d)|(?:19|20)\d\d)")
-REPEAT = re.compile(r"(.+?)\1+", re.S)
 # The rows of a keyboard, shifted by half a key each.
 ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 KEYS = {c: (x + y / 2, y) for y, row in enumerate(ROWS) for x, c in enumerate(row)}
@@ -57,16 +59,38 @@ def near_keys(a: str, b: str) -> bool:
     return abs(y - v) <= 1 and abs(x - u) <= 1
 
 
-def walks(value: str) -> Iterator[tuple[int, int, float]]:
-    """Longest runs of neighbouring keys or of letters in alphabetic order, three characters or more."""
-    low = value.lower()
-    for step, cost in ((near_keys, 1.0), (lambda a, b: abs(ord(a) - ord(b)) == 1, 0.3)):
-        start = 0
-        for i in range(1, len(low) + 1):
-            if i == len(low) or not step(low[i - 1], low[i]):
-                if i - start >= 3:
-                    yield start, i, math.log10(47 * (i - start)) + cost * 0.3 * (i - start)
-                start = i
+def walk(low: str, start: int, room: float) -> tuple[int, float]:
+    """End and cost of the longest run of neighbouring keys, or of letters in alphabetic order, from `start` on; not followed once it costs `room`."""
+    found = (start, math.inf)
+    for step, cost in ((near_keys, 0.3), (lambda a, b: abs(ord(a) - ord(b)) == 1, 0.09)):
+        end = start + 1
+        while end < len(low) and step(low[end - 1], low[end]) and cost * (end - start) < room:
+            end += 1
+        if end - start >= 3:
+            price = math.log10(47 * (end - start)) + cost * (end - start)
+            if (-end, price) < (-found[0], found[1]):
+                found = end, price
+    return found
+
+
+class Repeats:
+    """How often a short unit is repeated from a position on; equal stretches are found for a unit length at once, when first asked for."""
+
+    def __init__(self, value: str, longest: int):
+        self.codes = np.frombuffer(value.encode("utf-32-le"), np.uint32)
+        self.longest, self.ends = longest, {}
+
+    def at(self, start: int) -> Iterator[tuple[int, int]]:
+        """(unit length, end of the last whole unit) for each unit that comes twice or more."""
+        n = len(self.codes)
+        for unit in range(1, min(self.longest, (n - start) // 2) + 1):
+            if unit not in self.ends:
+                differ = np.flatnonzero(self.codes[unit:] != self.codes[:-unit])
+                self.ends[unit] = np.append(differ, n - unit)
+            ends = self.ends[unit]
+            same = int(ends[np.searchsorted(ends, start)]) - start
+            if same >= unit:
+                yield unit, start + unit * (1 + same // unit)
 
 
 def word_cost(word: str, ranks: dict[str, int]) -> float | None:
@@ -79,31 +103,44 @@ def word_cost(word: str, ranks: dict[str, int]) -> float | None:
     return None
 
 
-def guess_cost(value: str, ranks: dict[str, int], longest: int) -> float:
-    """Decimal logarithm of the guesses that the cheapest way to build `value` takes."""
-    n = len(value)
-    parts: dict[int, list[tuple[int, float]]] = {}
-
-    def part(start: int, end: int, cost: float) -> None:
-        parts.setdefault(end, []).append((start, max(0.0, cost)))
-
-    for m in DATE.finditer(value):
-        part(m.start(), m.end(), math.log10(365 * 120) if m.end() - m.start() > 4 else math.log10(120))
-    for m in REPEAT.finditer(value):
-        unit = m.group(1)
-        base = min(len(unit), word_cost(unit, ranks) or len(unit))
-        part(m.start(), m.end(), base + math.log10((m.end() - m.start()) // len(unit)))
-    for start, end, cost in walks(value):
-        part(start, end, cost)
-    best = [0.0] + [math.inf] * n
-    for j in range(1, n + 1):
-        best[j] = best[j - 1] + 1.0
-        for i, cost in parts.get(j, ()):
-            best[j] = min(best[j], best[i] + cost + PART * (i > 0))
-        for i in range(max(0, j - longest), j - 2):
-            if best[i] + PART < best[j] and (cost := word_cost(value[i:j], ranks)) is not None:
-                best[j] = min(best[j], best[i] + cost + PART * (i > 0))
-    return best[n]
+def guess_cost(value: str, ranks: dict[str, int], longest: int, stop: float = math.inf) -> float:
+    """Decimal logarithm of the guesses that the cheapest way to build `value` takes, or `stop` if that is less.
+
+    No part costs less than nothing, so positions that are reached for `stop` at least lead no further. Only few others are left in any value,
+    however long, from each of which a bounded number of parts is tried.
+    """
+    low, n = value.lower(), len(value)
+    low = low if len(low) == n else value
+    repeats = Repeats(value, max(longest, 12))
+    best = {0: 0.0}
+    ahead = [0]
+    while ahead:
+        i = heapq.heappop(ahead)
+        so_far = best[i]
+        if i == n:
+            return min(so_far, stop)
+
+        def part(end: int, cost: float, i: int = i, so_far: float = so_far) -> None:
+            cost = so_far + cost
+            if cost < stop and cost < best.get(end, math.inf):
+                if end not in best:
+                    heapq.heappush(ahead, end)
+                best[end] = cost
+
+        part(i + 1, 1.0)
+        joint = PART * (i > 0)
+        if m := DATE.match(value, i):
+            part(m.end(), joint + math.log10(365 * 120 if m.end() - i > 4 else 120))
+        end, cost = walk(low, i, stop - so_far)
+        if end > i:
+            part(end, joint + cost)
+        for unit, end in repeats.at(i):
+            word = word_cost(value[i : i + unit], ranks)
+            part(end, joint + min(unit, unit if word is None else word) + math.log10((end - i) // unit))
+        for end in range(i + 3, min(i + longest, n) + 1):
+            if (cost := word_cost(value[i:end], ranks)) is not None:
+                part(end, joint + max(0.0, cost))
+    return stop
 
 
 def base_spans(text: str, low: str) -> list[tuple[int, int, int]]:
@@ -124,7 +161,7 @@ def scan(text: str, ranks: dict[str, int], longest: int) -> tuple[list, list]:
     if any(h in low for h in CONTEXT_HINTS):
         for m in CONTEXT.finditer(text):
             start, end = m.span(1)
-            if not any(s <= start and end <= e for s, _, e in base) and guess_cost(m.group(1), ranks, longest) >= GUESSES:
+            if not any(s <= start and end <= e for s, _, e in base) and guess_cost(m.group(1), ranks, longest, GUESSES) >= GUESSES:
                 more.append((start, 3, end))
     return base, sorted(base + more)
 
@@ -167,7 +204,23 @@ def common_words(docs: DataFrame, size: int = DICTIONARY, texts: int = TEXTS) ->
 
     distinct = documents(docs).select("text").distinct()
     counts = distinct.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= texts)
-    return {r["word"]: i + 1 for i, r in enumerate(counts.orderBy(F.desc("n"), "word").limit(size).collect())}
+    return most_frequent(staged(counts), size)
+
+
+def most_frequent(counts: DataFrame, size: int) -> dict[str, int]:
+    """Rank of the first `size` words by count, then name.
+
+    A histogram of the counts' logarithms, which has a bounded number of rows, tells the least count that matters; so only words from that step
+    on are ordered, which one task writes, and `size` of them at most reach the driver, however many tasks count.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    missing, least = size, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):
+        missing, least = missing - r["count"], r["step"]
+        if missing <= 0:
+            break
+    first = staged(counts.where(step >= least).orderBy(F.desc("n"), "word").limit(size))
+    return {r["word"]: i + 1 for i, r in enumerate(sorted(first.collect(), key=lambda r: (-r["n"], r["word"].encode())))}
 
 
 RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
