@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import math
 import random
 import sys
-import time
 from pathlib import Path
 
-import pytest
-
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 import cases  # noqa: E402
 
@@ -30,129 +26,3 @@ def test_copies_of_a_secret_make_no_word(spark):
 def test_words_are_counted_over_distinct_texts(spark):
     rows = [(i, "copied words") for i in range(9)] + [(20 + i, f"common thing {i} secret=zzzzzzzz") for i in range(3)]
     assert secrets.common_words(cases.frame(spark, rows)) == {"common": 1, "thing": 2}
-
-
-def plain_cost(value, words, longest):
-    """The cheapest way to build a value, by every part from every position."""
-    n, low = len(value), value.lower()
-    row = {c: (x + y / 2, y) for y, keys in enumerate(["1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./"]) for x, c in enumerate(keys)}
-    best = [0.0] + [math.inf] * n
-    for i in range(n):
-        parts = [(i + 1, 1.0, False)]
-        for j in range(i + 3, n + 1):
-            cost = secrets.word_cost(value[i:j], words)
-            parts += [(j, cost, True)] if cost is not None else []
-        if m := secrets.DATE.match(value, i):
-            parts.append((m.end(), math.log10(43_800) if m.end() - i > 4 else math.log10(120), True))
-        for unit in range(1, max(longest, 12) + 1):
-            times = 1
-            while value[i + times * unit : i + (times + 1) * unit] == value[i : i + unit] and i + (times + 1) * unit <= n:
-                times += 1
-            if times > 1:
-                word = secrets.word_cost(value[i : i + unit], words)
-                parts.append((i + times * unit, min(unit, unit if word is None else word) + math.log10(times), True))
-        walked = []
-        for kind, turn in (("keys", 0.3), ("letters", 0.09)):
-            j = i + 1
-            while j < n:
-                a, b = low[j - 1], low[j]
-                if kind == "letters" and abs(ord(a) - ord(b)) != 1:
-                    break
-                if kind == "keys" and not (a != b and a in row and b in row and abs(row[a][0] - row[b][0]) <= 1 and abs(row[a][1] - row[b][1]) <= 1):
-                    break
-                j += 1
-            if j - i >= 3:
-                walked.append((-j, math.log10(47 * (j - i)) + turn * (j - i)))
-        parts += [(-end, cost, True) for end, cost in sorted(walked)[:1]]
-        for j, cost, joint in parts:
-            best[j] = min(best[j], best[i] + max(0.0, cost) + (math.log10(2) if joint and i else 0.0))
-    return best[n]
-
-
-def test_guess_cost_against_every_cut():
-    words = {"horse": 40, "staple": 70, "car": 3, "cart": 90, "monkey": 2, "abc": 9}
-    rng = random.Random(3)
-    pieces = ["a", "b", "ab", "horse", "Car", "CART", "qwerty", "1999", "12-05-1987", "x9", "!", "zzz", "abc", "m0nkey", "$", "Q", "hgf", "é"]
-    for _ in range(1500):
-        value = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 7)))
-        want = plain_cost(value, words, 6)
-        assert secrets.guess_cost(value, words, 6) == pytest.approx(want), value
-        assert secrets.guess_cost(value, words, 6, 8.0) == pytest.approx(min(want, 8.0)), value
-
-
-def test_long_values_take_no_longer(spark):
-    """A megabyte after a credential word, of letters, repeats, words and keyboard walks: decided exactly, in time that hardly grows."""
-    rng = random.Random(5)
-    noise = "".join(rng.choice("abcdefghijkXYZ0123456789") for _ in range(1_000_000))
-    values = {1: noise, 2: "x" * 1_000_000, 3: "ab" * 500_000, 4: "horse" * 200_000, 5: "qwerty" * 150_000, 6: "sasasa" * 100_000 + "d"}
-    words = {"horse": 1}
-    began = time.time()
-    costs = {i: secrets.guess_cost(v, words, 5, secrets.GUESSES) for i, v in values.items()}
-    assert time.time() - began < 3
-    assert {i for i, c in costs.items() if c >= secrets.GUESSES} == {1, 5, 6}
-    got = {r.doc_id: r.n_guess for r in secrets.scans(cases.frame(spark, [(i, f"pwd is {v} x") for i, v in values.items()]), words).collect()}
-    assert got == {i: int(i in (1, 5, 6)) for i in values}
-
-
-def plain_scan(text, ranks, longest):
-    """Spans by a walk from each position: kinds are sought one by one, values read character by character."""
-    import string
-
-    value = set(string.ascii_letters + string.digits + "+/_.=-")
-    out = []
-    i = 0
-    while i < len(text):  # assign
-        names = [w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if text[i : i + len(w)].isascii() and text[i : i + len(w)].lower() == w]
-        if names:
-            j = i + len(names[0])
-            j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
-            while text[j : j + 1] == " ":
-                j += 1
-            if text[j : j + 1] in (":", "=") and text[j : j + 1]:
-                j += 1
-                while text[j : j + 1] == " ":
-                    j += 1
-                j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
-                k = j
-                while k < len(text) and text[k] in value:
-                    k += 1
-                if k > j:
-                    out += [(i, 0, k)] if k - j >= 6 else []
-                    i = k
-                    continue
-        i += 1
-    for kind, head, letters, least in ((1, "AKIA", string.ascii_uppercase + string.digits, 20), (2, "", "0123456789abcdef", 24)):
-        i = 0
-        while i < len(text):
-            j = i + len(head)
-            while text[i:].startswith(head) and j < len(text) and text[j] in letters:
-                j += 1
-            if text[i : i + len(head)] == head and j > i + len(head):
-                out += [(i, kind, j)] if j - i >= least else []
-                i = j
-            else:
-                i += 1
-    return sorted(out)
-
-
-def test_base_spans_against_a_plain_scanner(spark):
-    rng = random.Random(14)
-    pieces = ["password", "Secret", "token", "api_key", "APIKEY", "passwd", ":", "=", " ", "'", '"', "abc123", "AKIA", "ABCDEFGH1234", "deadbeef", "0123456789ab", "x", "é", "ſ", "K"]
-    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randint(0, 16)))) for i in range(700)]
-    rows += [(1000 + i, t) for i, (_, t) in enumerate(cases.odd_texts())]
-    got = {r.doc_id: r for r in secrets.scans(cases.frame(spark, rows), {}).collect()}
-    for i, text in rows:
-        want = plain_scan(text or "", {}, 0)
-        base = [(int(s.split(":")[1]), secrets.KINDS.index(s.split(":")[0]), int(s.split(":")[2])) for s in got[i].spans.split(",") if s and not s.startswith("guess")]
-        assert base == want, text
-        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == n for _, k, _ in want) for n in range(3))
-
-
-def test_frequent_words_by_histogram(spark):
-    rng = random.Random(8)
-    rows = [(f"w{i:03}", max(3, int(1000 / (i + 1)) + rng.randint(0, 2))) for i in range(300)]
-    counts = spark.createDataFrame(rows, "word string, n long").repartition(5)
-    for size in (1, 7, 60, 299, 300, 1000):
-        want = {w: k + 1 for k, (w, _) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0]))[:size])}
-        assert secrets.most_frequent(counts, size) == want
-    assert secrets.most_frequent(counts.limit(0), 5) == {}
