@@ -8,14 +8,17 @@ is the same however often a subscriber's state changes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newslens.functions.text import epoch_us
+from newslens.operators.folds import fold_groups
 from newslens.operators.numbering import sliced_row_number
-from newslens.operators.transitions import CONFIRM, FIELDS, PURGE, SUBSCRIBE, UNSUBSCRIBE, Row, Rules, Transfer, composed, replay
+from newslens.operators.transitions import CONFIRM, FIELDS, PURGE, SUBSCRIBE, UNSUBSCRIBE, Row, Rules, Transfer, advance, composed
 from newslens.session import staged
 
 SMALL_SUBSCRIBER = 2048
@@ -91,74 +94,68 @@ def _transfer_row(t: Transfer) -> list[list[int]]:
     return [t.rows[f].tolist() for f in FIELDS]
 
 
-def _transfers(frame: pd.DataFrame) -> list[Transfer]:
-    return [Transfer({f: np.array(getattr(r, f), np.int64) for f in FIELDS}) for r in frame.itertuples()]
+def _transfer(lists: tuple) -> Transfer:
+    return Transfer({f: np.array(x, np.int64) for f, x in zip(FIELDS, lists, strict=True)})
 
 
 def _shown(row: Row | None) -> list:
     return [row is not None, *(row or (None, None, None))]
 
 
-def _row(frame: pd.DataFrame) -> Row | None:
-    """The state in the first row of a frame."""
-    first = frame.iloc[0]
-    return tuple(None if pd.isna(first[f]) else int(first[f]) for f in _ROW) if first["present"] else None
-
+def _row(shown: tuple) -> Row | None:
+    return tuple(shown[1:]) if shown[0] else None
 
-def _table(rows: list[list], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names, dtype=object)
 
-
-def _walk(frame: pd.DataFrame, order: str, row: Row | None) -> pd.DataFrame:
-    """The state before each of the runs of a frame."""
-    frame, out = frame.sort_values(order), []
-    for key, transfer in zip(frame[["subscriber", order]].itertuples(index=False), _transfers(frame), strict=True):
-        out.append([*key, *_shown(row)])
-        row = transfer.apply(row)
-    return _table(out, ["subscriber", order, "present", *_ROW])
+def _walk(rows: Iterator[tuple], row: Row | None) -> Iterator[tuple]:
+    """The state before each of the runs (subscriber, order, transfer, ...)."""
+    for subscriber, order, *lists in rows:
+        yield (subscriber, order, *_shown(row))
+        row = _transfer(lists[: len(FIELDS)]).apply(row)
 
 
 def _fold_large(events: DataFrame, rules: Rules, chunk_events: int, group_chunks: int) -> DataFrame:
     subscriber = f"subscriber {events.schema['subscriber'].dataType.simpleString()}"
     log = staged(events)
     numbered = sliced_row_number(log, ["subscriber"], [("event_id", True)], "_n")
-    log = staged(numbered.withColumn("chunk", F.expr(f"(_n - 1) div {chunk_events}")).drop("_n"))
-
-    def reduce(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("event_id")
-        transfer = Transfer.of(frame["us"].tolist(), frame["action"].tolist(), rules)
-        return _table([[frame["subscriber"].iloc[0], frame["chunk"].iloc[0], *_transfer_row(transfer)]], ["subscriber", "chunk", *FIELDS])
-
-    def compose(frame: pd.DataFrame) -> pd.DataFrame:
-        whole = composed(_transfers(frame.sort_values("chunk")))
-        return _table([[frame["subscriber"].iloc[0], frame["part"].iloc[0], *_transfer_row(whole)]], ["subscriber", "part", *FIELDS])
-
-    def replayed(frame: pd.DataFrame) -> pd.DataFrame:
-        row = _row(frame)
-        frame = frame.sort_values("event_id")
-        done = replay(row, frame["us"].tolist(), frame["action"].tolist(), rules)
-        keys = frame[["subscriber", "event_id", "us", "action"]].itertuples(index=False)
-        return _table([[*k, outcome, *_shown(after)] for k, (outcome, after) in zip(keys, done, strict=True)], [*names, *_STATE])
-
-    names = ["subscriber", "event_id", "us", "action", "outcome"]
-    chunks = log.groupBy("subscriber", "chunk").applyInPandas(reduce, f"{subscriber}, chunk bigint, {_TRANSFER}")
-    chunks = staged(chunks.withColumn("part", F.expr(f"chunk div {group_chunks}")))
-    parts = staged(chunks.groupBy("subscriber", "part").applyInPandas(compose, f"{subscriber}, part bigint, {_TRANSFER}"))
-    before_part = parts.groupBy("subscriber").applyInPandas(lambda f: _walk(f, "part", None), f"{subscriber}, part bigint, {_BEFORE}")
-    before_part = before_part.withColumnsRenamed({f: f"_{f}" for f in _STATE})
-
-    def inside(frame: pd.DataFrame) -> pd.DataFrame:
-        return _walk(frame, "chunk", _row(frame[[f"_{f}" for f in _STATE]].rename(columns=lambda c: c[1:])))
-
-    before_chunk = (
-        chunks.join(before_part, ["subscriber", "part"]).groupBy("subscriber", "part")
-        .applyInPandas(inside, f"{subscriber}, chunk bigint, {_BEFORE}")
-    )
-    out = (
-        log.join(staged(before_chunk), ["subscriber", "chunk"]).groupBy("subscriber", "chunk")
-        .applyInPandas(replayed, f"{subscriber}, event_id bigint, us bigint, action string, outcome string, {_BEFORE}")
+    chunk = F.expr(f"(_n - 1) div {chunk_events}").alias("chunk")
+    log = staged(numbered.select("subscriber", chunk, "event_id", "us", "action"))
+
+    def reduce(rows: Iterator[tuple]) -> Iterator[tuple]:
+        key, us, actions = None, [], []
+        for key, n, _, t, action in rows:
+            us.append(t)
+            actions.append(action)
+        yield (key, n, *_transfer_row(Transfer.of(us, actions, rules)))
+
+    def compose(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held = list(rows)
+        yield (*held[0][:2], *_transfer_row(composed([_transfer(r[3:]) for r in held])))
+
+    def inside(rows: Iterator[tuple]) -> Iterator[tuple]:
+        first = next(rows)
+        yield from _walk((r[:2] + r[3:] for r in chain([first], rows)), _row(first[-4:]))
+
+    def replayed(rows: Iterator[tuple]) -> Iterator[tuple]:
+        row = _row(next(rows)[5:])
+        for key, _, event_id, us, action, *_ in rows:
+            row, outcome = advance(row, action, us, rules)
+            yield (key, event_id, us, action, outcome, *_shown(row))
+
+    chunks = staged(fold_groups(log, ["subscriber", "chunk"], ["event_id"], reduce, f"{subscriber}, chunk bigint, {_TRANSFER}"))
+    chunks = chunks.select("subscriber", "chunk", F.expr(f"chunk div {group_chunks}").alias("part"), *FIELDS)
+    parted = chunks.select("subscriber", "part", "chunk", *FIELDS)
+    parts = fold_groups(parted, ["subscriber", "part"], ["chunk"], compose, f"{subscriber}, part bigint, {_TRANSFER}")
+    before_part = fold_groups(parts, ["subscriber"], ["part"], lambda rows: _walk(rows, None), f"{subscriber}, part bigint, {_BEFORE}")
+    met = chunks.join(before_part.withColumnsRenamed({f: f"_{f}" for f in _STATE}), ["subscriber", "part"])
+    met = met.select("subscriber", "chunk", "part", *FIELDS, *[f"_{f}" for f in _STATE])
+    before_chunk = fold_groups(met, ["subscriber", "part"], ["chunk"], inside, f"{subscriber}, chunk bigint, {_BEFORE}")
+    # The state before a chunk comes as the first of its rows; `present` is null in those of events.
+    started = log.unionByName(before_chunk, allowMissingColumns=True).select("subscriber", "chunk", "event_id", "us", "action", *_STATE)
+    out = fold_groups(
+        started, ["subscriber", "chunk"], [F.col("present").isNull(), "event_id"], replayed,
+        f"{subscriber}, event_id bigint, us bigint, action string, outcome string, {_BEFORE}",
     )
-    return out.select(*names, _struct({f: F.col(f) for f in _STATE}).alias("state"))
+    return out.select("subscriber", "event_id", "us", "action", "outcome", _struct({f: F.col(f) for f in _STATE}).alias("state"))
 
 
 def optin_lifecycle(

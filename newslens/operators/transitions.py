@@ -180,12 +180,3 @@ def composed(transfers: list[Transfer]) -> Transfer:
     while len(level) > 1:
         level = [level[i].then(level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
     return level[0]
-
-
-def replay(row: Row | None, us: list[int], actions: list[str], rules: Rules) -> list[tuple[str, Row | None]]:
-    """Outcome and state after each event."""
-    out = []
-    for t, a in zip(us, actions, strict=True):
-        row, outcome = advance(row, a, t, rules)
-        out.append((outcome, row))
-    return out

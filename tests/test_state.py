@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from newslens.operators import admission, subscribers, transitions
+from newslens.operators import admission, folds, subscribers, transitions
 from newslens.streaming import admission as admission_stream
 from newslens.streaming import feeds as feed_stream
 from newslens.streaming import subscribers as subscriber_stream
@@ -77,6 +77,23 @@ def test_requests_without_a_time_do_not_depend_on_chunks(spark):
         assert [(x.admitted, x.tokens) for x in got] == want
 
 
+def test_groups_are_folded_as_one_stream(spark):
+    rows = [(None if i % 7 == 0 else f"k{i % 7}", i) for i in range(120_000)] + [(f"one{i}", i) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "k string, n bigint")
+
+    def ends(group):
+        first = last = next(group)
+        total = 1
+        for last in group:
+            total += 1
+            assert last[1] > first[1]
+        yield (first[0], first[1], last[1], total)
+
+    got = folds.fold_groups(df, ["k"], ["n"], ends, "k string, lo bigint, hi bigint, total bigint").collect()
+    want = df.groupBy("k").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count("*").alias("total")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str) and len(got) == 30_007
+
+
 def test_transfer_function_is_exact():
     r = random.Random(2)
     rate = admission.Rate(2, 5, 4)
