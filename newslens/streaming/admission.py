@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newslens.functions.text import epoch_us
 from newslens.operators.admission import Rate, refilled_at, spend
+from newslens.streaming.batches import in_order
 
 OUT = "client string, event_id bigint, us bigint, admitted boolean, tokens bigint"
 SWEPT = "client string, tokens bigint, last_us bigint, refilled_us bigint"
@@ -28,8 +29,7 @@ def admit_stream(requests: DataFrame, rate: Rate, delay: str = "1 hour") -> Data
         if state.hasTimedOut:
             state.remove()
             return
-        batch = pd.concat(list(frames), ignore_index=True).sort_values("event_id")
-        us = batch["us"].tolist()
+        numbers, us = in_order(frames, ["event_id", "us"])
         held, last = state.get if state.exists else (rate.full, us[0])
         admitted, tokens, held = spend(us, held, last, rate)
         refilled_ms = (us[-1] + refill_us) // 1000
@@ -38,7 +38,7 @@ def admit_stream(requests: DataFrame, rate: Rate, delay: str = "1 hour") -> Data
             state.setTimeoutTimestamp(refilled_ms)
         elif state.exists:
             state.remove()
-        yield batch[["client", "event_id", "us"]].assign(admitted=admitted, tokens=tokens)
+        yield pd.DataFrame({"client": key[0], "event_id": numbers, "us": us, "admitted": admitted, "tokens": tokens})
 
     timed = requests.withColumn("at", F.timestamp_micros(epoch_us(F.col("ts")))).withWatermark("at", delay)
     keyed = timed.select("client", "event_id", "at", epoch_us(F.col("ts")).alias("us"))
@@ -59,8 +59,7 @@ def sweep_stream(requests: DataFrame, rate: Rate, delay: str = "1 hour") -> Data
             rows.append((key[0], tokens, last, refilled_at(tokens, last, rate)))
 
         if not state.hasTimedOut:
-            batch = pd.concat(list(frames), ignore_index=True).sort_values("event_id")
-            for t in batch["us"].tolist():
+            for t in in_order(frames, ["us"])[0]:
                 if bucket and t >= refilled_at(*bucket, rate):
                     full(*bucket)
                 held, last = bucket or (rate.full, t)
