@@ -25,6 +25,8 @@ KINDS = ("countries", "companies", "keywords")
 FEW_TERMS = 32
 #: Bytes of terms in one automaton. A dictionary is measured first and cut into as many shards as it needs.
 SHARD_BYTES = 1 << 25
+#: Passes over the texts until shards are full; smaller shards than these passes need would make the work grow with texts times terms.
+MOST_PASSES = 8
 
 
 def matched(lowered: Column, terms: list[str]) -> Column:
@@ -76,13 +78,15 @@ def gazetteer_join(notes: DataFrame, dictionary: DataFrame, key: str, text: Colu
     """(key, kind, term) for every dictionary term that occurs in a text.
 
     The dictionary (kind, term) is written out and measured. Each shard of it, by a hash of the lower-cased term, goes to the executors as a
-    broadcast of at most about `shard_bytes`, and every text is read once for each shard; texts are not shuffled. A dictionary that fits one
+    broadcast of about `shard_bytes`, and every text is read once for each shard; texts are not shuffled. A dictionary of more than MOST_PASSES
+    such shards gets larger ones, up to SHARD_BYTES, so that the passes do not grow with it before. A dictionary that fits one
     shard, as any list kept by hand does, costs one pass. Null and empty terms are in no text, null texts hold none; a repeated dictionary row
     repeats its rows.
     """
     needles = staged(dictionary.select("kind", "term", lower_simple(F.col("term")).alias("needle")).where(F.col("needle") != ""))
     size = needles.agg(F.sum(F.octet_length("needle") + F.octet_length("term"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
+    held = max(shard_bytes, min(SHARD_BYTES, -(-size // MOST_PASSES)))
+    shards = max(1, -(-size // held))
     texts = notes.select(key, lower_simple(text).alias("_text"))
     if shards > 1:
         texts = staged(texts)

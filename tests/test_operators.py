@@ -119,6 +119,14 @@ def test_gazetteer_join_matches_contains(spark):
     assert tagging.gazetteer_join(notes, terms.limit(0), "k", F.col("t")).count() == 0
 
 
+def test_gazetteer_join_reads_texts_in_a_bounded_number_of_passes(spark):
+    terms = spark.createDataFrame([("x", f"word{i} ") for i in range(300)], "kind string, term string")
+    notes = spark.createDataFrame([(1, "word7 word70 word299 "), (2, "word300 ")], "k int, t string")
+    got = tagging.gazetteer_join(notes, terms, "k", F.col("t"), 16)
+    assert sorted(map(tuple, got.collect())) == [(1, "x", "word299 "), (1, "x", "word7 "), (1, "x", "word70 ")]
+    assert got._jdf.queryExecution().analyzed().toString().count("MapInArrow") <= tagging.MOST_PASSES
+
+
 def note(seq, source, country, ownership="privado", companies=(), countries=(), relation="trade", title="t", snippet=""):
     return (seq, DAY, source, source.upper(), country, "europe", ownership, list(companies), list(countries), relation, title, snippet)
 
