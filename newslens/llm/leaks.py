@@ -8,7 +8,7 @@ item (Cauchy-Schwarz), so it is dropped without loss. All others are compared wi
 whole TF-IDF vectors, over lists of the items that hold each word; so no such pair is lost, however many items there are. Pairs that are
 near only in a latent space are taken as well. A randomised SVD finds it: tasks multiply their rows with a random matrix, add up the
 products per block of terms, and the small factor is orthonormalised; two such passes and one for the Gram matrix suffice. The fit takes
-`FIT_ROWS` passages at most, chosen by a hash, and the items with the same total weight, so that both sides of the search shape the space;
+all passages that can reach the cosine, and the items with the same total weight, so that both sides of the search shape the space;
 latent vectors are compared by their directions. Frequent words beside rare ones make a small part of a passage's length, so `RUN` words in
 a row that an item has too make a pair as well, whatever they weigh; items of fewer words have the cosine only. Each pair is checked in the
 words of the whole item, in surroundings of its own length: an item is leaked if its longest common subsequence with the passage and its
@@ -32,8 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newslens.llm.common import NO_ID, blocks, document, documents, fresh
-from newslens.session import staged
+from newslens.llm.common import NO_ID, Scratch, blocks, document, documents, fresh
 
 WORD = re.compile(r"\w+")
 STEP = 16
@@ -45,9 +44,8 @@ FEATURES = 1 << 14
 TERMS_PER_BLOCK = 512
 #: Words in a row that an item and a passage share make them a pair whatever the words weigh.
 RUN = 3
-#: Passages, chosen by a hash, on which the latent space is fitted, and how many times as many are read for it; all passages are searched.
-FIT_ROWS = 20_000
-FIT_SHARE = 8
+#: Passages whose products are formed at a time.
+FIT_ROWS = 512
 #: Size of the table that most runs of words are told apart from those of the items by, before they are looked up.
 MARK_BITS = 20
 #: Pairs of passages and item vectors that a task compares at a time.
@@ -125,31 +123,30 @@ class Items:
         self.reach = [max(2 * STEP, len(ws)) for ws in self.words]
 
 
-def frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int, int]:
-    """In how many documents each feature occurs, the number of documents, and that of passages; one vector per task is added up."""
+def frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+    """In how many documents each feature occurs, and the number of documents; one vector per task is added up."""
     known, size = items.known, items.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total, cuts = np.zeros(size, np.int64), 0, 0
+        seen, total = np.zeros(size, np.int64), 0
         names = known.keys()
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 total += 1
-                cuts += len(words) // STEP
                 found = {known[w] for w in names & set(words)}
                 seen[list(found)] += 1
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, (-1, -2)), pa.int32()), pa.array(np.append(seen[at], (total, cuts)), pa.int64())], names=["feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(seen[at], total), pa.int64())], names=["feature", "n"])
 
     rows = documents(docs).select("text").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    counts, totals = np.zeros(size), {-1: 0, -2: 0}
+    counts, total = np.zeros(size), 0
     for r in rows:
         if r["feature"] < 0:
-            totals[r["feature"]] = r["n"]
+            total = r["n"]
         else:
             counts[r["feature"]] = r["n"]
-    return counts, totals[-1], totals[-2]
+    return counts, total
 
 
 def vector(words: list[str | None], known: dict[str, int], weight: np.ndarray, rare: float) -> tuple[np.ndarray, np.ndarray]:
@@ -236,43 +233,48 @@ def reachable(found: Passages, weight: np.ndarray, rare: float, cosine: float) -
     return np.flatnonzero((inside > 0) & (inside >= cosine * cosine * total)), total
 
 
-SAMPLE = "place long, features array<int>, weights array<float>"
-
-
-def sample(docs: DataFrame, items: Items, weight: np.ndarray, rare: float, cosine: float, share: float) -> DataFrame:
-    """Passages that can reach the cosine with some item, from a share of the documents that a hash chooses."""
+def fit_rows(docs: DataFrame, items: Items, weight: np.ndarray, rare: float, cosine: float) -> DataFrame:
+    """All passages that can reach the cosine with some item: their features and weights."""
     known, size = items.known, items.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feature = Features(known, size).__getitem__
         for batch in batches:
-            texts, keys = batch.column("text").to_pylist(), batch.column("place").to_numpy()
+            texts = batch.column("text").to_pylist()
             for a, b in blocks(texts):
                 found = Passages(texts[a:b], feature)
                 chosen, total = reachable(found, weight, rare, cosine)
                 row, at, values = found.vectors(chosen, weight, total)
                 ends = np.searchsorted(row, np.arange(len(chosen) + 1)).astype(np.int32)
-                place = keys[a:b][found.doc[chosen]] ^ (found.start[chosen] - found.begins[found.doc[chosen]])
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v, t)) for v, t in ((at, pa.int32()), (values, pa.float32()))]
-                yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), *lists], names=["place", "features", "weights"])
+                yield pa.RecordBatch.from_arrays(lists, names=["features", "weights"])
 
-    keyed = documents(docs).select("text", F.xxhash64("doc", "part").alias("place"))
-    return keyed.where(F.pmod("place", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).mapInArrow(run, SAMPLE)
+    return documents(docs).select("text").mapInArrow(run, "features array<int>, weights array<float>")
 
 
 def product(rows: DataFrame, right: np.ndarray) -> np.ndarray:
     """A'(A R) for the matrix A of the passages: tasks add up blocks of terms, blocks meet, and the small sum comes back."""
     d, width = right.shape
+    small = right.astype(np.float32)
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((d, width))
         for batch in batches:
             ends = np.array(batch.column("features").offsets)
             features = np.array(batch.column("features").flatten())
-            weights = np.array(batch.column("weights").flatten()).astype(np.float64)
-            for a in range(batch.num_rows):
-                at, w = features[ends[a] - ends[0] : ends[a + 1] - ends[0]], weights[ends[a] - ends[0] : ends[a + 1] - ends[0]]
-                total[at] += w[:, None] * (w @ right[at])
+            weights = np.array(batch.column("weights").flatten())
+            for a in range(0, batch.num_rows, FIT_ROWS):
+                at = ends[a : a + FIT_ROWS + 1] - ends[0]
+                many = np.diff(at)
+                many = many[many > 0]
+                if not len(many):
+                    continue
+                feature, w = features[at[0] : at[-1]], weights[at[0] : at[-1], None]
+                rows_of = np.add.reduceat(w * small[feature], np.cumsum(many) - many)
+                order = np.argsort(feature, kind="stable")
+                first = np.flatnonzero(np.append(True, np.diff(feature[order]) > 0))
+                back = (w * np.repeat(rows_of, many, axis=0))[order]
+                total[feature[order][first]] += np.add.reduceat(back, first)
         if total.any():
             cuts = range(0, d, TERMS_PER_BLOCK)
             yield pa.RecordBatch.from_arrays(
@@ -287,7 +289,9 @@ def product(rows: DataFrame, right: np.ndarray) -> np.ndarray:
                 sums[block] = sums[block] + part if block in sums else part
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "sums"])
 
-    parts = rows.mapInArrow(multiply, "block int, sums binary").repartition("block").mapInArrow(add, "block int, sums binary").collect()
+    # One sum for each core, however many files the passages lie in.
+    few = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    parts = few.mapInArrow(multiply, "block int, sums binary").repartition("block").mapInArrow(add, "block int, sums binary").collect()
     out = np.zeros((d, width))
     for r in parts:
         at = r["block"] * TERMS_PER_BLOCK
@@ -298,7 +302,8 @@ def product(rows: DataFrame, right: np.ndarray) -> np.ndarray:
 def latent_space(rows: DataFrame, item_rows: list[tuple[np.ndarray, np.ndarray]], size: int, rank: int) -> np.ndarray:
     """Right singular vectors (features x rank) of the passages and items together, by a randomised SVD with a fixed seed."""
     width = min(size, rank + EXTRA)
-    rows = staged(rows.orderBy(F.xxhash64("place"), "place").limit(FIT_ROWS).select("features", "weights"))
+    scratch = Scratch(rows.sparkSession)
+    rows = scratch.keep("fit", rows.select("features", "weights"))
     scale = max(1, rows.count()) / len(item_rows)
 
     def both(right: np.ndarray) -> np.ndarray:
@@ -311,6 +316,7 @@ def latent_space(rows: DataFrame, item_rows: list[tuple[np.ndarray, np.ndarray]]
     for _ in range(2):
         q, _ = np.linalg.qr(both(q))
     gram = q.T @ both(q)
+    scratch.drop("fit")
     values, turn = np.linalg.eigh((gram + gram.T) / 2)
     return (q @ turn[:, np.argsort(-values)[:rank]]).astype(np.float32)
 
@@ -431,10 +437,9 @@ def leaks(
     spark: SparkSession = docs.sparkSession
     found = spark.createDataFrame([], LEAKS)
     for items in item_blocks(benchmark):
-        counts, total, cuts = frequencies(docs, items)
+        counts, total = frequencies(docs, items)
         weight, rare, item_rows = weigh(counts, total, items)
-        part = min(1.0, FIT_SHARE * FIT_ROWS / max(1, cuts))
-        space = latent_space(sample(docs, items, weight, rare, cosine, part), item_rows, items.size, rank)
+        space = latent_space(fit_rows(docs, items, weight, rare, cosine), item_rows, items.size, rank)
         search = Search(item_rows, items.size, space)
         found = found.unionByName(matches(docs, items, weight, rare, search, cosine, share, loose, answer))
     best = F.max(F.struct("share", "answer_share", "cosine", -F.col("start"))).alias("best")

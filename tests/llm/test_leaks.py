@@ -57,3 +57,27 @@ def test_long_items(spark):
             want.add((doc, i))
     assert found(spark, rows, items) == want
     assert [len(p) for p in leaks.pieces(["a"] * 40)] == [32, 24] and [len(p) for p in leaks.pieces(["a"])] == [1]
+
+
+def test_latent_space_is_fitted_on_all_passages(spark):
+    """Six words that one passage of 30,000 has each are dimensions of the space too."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    feature = F.when(F.col("id") % 5000 == 0, F.col("id") / 5000 + 1).otherwise(0).cast("int")
+    rows = spark.range(30_000).select(F.col("id").alias("place"), F.array(feature).alias("features"), F.array(F.lit(1.0).cast("float")).alias("weights"))
+    space = leaks.latent_space(rows, [(np.array([0]), np.array([1.0]))], 10, 7)
+    assert np.allclose(np.linalg.norm(space, axis=1), [1] * 7 + [0] * 3, atol=0.01)
+
+
+def test_products_of_passages(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(sorted(rng.choice(40, k, replace=False).tolist()), rng.random(k).tolist()) for k in rng.integers(0, 9, 1500).tolist()]
+    dense = np.zeros((1500, 40))
+    for i, (f, w) in enumerate(rows):
+        dense[i, f] = w
+    right = rng.standard_normal((40, 6))
+    frame = spark.createDataFrame(rows, "features array<int>, weights array<float>")
+    assert np.allclose(leaks.product(frame, right), dense.T @ (dense @ right), rtol=1e-4, atol=1e-3)
