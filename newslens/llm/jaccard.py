@@ -10,14 +10,17 @@ most, and an empty segment always does. The segment after it gets a one-deletion
 Two sets that agree in such a segment made the same allocation, so the budget H + 1 stays covered: with `a` such segments in common and no
 match in their successors, each of these differs in two shingles or more, and the sum of differences exceeds H again. Nothing is lost.
 
-Equal sets are one class from the start. Classes that share a signature are compared exactly, but never all with all: each is compared with
-the centre of its group, the class of most shared signatures. Two classes of a group can only be linked past the centre if one of them, x,
+Equal sets are one class from the start. Classes that share a signature are compared exactly, but never all with all. The centre of a
+group is its class of most shared signatures. Each class is compared with the most shared of its centres, one that is not linked to it with all of
+its centres; a group that this leaves connected is done, in the others every class is compared with the centre. Two classes of a group can only be linked past the centre if one of them, x,
 is not linked to it. A difference from the centre that only one of two linked classes x and y has is a difference between them, so y misses at
 most (1 - t) / t |y| of its own in x; if y is linked to the centre, x is not, and y shares more than (|y - c| - L(|y| - |c|)) / 2 of its own, with
 L = (1 - t) / (1 + t). Of the shingles that y has more than the centre, it misses at most L |y| if x is as large as y or larger, and (1 - t) |y| if x is
 smaller; if it has more of them, one is shared. Prefix filtering finds these pairs: with added shingles before missing ones, the first difference
 that both have is among the first of each, one more than it may miss. In a group of edited copies those are shingles of their own edits, which
-copies of other edits don't have, and not those that they lost, which many have lost. Found pairs are verified too.
+copies of other edits don't have, and not those that they lost, which many have lost. The differences before the first shared one and the numbers of
+those after it bound how alike two classes can be, so pairs that can't reach t are not formed, nor are pairs that are connected already. Found pairs
+are verified too.
 Components are closed by large-star and small-star rounds until nothing changes.
 
 Null and empty texts have no shingle and no link; a text with fewer words than a shingle has its whole sequence as one. Null ids count as
@@ -206,20 +209,23 @@ def with_sets(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
 
-SPOKES = "a long, b long, n int, odd boolean, as_small int, as_large int, head array<long>"
+SPOKES = "a long, b long, n int, odd boolean, added int, missing int, as_small int, as_large int, head array<long>"
 
 
 def compared(spokes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """For pairs of a centre a and a class b: its size, whether they are not linked, and the first differences of b in both roles of `past_centres`."""
+    """For pairs of a centre a and a class b: its size, whether they are not linked, how many shingles b has more and lacks, and the first of these
+    differences in both roles of `past_centres`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, odd, small, large, heads = [], [], [], [], []
+            sizes, odd, more, less, small, large, heads = [], [], [], [], [], [], []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 u, v = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
                 added, missing = v[~np.isin(v, u, assume_unique=True)], u[~np.isin(u, v, assume_unique=True)]
                 n, shared, apart = len(v), len(v) - len(added), len(added) + len(missing)
                 sizes.append(n)
+                more.append(len(added))
+                less.append(len(missing))
                 odd.append(100 * shared < percent * (len(u) + n - shared))
                 # Differences that b may not share with a partner at most; one that is linked to the centre has partners that are not.
                 miss = (100 - percent) * n // percent
@@ -232,8 +238,8 @@ def compared(spokes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
             flat = np.concatenate(heads) if heads else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("a"), batch.column("b"), pa.array(sizes, pa.int32()), pa.array(odd, pa.bool_()), pa.array(small, pa.int32()),
-                    pa.array(large, pa.int32()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, heads)]), pa.int32()), pa.array(flat, pa.int64())),
+                    batch.column("a"), batch.column("b"), pa.array(sizes, pa.int32()), pa.array(odd, pa.bool_()),
+                    pa.array(more, pa.int32()), pa.array(less, pa.int32()), pa.array(small, pa.int32()), pa.array(large, pa.int32()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, heads)]), pa.int32()), pa.array(flat, pa.int64())),
                 ],
                 names=[x.split()[0] for x in SPOKES.split(", ")],
             )
@@ -241,23 +247,51 @@ def compared(spokes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return with_sets(spokes, tokens).mapInArrow(run, SPOKES)
 
 
-def past_centres(star: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b) of classes that may be linked although not both are linked to their centre.
+def past_centres(star: DataFrame, near: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of classes that may be linked although not both are linked to their centre; `near` has what is connected so far.
 
     The differences of both are in one order, added shingles first and then missing ones, each by hash. The first one they share is among the first
-    of each, one more than it may miss.
+    of each, one more than it may miss. All before it in either and the surplus of the one that has more after it are differences between the two.
     """
-    opened = star.groupBy(F.col("a").alias("centre")).agg(F.max("odd").alias("odd"), F.min("b").alias("b0"), F.max("b").alias("b1"))
-    known = star.join(opened.where("odd and b0 <> b1").select("centre"), F.col("a") == F.col("centre")).drop("centre")
+    roots = near.withColumnsRenamed({"node": "_node", "root": "_root"})
+    star = star.join(roots, F.col("b") == F.col("_node"), "left").withColumn("root", F.coalesce("_root", "b")).drop("_node", "_root")
+    opened = star.groupBy(F.col("a").alias("centre")).agg(F.max("odd").alias("odd"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+    known = star.join(opened.where("odd and r0 <> r1").select("centre"), F.col("a") == F.col("centre")).drop("centre")
     known = scratch.keep("known", known)
+    fields = ["b", "root", "n", "odd", "added", "missing"]
 
     def role(first: str) -> DataFrame:
-        rows = known.select("a", "b", "n", "odd", F.explode(F.slice("head", 1, F.col(first))).alias("token"))
-        return rows.select(F.xxhash64("a", "token").alias("key"), "b", "n", "odd")
+        rows = known.select("a", *fields, F.posexplode(F.slice("head", 1, F.col(first))).alias("at", "token"))
+        return rows.select(F.xxhash64("a", "token").alias("key"), *fields, "at")
 
-    small, large = role("as_small"), role("as_large").select(F.col("key").alias("k"), F.col("b").alias("x"), F.col("n").alias("m"), F.col("odd").alias("far"))
-    pairs = small.join(large, (F.col("key") == F.col("k")) & (F.col("b") != F.col("x")) & (F.col("n") <= F.col("m")) & (F.col("odd") | F.col("far")))
-    return pairs.select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
+    small, large = role("as_small"), role("as_large").withColumnsRenamed({c: f"_{c}" for c in ["key", *fields, "at"]})
+    surplus = F.abs(F.col("added") + F.col("missing") - F.col("at") - F.col("_added") - F.col("_missing") + F.col("_at"))
+    parted = F.abs(F.col("added") - F.col("at") - F.col("_added") + F.col("_at")) + F.abs(F.col("missing") - F.col("_missing"))
+    apart = F.col("at") + F.col("_at") + F.when(F.col("at") < F.col("added"), parted).otherwise(surplus)
+    alike = apart * (100 + percent) <= (F.col("n") + F.col("_n")) * (100 - percent)
+    open_ = (F.col("root") != F.col("_root")) & (F.col("odd") | F.col("_odd"))
+    pairs = small.join(large, (F.col("key") == F.col("_key")) & (F.col("b") != F.col("_b")) & (F.col("n") <= F.col("_n")) & open_ & alike)
+    return pairs.select(F.least("b", "_b").alias("a"), F.greatest("b", "_b").alias("b")).distinct()
+
+
+def spoked(members: DataFrame) -> DataFrame:
+    """(sign, b, a, fame): the classes of each group but its centre a.
+
+    The class that shares most signatures is the centre of its groups: it is likest to the text the others were made from.
+    """
+    fame = members.groupBy("class").agg(F.sum("n").alias("fame"))
+    top = members.join(fame, "class").groupBy(F.col("sign").alias("g")).agg(F.max(F.struct("fame", -F.col("class"))).alias("top"))
+    met = members.join(top, F.col("sign") == F.col("g")).select("sign", F.col("class").alias("b"), (-F.col("top.col2")).alias("a"), "top.fame")
+    return met.where("a <> b")
+
+
+def open_groups(groups: DataFrame, near: DataFrame) -> DataFrame:
+    """The spokes (a, b) of groups that are not connected yet."""
+    roots = [near.select(F.col("node").alias(f"{c}_node"), F.col("root").alias(f"{c}_root")) for c in "ab"]
+    rooted = groups.join(roots[0], F.col("a") == F.col("a_node"), "left").join(roots[1], F.col("b") == F.col("b_node"), "left")
+    rooted = rooted.select("sign", F.coalesce("a_root", "a").alias("x"), F.coalesce("b_root", "b").alias("y"))
+    apart = rooted.groupBy(F.col("sign").alias("g")).agg(F.min(F.least("x", "y")).alias("lo"), F.max(F.greatest("x", "y")).alias("hi")).where("lo <> hi")
+    return groups.join(apart.select("g"), F.col("sign") == F.col("g")).select("a", "b").distinct()
 
 
 def counted(members: DataFrame, keys: DataFrame, scratch: Scratch) -> DataFrame:
@@ -303,17 +337,22 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     members = counted(members, keys, scratch)
     known = members.select("class", "part").distinct()
     tokens = scratch.keep("tokens", shingle_sets(docs, known, words))
-    # The class that shares most signatures is the centre of its groups: it is likest to the text the others were made from.
-    fame = members.groupBy("class").agg(F.sum("n").alias("fame"))
-    centres = members.join(fame, "class").groupBy("sign").agg(F.max(F.struct("fame", -F.col("class"))).alias("top"))
-    centres = centres.select(F.col("sign").alias("g"), (-F.col("top.col2")).alias("centre"))
-    spokes = members.join(centres, F.col("sign") == F.col("g")).where("class <> centre")
-    spokes = scratch.keep("spokes", spokes.select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct())
+    groups = scratch.keep("groups", spoked(members))
     scratch.drop("counted")
-    star = scratch.keep("star", compared(spokes, tokens, percent))
-    more = scratch.keep("more", verified(past_centres(star, scratch), tokens, percent))
-    scratch.drop("spokes", "tokens", "known")
-    final = components(star.where("not odd").select("a", "b").union(more).union(given))
+    first = groups.groupBy("b").agg(F.max(F.struct("fame", -F.col("a"))).alias("top")).select((-F.col("top.col2")).alias("a"), "b")
+    star = scratch.keep("star", compared(first, tokens, percent))
+    strays = star.where("odd").select(F.col("b").alias("stray")).distinct()
+    done = star.select("a", "b").distinct()
+    others = groups.join(strays, F.col("b") == F.col("stray")).select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+    star = star.union(scratch.keep("others", compared(others, tokens, percent)))
+    near = components(star.where("not odd").select("a", "b").union(given))
+    rest = open_groups(groups, near).join(star.select("a", "b").distinct(), ["a", "b"], "left_anti")
+    star = star.union(scratch.keep("rest", compared(rest, tokens, percent)))
+    scratch.drop("groups")
+    near = components(star.where("not odd").select("a", "b").union(given))
+    more = scratch.keep("more", verified(past_centres(star, near, percent, scratch), tokens, percent))
+    scratch.drop("tokens", "known")
+    final = components(near.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     class_root = classes.join(final, F.col("class") == F.col("node"), "left").select(F.col("same").alias("s"), F.coalesce("root", "class").alias("root"))
     return rows.join(class_root, F.col("same") == F.col("s"), "left").select("doc", "part", "n_shingles", F.coalesce("root", "doc").alias("component"))
 

@@ -159,6 +159,35 @@ def test_jaccard_components(spark, k, percent):
     assert jaccard.near_duplicates(cases.frame(spark, []), k, percent).count() == 0
 
 
+def test_jaccard_compares_a_group_of_near_copies_once(spark, monkeypatch):
+    """Copies that combine a few edits have many centres, but each needs one of them; far ones and their copies are still found."""
+    import itertools
+    import random
+
+    rng = random.Random(12)
+    base = cases.prose(rng, 300).split(" ")
+    edits = [[cases.word(rng) for _ in range(3)] for _ in range(4)]
+    rows = []
+    for n, picks in enumerate(itertools.product(range(3), repeat=4)):
+        words = list(base)
+        for place, (edit, k) in enumerate(zip(edits, picks, strict=True)):
+            words[20 + 60 * place] = edit[k]
+        rows.append((n, " ".join(words)))
+    far = " ".join([*base[:150], *cases.prose(rng, 150).split(" ")])
+    rows += [(500, far), (501, far + " end"), (502, cases.prose(rng, 300))]
+    seen = []
+    plain = jaccard.compared
+
+    def counting(spokes, *more):
+        seen.append(spokes.count())
+        return plain(spokes, *more)
+
+    monkeypatch.setattr(jaccard, "compared", counting)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(cases.frame(spark, rows), 3, 90).collect())
+    assert got == plain_components(rows, 3, 90)
+    assert sum(seen) <= 1.5 * len(rows)
+
+
 def test_signatures_meet():
     """Any two sets within the threshold have signatures of a band in common, as many as each needs."""
     import numpy as np
