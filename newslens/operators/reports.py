@@ -163,26 +163,29 @@ def claim_batches(claim_rows: DataFrame, size: int = CLAIM_BATCH) -> DataFrame:
 
 def evidence_bundle(batched: DataFrame, notes: DataFrame) -> DataFrame:
     """Verification text per batch of claims: each claim followed by the notes it cites."""
-    numbered = citation_numbers(notes)
     kind = source_kind(F.col("ownership"), F.col("ownership_note"))
-    note_line = F.concat(
-        F.lit("  Nota ["), F.col("n").cast("string"), F.lit("] — "), F.col("name"), F.lit(" ("), F.col("country"),
-        F.lit(", medio "), kind, F.lit("): "), F.col("title"), F.lit(" — "),
+    rest = F.concat(
+        F.lit("] — "), F.col("name"), F.lit(" ("), F.col("country"), F.lit(", medio "), kind, F.lit("): "), F.col("title"), F.lit(" — "),
         truncate(F.col("snippet"), EVIDENCE_SNIPPET), F.lit("\n"),
     )
-    evidence = numbered.select("edition_date", "n", note_line.alias("_note"))
-    head, tail = (F.array(F.lit(x).cast("bigint")) for x in (0, -1))
-    parts = batched.select(
-        *KEYS, "batch_no", "id", "section", "text", F.posexplode(F.concat(head, "nums", tail)).alias("_pos", "n")
-    )
+    numbered = citation_numbers(notes.select("edition_date", "seq", rest.alias("_rest")))
+    evidence = numbered.select("edition_date", "n", F.concat(F.lit("  Nota ["), F.col("n").cast("string"), "_rest").alias("_note"))
+    batch = [*KEYS, "batch_no"]
+    held = batched.where(F.col("nums").isNotNull())
+    # Numbers alone meet the notes; the texts of claims join the result once.
+    cited = held.select(*batch, "id", F.posexplode("nums").alias("_pos", "n")).join(evidence, ["edition_date", "n"], "left")
+    notes_of = cited.select(*batch, "id", (F.col("_pos") + 1).alias("_pos"), F.coalesce("_note", F.lit("")).alias("_line"))
     title = F.concat(
         F.lit("AFIRMACIÓN "), F.col("id").cast("string"), F.lit(" (sección "), F.col("section"), F.lit("):\n"), F.col("text"), F.lit("\n")
     )
-    line = F.when(F.col("_pos") == 0, title).when(F.col("n") == -1, F.lit("\n")).otherwise(F.coalesce("_note", F.lit("")))
+    ends = F.array(
+        F.struct(F.lit(0).alias("_pos"), title.alias("_line")), F.struct((F.size("nums") + 1).alias("_pos"), F.lit("\n").alias("_line"))
+    )
+    claims_of = held.select(*batch, "id", F.inline(ends))
     ordered = F.array_sort(F.collect_list(F.struct("id", "_pos", "_line")))
     return (
-        parts.join(evidence, ["edition_date", "n"], "left").withColumn("_line", line)
-        .groupBy(*KEYS, "batch_no").agg(F.array_join(F.transform(ordered, lambda x: x["_line"]), "").alias("evidence"))
+        claims_of.unionByName(notes_of)
+        .groupBy(*batch).agg(F.array_join(F.transform(ordered, lambda x: x["_line"]), "").alias("evidence"))
     )
 
 
