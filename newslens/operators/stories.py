@@ -142,7 +142,7 @@ def region_ranking(notes: DataFrame) -> DataFrame:
 
 def top_cross(notes: DataFrame, n: int = 5) -> DataFrame:
     """The n heaviest stories with several outlets in each edition: the opening of a report."""
-    shared = story_clusters(notes).where(F.col("sources") > 1)
+    shared = staged(story_clusters(notes).where(F.col("sources") > 1))  # numbering reads it several times
     return sliced_row_number(shared, [EDITION], [("weight", False), ("first_seq", True)], "cross_rank", limit=n)
 
 
