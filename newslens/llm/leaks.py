@@ -24,8 +24,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from newslens.llm.common import NO_ID, Scratch, blocks, document, documents, fresh
 
 WORD = re.compile(r"\w+")
+#: Blanks in place of Latin-1 characters that are in no word.
+BLANKS = bytes(c if WORD.fullmatch(chr(c)) else 32 for c in range(256))
 STEP = 16
 #: Passages of items per block of the benchmark, latent dimensions, extra dimensions of the search, features: these bound the model in the driver.
 ITEMS = 10_000
@@ -55,7 +57,11 @@ SHARE, LOOSE, ANSWER = 0.75, 0.6, 0.8
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    lower = (text or "").lower()
+    try:
+        return lower.encode("latin-1").translate(BLANKS).decode("latin-1").split()
+    except UnicodeEncodeError:
+        return WORD.findall(lower)
 
 
 def common_subsequence(x: list, y: list) -> int:
@@ -134,7 +140,7 @@ def frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, int]:
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
                 total += 1
-                found = {known[w] for w in names & set(words)}
+                found = {known[w] for w in names & words}
                 seen[list(found)] += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(seen[at], total), pa.int64())], names=["feature", "n"])
@@ -158,24 +164,16 @@ def vector(words: list[str | None], known: dict[str, int], weight: np.ndarray, r
     return at, values / (np.sqrt(float(values @ values) + other * rare * rare) or 1.0)
 
 
-class Features(dict):
-    """Feature of each word; of words that are not known, one more than the last feature."""
-
-    def __init__(self, known: dict[str, int], other: int):
-        super().__init__(known)
-        self.other = other
-
-    def __missing__(self, word: str) -> int:
-        return self.other
-
-
 class Passages:
-    """The passages of a block of documents: `start` and `end` in the words of all documents, `doc` their document."""
+    """The passages of a block of documents: `start` and `end` in the words of all documents, `doc` their document.
+
+    `at` is the feature of each word; of words that are not known, `other`.
+    """
 
-    def __init__(self, texts: list[str], feature: Callable[[str], int]):
+    def __init__(self, texts: list[str], known: dict[str, int], other: int):
         self.words = [words_of(t) for t in texts]
         lengths = np.fromiter(map(len, self.words), np.int64, len(texts))
-        self.at = np.fromiter(map(feature, chain.from_iterable(self.words)), np.int64, int(lengths.sum()))
+        self.at = np.fromiter(map(known.get, chain.from_iterable(self.words), repeat(other)), np.int64, int(lengths.sum()))
         self.ends = np.cumsum(lengths)
         self.begins = self.ends - lengths
         cuts = -(-lengths // STEP)
@@ -238,11 +236,10 @@ def fit_rows(docs: DataFrame, items: Items, weight: np.ndarray, rare: float, cos
     known, size = items.known, items.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        feature = Features(known, size).__getitem__
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in blocks(texts):
-                found = Passages(texts[a:b], feature)
+                found = Passages(texts[a:b], known, size)
                 chosen, total = reachable(found, weight, rare, cosine)
                 row, at, values = found.vectors(chosen, weight, total)
                 ends = np.searchsorted(row, np.arange(len(chosen) + 1)).astype(np.int32)
@@ -374,14 +371,13 @@ def matches(
     names = [x.split()[0] for x in LEAKS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        feature = Features(items.known, items.size).__getitem__
         whole = [(letters(w), len(w)) for w in items.words]
         tails = [(letters(t), len(t)) for t in (w[-max(1, len(w) // 3) :] for w in items.words)]
         for batch in batches:
             keys, parts, texts = (batch.column(c).to_pylist() for c in ("doc", "part", "text"))
             out = []
             for a, b in blocks(texts):
-                found = Passages(texts[a:b], feature)
+                found = Passages(texts[a:b], items.known, items.size)
                 chosen, total = reachable(found, weight, rare, cosine)
                 pairs: dict[tuple[int, int], float] = {}
                 for i, j, near in search.near(len(chosen), *found.vectors(chosen, weight, total), cosine):

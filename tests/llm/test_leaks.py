@@ -81,3 +81,19 @@ def test_products_of_passages(spark):
     right = rng.standard_normal((40, 6))
     frame = spark.createDataFrame(rows, "features array<int>, weights array<float>")
     assert np.allclose(leaks.product(frame, right), dense.T @ (dense @ right), rtol=1e-4, atol=1e-3)
+
+
+def test_words_are_cut_at_once(monkeypatch):
+    """Latin-1 texts don't go through the pattern; the words are those that it finds."""
+    rng = random.Random(2)
+    chars = [*map(chr, range(256)), *"\u0130\u212a\u2014\u3042\U0001f600\u0301"]
+    texts = ["".join(rng.choices(chars if n % 2 else chars[:256], k=rng.randrange(40))) for n in range(3000)]
+    for t in texts:
+        assert leaks.words_of(t) == leaks.WORD.findall(t.lower())
+    monkeypatch.setattr(leaks, "WORD", None)
+    assert leaks.words_of("\u00bfQu\u00e9 dijo \u00c9l_2,\u00a0\x85no?") == ["qu\u00e9", "dijo", "\u00e9l_2", "no"] and leaks.words_of(None) == []
+
+
+def test_words_out_of_the_benchmark_take_no_call():
+    known = {"uno": 0, "dos": 1}
+    assert leaks.Passages(["Uno tres", "", "dos"], known, 2).at.tolist() == [0, 2, 1]
