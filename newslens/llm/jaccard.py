@@ -17,8 +17,9 @@ is not linked to it. A difference from the centre that only one of two linked cl
 most (1 - t) / t |y| of its own in x; if y is linked to the centre, x is not, and y shares more than (|y - c| - L(|y| - |c|)) / 2 of its own, with
 L = (1 - t) / (1 + t). Of the shingles that y has more than the centre, it misses at most L |y| if x is as large as y or larger, and (1 - t) |y| if x is
 smaller; if it has more of them, one is shared. Prefix filtering finds these pairs: with added shingles before missing ones, the first difference
-that both have is among the first of each, one more than it may miss. In a group of edited copies those are shingles of their own edits, which
-copies of other edits don't have, and not those that they lost, which many have lost. The differences before the first shared one and the numbers of
+that both have is among the first of each, one more than it may miss. Sets are kept with the shingles that fewest classes have first, so the first added
+ones are shingles of a copy's own edits, which copies of other edits don't have: not those that many have since the centre lost them or an edit
+was copied on, and not those that a copy lost, which many have lost. The differences before the first shared one and the numbers of
 those after it bound how alike two classes can be, so pairs that can't reach t are not formed, nor are pairs that are connected already. Found pairs
 are verified too.
 Components are closed by large-star and small-star rounds until nothing changes.
@@ -180,6 +181,28 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return documents(docs).join(keys, (F.col("doc") == F.col("c")) & (F.col("part") == F.col("p")), "left_semi").mapInArrow(run, "class long, tokens binary")
 
 
+def rare_first(tokens: DataFrame) -> DataFrame:
+    """The same sets, in each the shingles that fewest sets hold first, those of equal counts by hash: one order for all. `tokens` is a written table."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("tokens")]
+            sizes = list(map(len, found))
+            owners = [pa.array(np.repeat(np.array(batch.column(c)), sizes)) for c in ("set", "class")]
+            yield pa.RecordBatch.from_arrays([*owners, pa.array(np.concatenate([*found, np.empty(0, np.int64)]))], names=["set", "class", "token"])
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.array(s.values).tobytes() for s in batch.column("tokens")]
+            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(rows, pa.binary())], names=["class", "tokens"])
+
+    shingles = tokens.withColumn("set", F.monotonically_increasing_id()).mapInArrow(each, "set long, class long, token long")
+    shared = shingles.groupBy(F.col("token").alias("t")).agg(F.count("*").alias("n")).where("n > 1")
+    ranked = shingles.join(shared, F.col("token") == F.col("t"), "left").select("set", "class", F.struct(F.coalesce("n", F.lit(1)).alias("n"), "token").alias("x"))
+    ordered = F.transform(F.array_sort(F.collect_list("x")), lambda x: x["token"])
+    return ranked.groupBy("set", "class").agg(ordered.alias("tokens")).select("class", "tokens").mapInArrow(packed, "class long, tokens binary")
+
+
 def shared_size(u: np.ndarray, v: np.ndarray) -> int:
     both = np.sort(np.concatenate([u, v]))
     return int(np.count_nonzero(both[1:] == both[:-1]))
@@ -250,7 +273,7 @@ def compared(spokes: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 def past_centres(star: DataFrame, near: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of classes that may be linked although not both are linked to their centre; `near` has what is connected so far.
 
-    The differences of both are in one order, added shingles first and then missing ones, each by hash. The first one they share is among the first
+    The differences of both are in one order, added shingles first and then missing ones, each in the order of `rare_first`. The first one they share is among the first
     of each, one more than it may miss. All before it in either and the surplus of the one that has more after it are differences between the two.
     """
     roots = near.withColumnsRenamed({"node": "_node", "root": "_root"})
@@ -336,7 +359,8 @@ def linked(docs: DataFrame, words: int, percent: int) -> DataFrame:
     scratch.drop("signs", "shared")
     members = counted(members, keys, scratch)
     known = members.select("class", "part").distinct()
-    tokens = scratch.keep("tokens", shingle_sets(docs, known, words))
+    tokens = scratch.keep("tokens", rare_first(scratch.keep("sets", shingle_sets(docs, known, words))))
+    scratch.drop("sets")
     groups = scratch.keep("groups", spoked(members))
     scratch.drop("counted")
     first = groups.groupBy("b").agg(F.max(F.struct("fame", -F.col("a"))).alias("top")).select((-F.col("top.col2")).alias("a"), "b")

@@ -188,6 +188,42 @@ def test_jaccard_compares_a_group_of_near_copies_once(spark, monkeypatch):
     assert sum(seen) <= 1.5 * len(rows)
 
 
+def test_jaccard_pairs_of_a_family_follow_own_edits(spark, monkeypatch):
+    """Copies that mix a stock of edits with their own share many edits and are rarely linked; few pairs of them are formed, and links are found."""
+    rng = random.Random(21)
+    base = cases.prose(rng, 300).split(" ")
+    stock = {place: cases.word(rng) for place in range(5, 295, 7)}
+    rows = []
+    for n in range(150):
+        words = [stock[k] if k in stock and rng.random() < 0.25 else w for k, w in enumerate(base)]
+        for k in rng.sample(range(len(base)), 12):
+            words[k] = cases.word(rng)
+        rows.append((n, " ".join(words)))
+        if n % 10 == 0:
+            words[len(base) // 2] = cases.word(rng)
+            rows.append((1000 + n, " ".join(words)))
+    seen = []
+    plain = jaccard.verified
+
+    def counting(pairs, *more):
+        seen.append(pairs.count())
+        return plain(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "verified", counting)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(cases.frame(spark, rows), 5, 80).collect())
+    assert got == plain_components(rows, 5, 80)
+    assert sum(seen) <= 2 * len(rows)
+
+
+def test_sets_hold_rare_shingles_first(spark):
+    import numpy as np
+
+    sets = {1: [-5, 2, 9], 2: [2, 7, 9], 3: [2, 9], 4: [9]}
+    rows = [(c, np.array(t, np.int64).tobytes()) for c, t in sets.items()] + [(4, np.array([9], np.int64).tobytes())]
+    got = jaccard.rare_first(spark.createDataFrame(rows, "class long, tokens binary")).collect()
+    assert sorted((r["class"], np.frombuffer(r["tokens"], np.int64).tolist()) for r in got) == [(1, [-5, 2, 9]), (2, [7, 2, 9]), (3, [2, 9]), (4, [9]), (4, [9])]
+
+
 def test_signatures_meet():
     """Any two sets within the threshold have signatures of a band in common, as many as each needs."""
     import numpy as np
