@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newslens.operators import audit, coverage, evaluation, events, headlines, learning, scoring, signups, stories, tagging
 from newslens.operators.components import components
 from newslens.operators.numbering import cut_points, reached, sliced_row_number, sliced_running_sum
+from newslens.session import staged
 
 DAY = datetime.date(2026, 1, 1)
 
@@ -223,6 +224,23 @@ def test_same_event_groups_against_all_pairs(spark):
     assert events.same_event_groups(titles.limit(0)).count() == 0
 
 
+def test_titles_of_a_large_bucket_meet_by_further_shared_words(spark):
+    """Titles with one rare word in common and nothing else: their bucket is large, and no pair of them is formed."""
+    r = random.Random(7)
+    rows = [(DAY, i, " ".join(["el", *(f"q{r.randrange(400)}" for _ in range(r.randint(1, 5)))])) for i in range(150)]
+    rows += [(DAY, 500 + i, f"dos palabras que todos llevan {i}") for i in range(30)] + [(DAY, 600 + i, f"raro {i} {i + 1000}") for i in range(90)]
+    titles = spark.createDataFrame(rows, "edition_date date, seq bigint, title string").repartition(4)
+    for likeness, large, deepest in ((0.5, 1, 2), (1 / 3, 2, 4)):
+        assert {x.seq: x.event_seq for x in events.same_event_groups(titles, likeness, large, deepest).collect()} == plain_events(rows, likeness)
+    words = spark.createDataFrame([(DAY, i, ["a", f"u{i}", f"v{i}", f"w{i}"]) for i in range(100)], "edition_date date, label bigint, w array<string>")
+    ranked = staged(words.select("*", F.col("label").alias("id"), *events._bits(F.col("w"))))
+    rooted = events._entries(ranked, 0.5).where("word = 'a'").withColumn("root", F.col("label"))
+    # All meet by the one word that they share; what they share more decides, of which there is nothing.
+    deeper = events._deeper(rooted, ranked, 0.5, 2)
+    assert deeper.groupBy("edition_date", "word").count().where("count > 1").count() == 0
+    assert events._links(rooted, ranked, 0.5, 8, 4).count() == 0
+
+
 def test_unlike_titles_stay_apart_and_long_chains_close(spark):
     titles = spark.createDataFrame([(DAY, 1, "uno dos tres cuatro"), (DAY, 2, "uno otra cosa distinta aquí")], "edition_date date, seq bigint, title string")
     assert {x.seq: x.event_seq for x in events.same_event_groups(titles).collect()} == {1: 1, 2: 2}
