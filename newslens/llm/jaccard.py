@@ -45,6 +45,10 @@ from newslens.llm.common import NO_ID, Scratch, blocks, document, documents, fre
 from newslens.operators.components import components
 
 RATIO = 1.3
+#: Characters of the texts that are hashed at a time; this takes several numbers for each word and character.
+HASHED_CHARS = 1 << 20
+#: Sets that are laid out by shingle at a time.
+SETS = 512
 #: Signatures of one-deletion neighbourhoods, as a part of all.
 EXTRA = 0.1
 
@@ -129,7 +133,7 @@ def identity(tokens: np.ndarray) -> bytes:
 def sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     """Slices of a batch and the distinct shingles of their texts in ascending order."""
     texts = batch.column("text").to_pylist()
-    for a, b in blocks(texts):
+    for a, b in blocks(texts, HASHED_CHARS):
         h, owner = hashing.distinct_shingles(*hashing.word_hashes(texts[a:b], lower=True), words)
         yield a, b, np.split(h, np.searchsorted(owner, np.arange(1, b - a)))
 
@@ -185,7 +189,7 @@ def rare_first(tokens: DataFrame) -> DataFrame:
     """The same sets, in each the shingles that fewest sets hold first, those of equal counts by hash: one order for all. `tokens` is a written table."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, SETS) for whole in batches for a in range(0, whole.num_rows, SETS)):
             found = [np.frombuffer(s.as_buffer(), np.int64) for s in batch.column("tokens")]
             sizes = list(map(len, found))
             owners = [pa.array(np.repeat(np.array(batch.column(c)), sizes)) for c in ("set", "class")]

@@ -46,6 +46,8 @@ FEATURES = 1 << 14
 TERMS_PER_BLOCK = 512
 #: Words in a row that an item and a passage share make them a pair whatever the words weigh.
 RUN = 3
+#: Characters of the texts that are cut into passages at a time.
+CUT_CHARS = 1 << 20
 #: Passages whose products are formed at a time.
 FIT_ROWS = 512
 #: Size of the table that most runs of words are told apart from those of the items by, before they are looked up.
@@ -238,7 +240,7 @@ def fit_rows(docs: DataFrame, items: Items, weight: np.ndarray, rare: float, cos
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, CUT_CHARS):
                 found = Passages(texts[a:b], known, size)
                 chosen, total = reachable(found, weight, rare, cosine)
                 row, at, values = found.vectors(chosen, weight, total)
@@ -376,7 +378,7 @@ def matches(
         for batch in batches:
             keys, parts, texts = (batch.column(c).to_pylist() for c in ("doc", "part", "text"))
             out = []
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, CUT_CHARS):
                 found = Passages(texts[a:b], items.known, items.size)
                 chosen, total = reachable(found, weight, rare, cosine)
                 pairs: dict[tuple[int, int], float] = {}

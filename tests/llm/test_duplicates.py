@@ -8,6 +8,8 @@ import sys
 from collections import defaultdict
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
@@ -260,3 +262,17 @@ def test_word_hashes_are_exact():
         for x, y in zip(w, h[a:b].tolist(), strict=True):
             assert names.setdefault(x, y) == y
     assert len(set(names.values())) == len(names)
+
+
+def test_texts_of_a_batch_are_hashed_in_small_parts():
+    r = random.Random(4)
+    texts = [" ".join(f"w{r.randrange(5000)}" for _ in range(300)) for _ in range(2500)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    found = []
+    for a, b, part in jaccard.sets(batch, 5):
+        assert a == len(found) and sum(map(len, texts[a:b])) <= 1 << 20
+        found += [np.array(t) for t in part]
+    assert len(found) == len(texts)
+    for i in (0, 1200, 2499):
+        ((_, _, (alone,)),) = jaccard.sets(batch.slice(i, 1), 5)
+        assert np.array_equal(found[i], alone)
